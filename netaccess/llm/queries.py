@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from netaccess.llm import bpe, html_consensus, pairwise_quality, quality_rules, secrets, toxicity
+from netaccess.llm import bpe, html_consensus, pairwise_quality, pitman_yor, quality_rules, secrets, toxicity
 from netaccess.runtime import table
 
 
@@ -31,6 +31,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op10_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise_quality.rank_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_html_extraction": op5_html_extraction,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_pitman_yor": op8_pitman_yor,
     "op10_pairwise_quality": op10_pairwise_quality,
 }
 ORACLE_SQL: dict[str, str] = {}
