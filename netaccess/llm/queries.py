@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from netaccess.llm import bpe, decontaminate, html_consensus, jaccard_join, pairwise_quality, pitman_yor, quality_rules, secrets, toxicity
+from netaccess.llm import bpe, decontaminate, html_consensus, jaccard_join, line_dedup, pairwise_quality, pitman_yor, quality_rules, secrets, toxicity
 from netaccess.runtime import table
 
 
@@ -43,6 +43,10 @@ def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score_corpus(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op10_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise_quality.rank_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_pitman_yor": op8_pitman_yor,
+    "op9_line_dedup": op9_line_dedup,
     "op10_pairwise_quality": op10_pairwise_quality,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from netaccess.llm.common import crc_remainder, map_arrow
-from netaccess.runtime import materialize
+from netaccess.runtime import broadcast_if_small, materialize
 
 FOLDS, HELD_OUT = 4, 2
 LABEL_BOUND, VOTERS, FEATURES = 20_000, 256, 2_048
@@ -36,6 +36,7 @@ CUT_AT = 0.3
 EM_ROUNDS = 5
 EDGES = ".,;:!?\"'()[]{}#*$%&|<>~_-…«»“”‘’¿¡"
 CACHE_WORDS = 400_000
+REJECT_BROADCAST_ROWS = 1_000_000
 
 
 def evidence(text: str) -> set[str]:
@@ -214,3 +215,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     logit = F.aggregate("hits", F.lit(float(w[-1])), lambda s, i: s + F.element_at(F.col("w"), i + 1))
     scored = hits.withColumn("w", table).select("doc_id", held, (1 / (1 + F.exp(-logit))).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= CUT_AT).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id has no predicted toxic text; rows without doc_id stay, every column passes through."""
+    rejected = score_toxicity(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("rejected_id")).distinct()
+    rejected = broadcast_if_small(materialize(rejected, "toxic-rejected"), REJECT_BROADCAST_ROWS)
+    return docs.join(rejected, docs["doc_id"].cast("long") == rejected["rejected_id"], "left_anti")
