@@ -3,8 +3,40 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from netaccess.plans.bindings import views, with_sql
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+MODULES = ("filters", "joins", "aggregates", "windows", "ranking", "scalars", "climate", "spatial", "graphs", "access", "statistics", "scenarios")
+
+
+def query(key: str, *names: str, sql: str | None = None):
+    """Register a function of the named views (as positional DataFrames) under ``key``, with its twin."""
+
+    def register(build):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            frames = views(spark, sf_dir, *names)
+            return build(*(frames[n] for n in names))
+
+        QUERIES[key] = run
+        if sql:
+            ORACLE_SQL[key] = with_sql(names, sql)
+        return build
+
+    return register
+
+
+def load() -> None:
+    for name in MODULES:
+        try:
+            import_module(f"netaccess.plans.{name}")
+        except ModuleNotFoundError as e:
+            if e.name != f"netaccess.plans.{name}":
+                raise
+
+
+load()
