@@ -7,11 +7,12 @@ Two sets that reach the threshold share a shingle among the first n - ceil(t n)
 
 1. Every class posts these shingles. Of each posting list the least document is the hub, and the
    others are searched against it: as many pairs as postings, however long a list is.
-2. A search takes one hub and a chunk of candidates. It builds inverted lists over the hub's shingles,
-   merges the short ones with a heap, probes the long ones by binary search only for candidates that
-   can still reach the required overlap (DivideSkip), and keeps those that do.
-3. Links give components. Lists that still hold two components give their pairs across components,
-   which are searched in the same way; pairs within one component could not change the result.
+2. A search takes a document and a chunk of candidates. It builds inverted lists over the document's
+   shingles, merges the short ones with a heap, probes the long ones by binary search only for candidates
+   that can still reach the required overlap (DivideSkip), and keeps those that do.
+3. Links give components. Documents that share a list share its hub; a hub's group that still holds
+   several components has its documents outside the group's main component searched against the whole
+   group, chunk by chunk. Pairs within one component, which could not change the result, are passed over.
 
 Null and empty texts and texts without words have empty sets and are linked with nothing. Rows of one doc_id
 count as one document with the least n_shingles first. Rows without doc_id stay alone, with a null
@@ -29,7 +30,7 @@ from itertools import groupby
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from netaccess.graph.components import connected_components
 from netaccess.llm.common import ascii_words, map_arrow, shingle_hashes
@@ -94,13 +95,13 @@ def least_overlap(n: int, percent: int) -> int:
 
 
 def postings(docs: DataFrame, k: int, percent: int, hot) -> DataFrame:
-    """(token, doc_id, n) for the first shingles of every document in the global order."""
-    schema = StructType([StructField("token", LongType()), StructField("doc_id", LongType()), StructField("n", LongType())])
+    """(token, doc_id, n, rank) for the first shingles of every document in the global order."""
+    schema = StructType([StructField("token", LongType()), StructField("doc_id", LongType()), StructField("n", IntegerType()), StructField("rank", IntegerType())])
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         token, seen = hot.value
         for batch in batches:
-            tokens, ids, sizes = [], [], []
+            tokens, ids, sizes, ranks = [], [], [], []
             for doc_id, value in zip(batch["doc_id"].to_pylist(), batch["text"]):
                 s = shingle_hashes(ascii_words(value.as_py()), k)
                 take = len(s) - least_overlap(len(s), percent) + 1
@@ -112,9 +113,10 @@ def postings(docs: DataFrame, k: int, percent: int, hot) -> DataFrame:
                     s = s[np.argsort(np.where(token[slot] == s, seen[slot], 0), kind="stable")]
                 tokens.append(s[:take].view(np.int64))
                 ids.append(np.full(take, doc_id))
-                sizes.append(np.full(take, len(s)))
+                sizes.append(np.full(take, len(s), np.int32))
+                ranks.append(np.arange(take, dtype=np.int32))
             if tokens:
-                yield {"token": np.concatenate(tokens), "doc_id": np.concatenate(ids), "n": np.concatenate(sizes)}
+                yield {"token": np.concatenate(tokens), "doc_id": np.concatenate(ids), "n": np.concatenate(sizes), "rank": np.concatenate(ranks)}
 
     return map_arrow(docs, run, schema)
 
@@ -155,40 +157,70 @@ def divide_skip(hub: np.ndarray, sets: list[np.ndarray], percent: int) -> list[i
 def search(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (hub, doc_id) whose sets reach the threshold; hubs with many candidates are searched in chunks."""
     sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    dealt = pairs.join(sizes, "hub").select("hub", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("long").alias("chunk"))
-    dealt = materialize(dealt, "jaccard-dealt")
-    asked = dealt.select("hub", "chunk", "doc_id", F.lit(False).alias("is_hub")).union(dealt.select("hub", "chunk", F.col("hub").alias("doc_id"), F.lit(True).alias("is_hub")).distinct())
-    rows = docs.join(asked, "doc_id").select("hub", "chunk", "is_hub", "doc_id", "text")
-    rows = rows.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", F.desc("is_hub"))
+    dealt = pairs.join(sizes, "hub").select("hub", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).alias("j"))
+    own = dealt.select("hub", F.lit(0).cast("long").alias("i"), "j").distinct().withColumn("doc_id", F.col("hub"))
+    asked = own.select("doc_id", "hub", "i", "j", F.lit(True).alias("asks"), F.col("doc_id").alias("part"))
+    asked = asked.union(dealt.select("doc_id", "hub", F.lit(0).cast("long"), "j", F.lit(False), F.col("doc_id")))
+    return search_blocks(materialize(asked, "jaccard-asked"), docs, k, percent)
+
+
+def search_groups(groups: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links across components in hub groups (hub, doc_id, part): documents outside a group's main component
+    are searched against the group. Both sides are dealt into chunks, and a block is a chunk of each."""
+    shares = groups.groupBy("hub", "part").agg(F.count("*").alias("n"))
+    main = shares.groupBy("hub").agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    # a group of two is its hub and one document, which have been compared
+    main = main.filter((F.col("all") > F.col("most")) & (F.col("all") > 2))
+    rows = groups.join(main, "hub").withColumn("asks", F.col("part") != F.col("main"))
+    n_asked, n_all = F.ceil((F.col("all") - F.col("most")) / CHUNK), F.ceil(F.col("all") / CHUNK)
+    chunk = lambda n: F.pmod(F.xxhash64("doc_id"), n)
+    as_query = rows.filter("asks").select("doc_id", "hub", chunk(n_asked).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), n_all - 1)).alias("j"), "asks", "part")
+    as_entry = rows.select("doc_id", "hub", F.explode(F.sequence(F.lit(0).cast("long"), n_asked - 1)).alias("i"), chunk(n_all).alias("j"), F.lit(False).alias("asks"), "part")
+    return search_blocks(materialize(as_query.union(as_entry), "jaccard-blocks"), docs, k, percent)
+
+
+def search_blocks(asked: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (hub, doc_id) between the asking and the other documents of each block (hub, i, j), for unequal parts."""
+    rows = docs.join(asked, "doc_id").select("hub", "i", "j", "asks", "part", "doc_id", "text")
+    rows = rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     schema = StructType([StructField("hub", LongType()), StructField("doc_id", LongType())])
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        at, hub_set, ids, sets = None, None, [], []
+        at, queries, entries = None, [], []
 
         def links() -> dict[str, list]:
-            kept = divide_skip(hub_set, sets, percent) if sets else []
-            return {"hub": [at[0] for _ in kept], "doc_id": [ids[i] for i in kept]}
+            found: dict[str, list] = {"hub": [], "doc_id": []}
+            joined: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while (up := joined.get(x, x)) != x:
+                    x = up
+                return x
+
+            for part, doc_id, s in queries:
+                others = [e for e in entries if root(e[0]) != root(part) and 100 * min(len(s), len(e[2])) >= percent * max(len(s), len(e[2]))]
+                for hit in divide_skip(s, [e[2] for e in others], percent):
+                    found["hub"].append(doc_id)
+                    found["doc_id"].append(others[hit][1])
+                    joined[root(part)] = root(others[hit][0])
+            return found
 
         for batch in batches:
-            heads = zip(batch["hub"].to_pylist(), batch["chunk"].to_pylist())
-            for head, is_hub, doc_id, value in zip(heads, batch["is_hub"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"]):
+            names = ("hub", "i", "j", "asks", "part", "doc_id")
+            for (*head, asks, part, doc_id), value in zip(zip(*(batch[n].to_pylist() for n in names)), batch["text"]):
                 if head != at:
                     yield links()
-                    at, hub_set, ids, sets = head, None, [], []
-                s = shingle_hashes(ascii_words(value.as_py()), k)
-                if is_hub:
-                    hub_set = s
-                else:
-                    ids.append(doc_id)
-                    sets.append(s)
+                    at, queries, entries = head, [], []
+                (queries if asks else entries).append((part, doc_id, shingle_hashes(ascii_words(value.as_py()), k)))
         yield links()
 
     return map_arrow(rows, run, schema)
 
 
-def comparable(a: str, b: str, percent: int):
-    """The length filter: the smaller set is at least percent / 100 of the larger."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def plausible(n: str, rank: str, hub_n: str, hub_rank: str, percent: int):
+    """Length and position filters of a shared shingle; a linked pair passes both at the first shingle that it shares."""
+    need = F.ceil(percent * (F.col(n) + F.col(hub_n)) / (100 + percent))
+    return (100 * F.least(n, hub_n) >= percent * F.greatest(n, hub_n)) & (F.least(F.col(n) - F.col(rank), F.col(hub_n) - F.col(hub_rank)) >= need)
 
 
 def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -201,24 +233,19 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     members = narrow(docs).join(broadcast_if_small(reps, CLASS_BROADCAST_ROWS), "doc_id", "left_semi")
 
     posted = materialize(postings(members, k, percent, hot), "shingle-postings")
-    lists = posted.groupBy("token").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("most")).filter("hub < most")
-    listed = materialize(posted.join(lists.select("token", "hub"), "token"), "shingle-lists")
-    hub_n = listed.filter("doc_id = hub").select("token", F.col("n").alias("hub_n"))
-    pairs = listed.filter("doc_id <> hub").join(hub_n, "token").filter(comparable("n", "hub_n", percent))
-    pairs = materialize(pairs.select("hub", "doc_id").distinct(), "jaccard-pairs")
-    links = materialize(search(pairs, members, k, percent), "jaccard-links")
-    parts = connected_components(links, "hub", "doc_id")
-
-    placed = listed.select("token", "doc_id", "n").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = placed.select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("part"))
-    split = placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("token")
-    open_rows = materialize(placed.join(split, "token"), "jaccard-open")
-    a = open_rows.select("token", F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("part").alias("hub_part"))
-    across = open_rows.join(a, "token").filter((F.col("hub") < F.col("doc_id")) & (F.col("hub_part") != F.col("part")) & comparable("n", "hub_n", percent))
-    across = materialize(across.select("hub", "doc_id").distinct().join(pairs, ["hub", "doc_id"], "left_anti"), "jaccard-across")
-    more = search(across, members, k, percent)
-    links = materialize(links.union(more), "jaccard-all-links")
-    parts = connected_components(links, "hub", "doc_id")
+    first = F.struct("doc_id", "n", "rank")
+    lists = posted.groupBy("token").agg(F.min(first).alias("head"), F.count("*").alias("length")).filter("length > 1")
+    lists = lists.select("token", F.col("head.doc_id").alias("hub"), F.col("head.n").alias("hub_n"), F.col("head.rank").alias("hub_rank"))
+    listed = posted.join(lists, "token").filter("doc_id <> hub")
+    listed = listed.select("hub", "doc_id", plausible("n", "rank", "hub_n", "hub_rank", percent).alias("near"))
+    met = materialize(listed.groupBy("hub", "doc_id").agg(F.bool_or("near").alias("near")), "jaccard-met")
+    links = materialize(search(met.filter("near").select("hub", "doc_id"), members, k, percent), "jaccard-links")
+    parts = materialize(connected_components(links, "hub", "doc_id"), "jaccard-parts").withColumnRenamed("node", "doc_id")
+
+    groups = met.select("hub", "doc_id").union(met.select("hub", F.col("hub")).distinct())
+    groups = groups.join(parts, "doc_id", "left").select("hub", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+    more = search_groups(materialize(groups, "jaccard-groups"), members, k, percent)
+    parts = connected_components(links.union(more), "hub", "doc_id")
 
     found = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     return facts.join(found, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
