@@ -1,18 +1,17 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
-A line's tokens are its distinct lower-case words. A line is removed if an earlier line, in order of
-(doc_id, line number), has equal words or a Jaccard similarity of at least ``percent`` / 100, whether
-that earlier line stays or not. Lines of fewer than ``LEAST_WORDS`` distinct words always stay: so few
-words recur by chance.
+A line's tokens are its distinct shingles of ``WORDS`` lower-case words. A line is removed if an earlier
+line, in order of (doc_id, line number), has the same words or a Jaccard similarity of at least
+``percent`` / 100, whether that earlier line stays or not. Lines of fewer than ``WORDS`` words always stay:
+so few words recur by chance.
 
-1. Rarity: documents holding a word are counted by hash bucket over the whole table; tokens are ordered by
-   the logarithm of their bucket's count, then by hash. Any order gives the same result; rare first is fast.
+1. Rarity: tokens are counted by hash bucket over all lines; they are ordered by the logarithm of their
+   bucket's count, then by hash. Any order gives the same result; rare first is fast.
 2. Equal lines meet by hash and all but the first go. Of the others each posts its first n - ceil(t n) + 1
-   tokens with its length, the token's rank and a 64-bit signature with a bit for each token.
+   tokens with its length and the token's rank.
 3. In each posting list all lines are tried against the first one, so pairs grow with the postings, not
-   with their square. Lines still without a match are then tried against the others of their lists. Length,
-   position and signature (set bits that differ are at most the tokens that differ) filter pairs before any is
-   made; the words of the rest are compared.
+   with their square. Lines still without a match are then tried against the others of their lists. Length
+   and position filter pairs before any is made; the shingles of the rest are compared word by word.
 
 Null and empty texts have no lines to remove and stay as they are. Rows of one doc_id count as one document.
 Rows without doc_id are left alone. Documents may have up to 2^22 lines. Empty tables give an empty result;
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from netaccess.runtime import broadcast_if_small, materialize
 
 PERCENT = 80
-LEAST_WORDS = 5
+WORDS = 5
 BUCKETS = 1 << 16
 LINE_BITS = 22
 BROADCAST_ROWS = 1_000_000
@@ -46,19 +45,25 @@ def narrow(docs: DataFrame) -> DataFrame:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """uid and words (distinct, lower-case) of every line with enough words."""
+    """uid and words (lower-case, in order) of every line with enough words."""
     rows = narrow(docs).select("doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "raw"))
-    rows = rows.select(line_key().alias("uid"), F.array_distinct(F.array_remove(F.split("raw", BLANK), "")).alias("words"))
-    return rows.filter(F.size("words") >= LEAST_WORDS)
+    rows = rows.select(line_key().alias("uid"), F.array_remove(F.split("raw", BLANK), "").alias("words"))
+    return rows.filter(F.size("words") >= WORDS)
 
 
-def rarity_levels(docs: DataFrame) -> Column:
-    """An array literal: for each hash bucket, 8 log2 of the number of documents with a word in it."""
-    words = narrow(docs).select(F.explode(F.array_distinct(F.split(F.lower("text"), BLANK))).alias("word"))
-    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+def shingles(make: str) -> Column:
+    """Distinct values of ``make`` (xxhash64, or concat_ws with a blank) over each run of WORDS words."""
+    run = ", ".join(f"words[i + {k}]" for k in range(WORDS))
+    return F.array_distinct(F.expr(f"transform(sequence(0, size(words) - {WORDS}), i -> {make}{run}))"))
+
+
+def rarity_levels(lines: DataFrame) -> Column:
+    """An array literal: for each hash bucket, 4 log2 of the number of lines' tokens in it."""
+    tokens = lines.select(F.explode(shingles("xxhash64(")).alias("token"))
+    counts = tokens.groupBy((F.col("token").bitwiseAND(F.lit(BUCKETS - 1))).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
     levels = [0] * BUCKETS
     for row in counts.collect():
-        levels[row["bucket"]] = min(127, int(8 * math.log2(1 + row["n"]) / 2))
+        levels[row["bucket"]] = min(127, int(4 * math.log2(1 + row["n"])))
     return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
 
 
@@ -67,33 +72,32 @@ def least_overlap(n: Column, percent: int) -> Column:
 
 
 def line_facts(docs: DataFrame, percent: int) -> DataFrame:
-    """uid, h1, h2 (of the words in order), n, sig, first (the tokens to post, rarest first)."""
-    rows = lines_of(docs).withColumn("level", rarity_levels(docs))
-    hashed = rows.select("uid", "level", F.array_join("words", " ").alias("joined"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    ordered = F.expr(f"""array_sort(transform(hashes, h -> shiftleft(element_at(level, cast(pmod(h, {BUCKETS}) as int) + 1), 56) | shiftrightunsigned(h, 8)))""")
-    n = F.size("hashes")
+    """uid, h1, h2 (of the words in order), n, first (the tokens to post, rarest first)."""
+    lines = lines_of(docs)
+    hashed = lines.select("uid", F.array_join("words", " ").alias("joined"), shingles("xxhash64(").alias("tokens"), rarity_levels(lines).alias("level"))
+    # the level in the high bits, the hash in the others: one number orders and names a token
+    ordered = F.expr(f"array_sort(transform(tokens, h -> shiftleft(element_at(level, cast(h & {BUCKETS - 1} as int) + 1), 56) | shiftrightunsigned(h, 8)))")
+    n = F.size("tokens")
     return hashed.select(
         "uid", F.xxhash64("joined").alias("h1"), F.xxhash64("joined", F.lit(1)).alias("h2"), n.alias("n"),
-        F.expr("aggregate(hashes, 0L, (s, h) -> s | shiftleft(1L, cast(h & 63 as int)))").alias("sig"),
         F.slice(ordered, 1, (n - least_overlap(n, percent) + 1).cast("int")).alias("first"),
     )
 
 
 def plausible(a: str, b: str, percent: int) -> Column:
-    """Length, position and signature filters on two posted tokens; each is passed by every matching pair at its first shared token."""
-    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
+    """Length and position filters on two posted tokens (n << 32 | rank); a matching pair passes both at its first shared token."""
+    na, nb = F.shiftright(a, 32), F.shiftright(b, 32)
+    ranks = [F.col(c).bitwiseAND(F.lit((1 << 32) - 1)) for c in (a, b)]
     need = F.floor((percent * (na + nb) + 99 + percent) / (100 + percent))
-    length = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
-    position = F.least(na - F.col(f"{a}rank"), nb - F.col(f"{b}rank")) >= need
-    differ = F.bit_count(F.col(f"{a}sig").bitwiseXOR(F.col(f"{b}sig")))
-    return length & position & (differ <= na + nb - 2 * need)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - ranks[0], nb - ranks[1]) >= need)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """uid of the later line of each pair (early, uid) whose words reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("early", "uid")).alias("uid")).distinct()
-    sets = materialize(lines_of(docs).join(broadcast_if_small(materialize(wanted, "line-wanted"), BROADCAST_ROWS), "uid", "left_semi"), "line-sets")
-    both = pairs.join(sets.select("uid", F.col("words").alias("b")), "uid").join(sets.select(F.col("uid").alias("early"), F.col("words").alias("a")), "early")
+    """uid of the later line of each pair (early, uid) whose shingles reach the threshold."""
+    wanted = materialize(pairs.select(F.explode(F.array("early", "uid")).alias("uid")).distinct(), "line-wanted")
+    lines = lines_of(docs).join(broadcast_if_small(wanted, BROADCAST_ROWS), "uid", "left_semi")
+    sets = materialize(lines, "line-sets").select("uid", shingles("concat_ws(' ', ").alias("set"))
+    both = pairs.join(sets.select("uid", F.col("set").alias("b")), "uid").join(sets.select(F.col("uid").alias("early"), F.col("set").alias("a")), "early")
     shared = F.size(F.array_intersect("a", "b"))
     return both.filter(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("uid").distinct()
 
@@ -107,18 +111,17 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     equal = materialize(equal, "line-equal")
     single = facts.join(broadcast_if_small(equal, BROADCAST_ROWS), "uid", "left_anti")
 
-    posted = single.select("uid", "n", "sig", F.posexplode("first").alias("rank", "token"))
-    lists = posted.groupBy("token").agg(F.min("uid").alias("head"), F.max("uid").alias("last")).filter("head < last").select("token", "head")
-    listed = materialize(posted.join(lists, "token"), "line-lists")
-    heads = listed.filter("uid = head").select("token", F.col("uid").alias("early"), F.col("n").alias("a_n"), F.col("rank").alias("a_rank"), F.col("sig").alias("a_sig"))
-    rest = listed.select("token", "head", "uid", F.col("n").alias("b_n"), F.col("rank").alias("b_rank"), F.col("sig").alias("b_sig"))
-    pairs = rest.filter("uid > head").join(heads, "token").filter(plausible("a_", "b_", percent)).select("early", "uid").distinct()
-    pairs = materialize(pairs, "line-pairs")
-    near = materialize(verified(pairs, docs, percent), "line-near")
-
-    unmatched = rest.join(near, "uid", "left_anti")
-    others = listed.select("token", F.col("uid").alias("early"), F.col("n").alias("a_n"), F.col("rank").alias("a_rank"), F.col("sig").alias("a_sig"))
-    more = unmatched.join(others, "token").filter((F.col("early") < F.col("uid")) & (F.col("early") > F.col("head")) & plausible("a_", "b_", percent))
+    size = F.shiftleft(F.col("n").cast("bigint"), 32)
+    posted = single.select("uid", "n", F.posexplode("first").alias("rank", "token")).select("token", "uid", size.bitwiseOR(F.col("rank").cast("bigint")).alias("m"))
+    lists = posted.groupBy("token").agg(F.min(F.struct("uid", "m")).alias("head"), F.count("*").alias("length")).filter("length > 1")
+    lists = lists.select("token", F.col("head.uid").alias("head"), F.col("head.m").alias("head_m"))
+    listed = materialize(posted.join(lists, "token").filter("uid <> head"), "line-lists")
+    pairs = listed.filter(plausible("head_m", "m", percent)).select(F.col("head").alias("early"), "uid").distinct()
+    near = materialize(verified(materialize(pairs, "line-pairs"), docs, percent), "line-near")
+
+    unmatched = listed.join(near, "uid", "left_anti")
+    others = listed.select("token", F.col("uid").alias("early"), F.col("m").alias("early_m"))
+    more = unmatched.join(others, "token").filter((F.col("early") < F.col("uid")) & plausible("early_m", "m", percent))
     more = materialize(more.select("early", "uid").distinct(), "line-more")
     return equal.union(near).union(verified(more, docs, percent))
 
