@@ -170,3 +170,66 @@ def group_buffering(access: DataFrame) -> DataFrame:
     rows = rows.withColumn("share", F.round(upto / F.sum("population").over(Window.partitionBy("country_id")), 9)).withColumn("d", F.col("t_extreme") - F.col("t_normal"))
     mean = lambda inside: F.round(F.try_divide(F.sum(F.when(inside, F.col("d") * F.col("population"))), F.sum(F.when(inside, F.col("population")))), 5)
     return rows.groupBy("country_id").agg(mean(F.col("share").between(0.4, 0.6)).alias("p50"), mean(F.col("share") > 0.8).alias("p90"))
+
+
+@query("od2_continent_summary", "od", "country", sql=f"""SELECT region, count(*) AS n, count(*) FILTER (WHERE conn_type = 'connected') AS n_connected, round(CAST(count(*) FILTER (WHERE conn_type = 'climate_disconnected') AS DOUBLE) / count(*), 6) AS climate_ratio,
+    round(CAST(count(*) FILTER (WHERE conn_type = 'both_unreachable') AS DOUBLE) / count(*), 6) AS both_ratio, round(avg(increase_pct), 5) AS mean, round(median(increase_pct), 5) AS med, round(quantile_cont(increase_pct, 0.75), 5) AS q75, round(CAST(sum(severe_increase) AS DOUBLE) / count(*), 6) AS severe_share
+    FROM ({OD_SQL}) t JOIN country c ON t.country_a = c.country_id GROUP BY region""")
+def continent_summary(od: DataFrame, country: DataFrame) -> DataFrame:
+    return M.od_summary(od_pairs(od).join(country, F.col("country_a") == F.col("country_id")), ["region"])
+
+
+@query("od4_scaled_metrics", "od", sql=f"SELECT f AS factor, count(*) AS n, round(avg((t0 * (1 + (t1 / t0 - 1) * f) - t0) / t0 * 100), 5) AS mean_increase, count(*) FILTER (WHERE (t1 / t0 - 1) * f * 100 >= 50) AS n_severe FROM od, (VALUES (0.5::DOUBLE), (1.0), (1.5)) x(f) WHERE t0 > 0 AND t1 IS NOT NULL GROUP BY f")
+def scaled_metrics(od: DataFrame) -> DataFrame:
+    """All severities in one pass over the pairs."""
+    slow = (F.col("t1") / F.col("t0") - 1) * F.col("factor")
+    rows = od.filter("t0 > 0 AND t1 IS NOT NULL").withColumn("factor", F.explode(F.array(*map(F.lit, (0.5, 1.0, 1.5)))))
+    return rows.groupBy("factor").agg(F.count("*").alias("n"), F.round(F.avg((F.col("t0") * (1 + slow) - F.col("t0")) / F.col("t0") * 100), 5).alias("mean_increase"), F.count_if(slow * 100 >= 50).alias("n_severe"))
+
+
+@query("od6_district_metrics", "edges")
+def district_metrics(edges: DataFrame) -> DataFrame:
+    """Nodes, edges, parts, efficiency in both weathers and road drop of every district, all districts in one graph."""
+    from netaccess.graph.components import connected_components
+
+    d = edges.filter("u % 50 = 0").select(F.col("country_id").alias("district"), "u", "v", "w0", "w1")
+    node = lambda c: F.struct("district", F.col(c).alias("id"))
+    d = d.select("district", node("u").alias("u"), node("v").alias("v"), "w0", "w1")
+    n = d.select("district", F.explode(F.array("u", "v")).alias("x")).distinct().groupBy("district").agg(F.count("*").alias("n_nodes"))
+    sizes = connected_components(d).groupBy(F.col("node.district").alias("district"), "component").agg(F.count("*").alias("k"))
+    out = n.join(d.groupBy("district").agg(F.count("*").alias("n_edges"), F.avg((1 - F.col("w0") / F.col("w1")) * 100).alias("road_drop")), "district")
+    out = out.join(sizes.groupBy("district").agg(F.count("*").alias("n_parts"), F.max("k").alias("largest")), "district")
+    starts = d.select("v").distinct().select(F.col("v").alias("src"), F.col("v").alias("node"))
+    for name, w in (("e0", "w0"), ("e1", "w1")):
+        dist = P.shortest_paths(both_ways(d, w), starts).filter("dist > 0")
+        out = out.join(dist.groupBy(F.col("src.district").alias("district")).agg(F.sum(1 / F.col("dist")).alias(name), F.countDistinct("src").alias(f"{name}_n")), "district")
+        out = out.withColumn(name, F.col(name) / (F.col(f"{name}_n") * (F.col("n_nodes") - 1))).drop(f"{name}_n")
+    loss = F.try_divide(F.col("e0") - F.col("e1"), "e0") * 100
+    return out.select("district", "n_nodes", "n_edges", "n_parts", F.round(F.col("largest") / F.col("n_nodes"), 6).alias("largest_ratio"), F.round("e0", 6).alias("e0"), F.round("e1", 6).alias("e1"), F.round(loss, 5).alias("efficiency_loss_pct"), F.round(F.try_divide(loss, F.col("road_drop")), 5).alias("amplification"))
+
+
+@query("ac7_population_snap_audit", "pixels", "places", sql=" UNION ALL ".join(f"SELECT {r} AS radius, round(sum(pop), 2) AS total, round(sum(CASE WHEN d2 <= {r * r} THEN pop ELSE 0 END) / sum(pop) * 100, 5) AS snapped_pct FROM pixels p LEFT JOIN (SELECT a.pixel_id, min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d2 FROM pixels a JOIN places b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 3600 GROUP BY a.pixel_id) n ON p.pixel_id = n.pixel_id" for r in (15, 30, 60)))
+def population_snap(pixels: DataFrame, places: DataFrame) -> DataFrame:
+    from netaccess.operators.spatial import nearest
+
+    near = nearest(pixels, "pixel_id", places, "place_id", "x", "y", 60.0, 30.0)
+    rows = pixels.select("pixel_id", "pop").join(near, "pixel_id", "left").withColumn("radius", F.explode(F.array(*map(F.lit, (15, 30, 60)))))
+    inside = F.sum(F.when(F.col("d2") <= F.col("radius") * F.col("radius"), F.col("pop")).otherwise(0.0))
+    return rows.groupBy("radius").agg(F.round(F.sum("pop"), 2).alias("total"), F.round(inside / F.sum("pop") * 100, 5).alias("snapped_pct"))
+
+
+@query("pl5_district_layer", "roads", "pixels", "region", sql="""WITH g AS (SELECT CAST(r_regionkey AS BIGINT) AS r_id FROM region), h AS (SELECT p.pixel_id, p.x, p.y, min(CASE WHEN x >= 10 * r_id AND x < 10 * r_id + 200 AND y >= 150 * r_id AND y < 150 * r_id + 300 THEN r_id END) AS d FROM pixels p, g GROUP BY p.pixel_id, p.x, p.y),
+    c AS (SELECT r_id, 10 * r_id + 100 AS cx, 150 * r_id + 150 AS cy FROM g) SELECT coalesce(d, (SELECT arg_min(r_id, ((x - cx) * (x - cx) + (y - cy) * (y - cy)) * 10 + r_id) FROM c)) AS district, count(*) AS n FROM h GROUP BY 1""")
+def district_layer(roads: DataFrame, pixels: DataFrame, region: DataFrame) -> DataFrame:
+    """Points in the first polygon that holds them, else in that of the nearest centroid; polygons are a handful."""
+    from netaccess.operators.spatial import first_polygon
+
+    k = F.col("r_regionkey").cast("bigint")
+    corner = lambda dx, dy: F.struct((10 * k + dx - 0.5).alias("x"), (150 * k + dy - 0.5).alias("y"))
+    shapes = region.select(k.alias("polygon_id"), F.array(corner(0, 0), corner(200, 0), corner(200, 300), corner(0, 300), corner(0, 0)).alias("ring"))
+    points = pixels.select("pixel_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    found = first_polygon(points, shapes, "x", "y", 100.0)
+    centres = F.broadcast(region.agg(F.collect_list(F.struct((10 * k + 100).alias("cx"), (150 * k + 150).alias("cy"), k.alias("id"))).alias("centres")))
+    gap = lambda c: F.pow(F.col("x") - c["cx"], F.lit(2)) + F.pow(F.col("y") - c["cy"], F.lit(2))
+    closest = F.array_min(F.transform("centres", lambda c: F.struct(gap(c).alias("d"), c["id"].alias("id"))))["id"]
+    return found.crossJoin(centres).groupBy(F.coalesce("polygon_id", closest).alias("district")).agg(F.count("*").alias("n"))

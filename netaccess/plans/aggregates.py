@@ -228,3 +228,22 @@ def monthly(events: DataFrame) -> DataFrame:
 def reduction(climate: DataFrame) -> DataFrame:
     out = M.moisture_stats(climate)
     return out.select("cell_id", *(F.round(c, 6).alias(c) for c in ("mean", "p75", "p95", "share")))
+
+
+@query("ag27_by_label", "scores", sql="SELECT CASE WHEN ni > 100000 THEN 'high' WHEN ni > 50000 THEN 'middle' ELSE 'low' END AS label, round(avg(cv), 6) AS mean, round(min(cv), 6) AS low, round(max(cv), 6) AS high FROM scores GROUP BY 1")
+def by_label(scores: DataFrame) -> DataFrame:
+    label = F.when(F.col("ni") > 100_000, "high").when(F.col("ni") > 50_000, "middle").otherwise("low")
+    return scores.groupBy(label.alias("label")).agg(*(F.round(f("cv"), 6).alias(k) for k, f in (("mean", F.avg), ("low", F.min), ("high", F.max))))
+
+
+@query("ag30_scenario_summary", "climate", sql="SELECT CAST(extract(year FROM month) AS INT) AS scenario, count(*) AS n_rows, round(avg(pr), 5) AS mean_pr, round(avg(mrso), 5) AS mean_mrso FROM climate GROUP BY 1")
+def scenario_summary(climate: DataFrame) -> DataFrame:
+    return climate.groupBy(F.year("month").alias("scenario")).agg(F.count("*").alias("n_rows"), F.round(F.avg("pr"), 5).alias("mean_pr"), F.round(F.avg("mrso"), 5).alias("mean_mrso"))
+
+
+@query("ag31_headline_summary", "access", sql="WITH c AS (SELECT country_id, sum(population) AS pop, sum(CASE WHEN t_normal < 1 THEN population ELSE 0 END) - sum(CASE WHEN t_extreme < 1 THEN population ELSE 0 END) AS lost, corr(t_normal, t_extreme) AS r FROM access GROUP BY country_id) SELECT round(sum(lost) / sum(pop) * 100, 5) AS weighted_loss, round(avg(lost / nullif(pop, 0)) * 100, 5) AS mean_loss, count(*) FILTER (WHERE lost > 0) AS n_losing, round(median(r), 5) AS median_r FROM c")
+def headline(access: DataFrame) -> DataFrame:
+    """The loss of coverage both ways: weighted by population, and as a mean of countries."""
+    inside = lambda t: F.sum(F.when(F.col(t) < 1, F.col("population")).otherwise(0.0))
+    c = access.groupBy("country_id").agg(F.sum("population").alias("pop"), (inside("t_normal") - inside("t_extreme")).alias("lost"), F.corr("t_normal", "t_extreme").alias("r"))
+    return c.agg(F.round(F.sum("lost") / F.sum("pop") * 100, 5).alias("weighted_loss"), F.round(F.avg(F.try_divide("lost", "pop")) * 100, 5).alias("mean_loss"), F.count_if(F.col("lost") > 0).alias("n_losing"), F.round(F.median("r"), 5).alias("median_r"))

@@ -147,3 +147,30 @@ def demand(pixels: DataFrame, places: DataFrame) -> DataFrame:
     chosen = materialize(urban.unionByName(rural), "demand-chosen")
     at = nearest(chosen, "pixel_id", places, "place_id", "x", "y", 100.0, 50.0)
     return at.join(chosen, "pixel_id").groupBy("place_id").agg(F.round(F.sum("pop"), 2).alias("population"), F.count("*").alias("n_cells"))
+
+
+@query("gr4_border_links", "pixels")
+def border_links(pixels: DataFrame) -> DataFrame:
+    """Edges between nodes of different countries near their borders, timed at the border speed, where none was."""
+    from netaccess.operators.spatial import within
+
+    box = pixels.groupBy("country_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    band = pixels.join(box, "country_id").filter("x - x0 <= 25 OR x1 - x <= 25 OR y - y0 <= 25 OR y1 - y <= 25").select("pixel_id", "country_id", "x", "y")
+    near = within(band, band, "x", "y", 10.0).filter("l.pixel_id < r.pixel_id AND l.country_id <> r.country_id")
+    hours = F.sqrt("d2") / 50 * C.KM_PER_DEG / C.BORDER_SPEED
+    return near.select(F.col("l.pixel_id").alias("u"), F.col("r.pixel_id").alias("v"), F.round(hours, 6).alias("w0"), F.round(hours, 6).alias("w1"))
+
+
+@query("gr11_metric_deltas", "edges", sql=paths_sql(FEW) + """, n AS (SELECT count(*) AS n FROM (SELECT u FROM edges UNION SELECT v FROM edges) x) SELECT round(sum(1 / dist) / (count(DISTINCT src) * (max(n) - 1)), 6) AS e0, round(max(dist), 6) AS d0 FROM d, n WHERE dist > 0""")
+def metric_deltas(edges: DataFrame) -> DataFrame:
+    s = few_sources(edges)
+    d = P.shortest_paths(B.both_ways(edges, "w0"), s.select(F.col("node").alias("src"), "node")).filter("dist > 0")
+    n = F.broadcast(edges.select(F.explode(F.array("u", "v")).alias("k")).distinct().agg(F.count("*").alias("n")))
+    return d.crossJoin(n).agg(F.round(F.sum(1 / F.col("dist")) / (F.countDistinct("src") * (F.max("n") - 1)), 6).alias("e0"), F.round(F.max("dist"), 6).alias("d0"))
+
+
+@query("gr14_critical_tiers", "scores", sql="""WITH q AS (SELECT quantile_cont(ni, 0.8) AS a, quantile_cont(ni, 0.9) AS b, quantile_cont(ni, 0.95) AS c FROM scores) SELECT edge_id, CASE WHEN cv >= 0.05 AND ni >= b THEN 'L1' WHEN cv >= 0.05 OR ni >= c THEN 'L2' ELSE 'L3' END AS tier FROM scores, q WHERE cv >= 0.05 OR ni >= a""")
+def critical_tiers(scores: DataFrame) -> DataFrame:
+    from netaccess.operators.sets import road_tiers
+
+    return road_tiers(scores, F.col("cv") >= 0.05, "ni").select("edge_id", "tier")

@@ -172,3 +172,36 @@ def interval_overlap(events: DataFrame) -> DataFrame:
     w = events.groupBy("user_id", "event_type", F.dayofmonth("ts").alias("d")).agg(hour(F.min("ts")).alias("lo"), hour(F.max("ts")).alias("hi")).drop("d")
     pairs = J.overlapping(w, w, "lo", "hi", width=24, on=["event_type"])
     return pairs.filter(F.col("l.user_id") < F.col("r.user_id")).agg(F.count("*").alias("n"), F.sum(F.col("l.lo") + F.col("r.hi")).alias("s"))
+
+
+@query("jn12_scenario_vs_default", "access", sql="""WITH v AS (SELECT country_id, CASE WHEN node_id % 2 = 0 THEN 'default' ELSE 'wet' END AS scenario, avg(t_extreme) AS t FROM access GROUP BY 1, 2)
+    SELECT x.country_id, round(x.t / nullif(y.t, 0), 6) AS ratio FROM v x LEFT JOIN v y ON x.country_id = y.country_id AND y.scenario = 'default' WHERE x.scenario = 'wet'""")
+def scenario_vs_default(access: DataFrame) -> DataFrame:
+    scenario = F.when(F.col("node_id") % 2 == 0, "default").otherwise("wet")
+    v = access.groupBy("country_id", scenario.alias("scenario")).agg(F.avg("t_extreme").alias("t"))
+    base = v.filter("scenario = 'default'").select("country_id", F.col("t").alias("t0"))
+    return v.filter("scenario = 'wet'").join(base, "country_id", "left").select("country_id", F.round(F.try_divide("t", "t0"), 6).alias("ratio"))
+
+
+@query("jn13_scenario_merge", "od", "roads", "access", sql=f"""WITH a AS (SELECT country_a AS c, count(*) AS n_pairs FROM ({OD_SQL}) x WHERE severe_increase = 1 GROUP BY 1), b AS (SELECT country_id AS c, count(*) AS n_roads FROM roads GROUP BY 1), d AS (SELECT country_id AS c, count(*) AS n_nodes FROM access GROUP BY 1)
+    SELECT b.c AS country_id, coalesce(n_pairs, 0) AS n_pairs, n_roads, coalesce(n_nodes, 0) AS n_nodes FROM b LEFT JOIN a ON a.c = b.c LEFT JOIN d ON d.c = b.c""")
+def scenario_merge(od: DataFrame, roads: DataFrame, access: DataFrame) -> DataFrame:
+    a = od_pairs(od).filter("severe_increase = 1").groupBy(F.col("country_a").alias("country_id")).agg(F.count("*").alias("n_pairs"))
+    b = roads.groupBy("country_id").agg(F.count("*").alias("n_roads"))
+    d = access.groupBy("country_id").agg(F.count("*").alias("n_nodes"))
+    return J.left_with_defaults(J.left_with_defaults(b, a, ["country_id"], {"n_pairs": 0}), d, ["country_id"], {"n_nodes": 0})
+
+
+@query("jn17_rank_join_back", "scores", sql="SELECT s.edge_id, r.r AS ni_rank FROM scores s LEFT JOIN (SELECT edge_id, CAST(rank() OVER (ORDER BY ni DESC) AS BIGINT) AS r FROM scores WHERE cv > 0.02) r ON s.edge_id = r.edge_id")
+def rank_join_back(scores: DataFrame) -> DataFrame:
+    """Ranks among the slowed edges, joined to all edges; others stay NULL."""
+    from netaccess.operators.ranking import value_ranks
+
+    pool = value_ranks(scores.filter("cv > 0.02").select("edge_id", "ni"), "ni", descending=True)
+    return scores.select("edge_id").join(pool.select("edge_id", F.col("min_rank").alias("ni_rank")), "edge_id", "left")
+
+
+@query("jn24_pair_country_stat", "od", "access", sql="SELECT city_a, city_b, round(t, 6) AS mean_t FROM od JOIN (SELECT country_id, avg(t_normal) AS t FROM access GROUP BY country_id) c ON od.country_a = c.country_id")
+def pair_country_stat(od: DataFrame, access: DataFrame) -> DataFrame:
+    stat = access.groupBy(F.col("country_id").alias("country_a")).agg(F.round(F.avg("t_normal"), 6).alias("mean_t"))
+    return od.join(stat, "country_a").select("city_a", "city_b", "mean_t")

@@ -119,3 +119,44 @@ def to_json(country: DataFrame) -> DataFrame:
 @query("sc26_tag_strip", "pages", sql="SELECT page_id, CAST(length(regexp_replace(html, '<[^>]*>', '', 'g')) AS BIGINT) AS n, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
 def tag_strip(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.length(F.regexp_replace("html", "<[^>]*>", "")).cast("bigint").alias("n"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+@query("fm1_clip", "lineitem", sql="SELECT l_linenumber, round(sum(least(greatest(l_discount * 20 - 0.5, 0), 1)), 4) AS s FROM lineitem GROUP BY l_linenumber")
+def clip(lineitem: DataFrame) -> DataFrame:
+    x = F.least(F.greatest(F.col("l_discount") * 20 - 0.5, F.lit(0.0)), F.lit(1.0))
+    return lineitem.groupBy("l_linenumber").agg(F.round(F.sum(x), 4).alias("s"))
+
+
+@query("fa1_block_sums", "pixels", sql="SELECT CAST(floor(y / 100) AS BIGINT) AS r, CAST(floor(x / 100) AS BIGINT) AS c, round(sum(pop), 3) AS pop, count(*) AS n FROM pixels GROUP BY 1, 2")
+def block_sums(pixels: DataFrame) -> DataFrame:
+    """A raster summed over blocks: the relational form of a reshape and sum."""
+    return pixels.groupBy(F.floor(F.col("y") / 100).alias("r"), F.floor(F.col("x") / 100).alias("c")).agg(F.round(F.sum("pop"), 3).alias("pop"), F.count("*").alias("n"))
+
+
+@query("sc15_positive_pixels", "pixels", sql="SELECT CAST(count(*) AS BIGINT) AS n, round(sum(pop), 3) AS pop, round(min(lon), 4) AS lon FROM (SELECT floor(y / 10) AS r, floor(x / 10) AS c, sum(pop) AS pop, 10 + (floor(x / 10) + 0.5) * 0.1 AS lon FROM pixels GROUP BY 1, 2, 4) t WHERE pop > 0")
+def positive_pixels(pixels: DataFrame) -> DataFrame:
+    from netaccess.sources.tables import positive_pixels as scan
+
+    raster = pixels.select(F.col("y").alias("row"), F.col("x").alias("col"), "pop")
+    return scan(raster, -99.0, 10.0, 50.0, 0.01, block=10).agg(F.count("*").alias("n"), F.round(F.sum("pop"), 3).alias("pop"), F.round(F.min("lon"), 4).alias("lon"))
+
+
+@query("sc17_facility_scan", "facilities", sql="SELECT facility_id, lon, lat FROM facilities WHERE lon IS NOT NULL AND lat IS NOT NULL")
+def facility_scan(facilities: DataFrame) -> DataFrame:
+    return facilities.na.drop(subset=["lon", "lat"]).select("facility_id", "lon", "lat")
+
+
+@query("sc18_search_text", "facilities", sql="SELECT facility_id, concat(lower(coalesce(amenity, '')), ' ', lower(coalesce(name, ''))) AS text FROM facilities")
+def search_text(facilities: DataFrame) -> DataFrame:
+    return facilities.select("facility_id", F.concat_ws(" ", F.lower(F.coalesce("amenity", F.lit(""))), F.lower(F.coalesce("name", F.lit("")))).alias("text"))
+
+
+@query("sc22_not_null_projection", "access", sql="SELECT node_id, lon, lat, t_extreme FROM access WHERE t_extreme IS NOT NULL")
+def not_null(access: DataFrame) -> DataFrame:
+    return access.filter("t_extreme IS NOT NULL").select("node_id", "lon", "lat", "t_extreme")
+
+
+@query("sc21_bbox_overlap", "roads", sql="SELECT road_id FROM roads WHERE least(lon, lat) <= 8 AND greatest(lon, lat) >= 6 AND v_extreme IS NOT NULL")
+def bbox(roads: DataFrame) -> DataFrame:
+    """Rows whose extent meets a tile: a range predicate on the extent's columns."""
+    return roads.filter((F.least("lon", "lat") <= 8) & (F.greatest("lon", "lat") >= 6) & F.col("v_extreme").isNotNull()).select("road_id")

@@ -175,3 +175,63 @@ def case_table(roads: DataFrame) -> DataFrame:
     c = roads.groupBy("country_id").agg(F.avg(R.speed_drop_pct(F.col("v_normal"), F.col("v_extreme"))).alias("d"))
     n = F.broadcast(c.agg(F.count("*").alias("n")))
     return value_ranks(c, "d").crossJoin(n).select("country_id", F.round(F.col("avg_rank") / F.col("n") * 100, 5).alias("percentile"))
+
+
+@query("sm2_recovery_variants", "od", sql="""WITH m AS (SELECT t0, t1 FROM od WHERE t0 > 0 AND t1 >= t0), g AS (SELECT alpha, relief, sum(1 / pow(t1 - (t1 - t0) * relief, alpha)) AS a, sum(1 / pow(t0, alpha)) AS an, sum(1 / pow(t1, alpha)) AS ae FROM m, (VALUES (1.0::DOUBLE), (2.0)) x(alpha), (VALUES (0.0::DOUBLE), (0.25), (0.5), (1.0)) y(relief) GROUP BY alpha, relief)
+    SELECT alpha, relief, round((a - ae) / (an - ae), 5) AS recovery FROM g""")
+def recovery_variants(od: DataFrame) -> DataFrame:
+    grid = F.explode(F.array(*(F.struct(F.lit(a).alias("alpha"), F.lit(r).alias("relief")) for a in (1.0, 2.0) for r in (0.0, 0.25, 0.5, 1.0)))).alias("g")
+    rows = od.filter("t0 > 0 AND t1 >= t0").select("t0", "t1", grid).select("t0", "t1", "g.*")
+    total = lambda t: F.sum(1 / F.pow(t, F.col("alpha")))
+    a, an, ae = total(F.col("t1") - (F.col("t1") - F.col("t0")) * F.col("relief")), total(F.col("t0")), total(F.col("t1"))
+    return rows.groupBy("alpha", "relief").agg(F.round((a - ae) / (an - ae), 5).alias("recovery"))
+
+
+@query("sm5_nearest_fraction", "scores", sql="WITH r AS (SELECT CAST(row_number() OVER (ORDER BY ni DESC, edge_id) AS DOUBLE) / count(*) OVER () AS f, edge_id FROM scores) SELECT target, arg_min(edge_id, abs(f - target) * 1e9 + edge_id / 1e12) AS edge_id FROM r, (VALUES (0.001::DOUBLE), (0.01), (0.1)) x(target) GROUP BY target")
+def nearest_fraction(scores: DataFrame) -> DataFrame:
+    from netaccess.operators.ranking import global_rank
+
+    n = F.broadcast(scores.agg(F.count("*").alias("n")))
+    ranked = global_rank(scores.select("edge_id", "ni"), [F.desc("ni"), F.asc("edge_id")]).crossJoin(n).withColumn("target", F.explode(F.array(*map(F.lit, (0.001, 0.01, 0.1)))))
+    gap = F.abs(F.col("rank") / F.col("n") - F.col("target")) * 1e9 + F.col("edge_id") / 1e12
+    return ranked.groupBy("target").agg(F.min_by("edge_id", gap).alias("edge_id"))
+
+
+@query("sm13_verdict", "scores", sql="WITH a AS (SELECT edge_id FROM scores ORDER BY ni DESC, edge_id LIMIT 25), b AS (SELECT edge_id FROM scores ORDER BY ni * (1 + cv / 10) DESC, edge_id LIMIT 25), j AS (SELECT CAST(count(*) FILTER (WHERE a.edge_id IS NOT NULL AND b.edge_id IS NOT NULL) AS DOUBLE) / count(*) AS j FROM a FULL JOIN b ON a.edge_id = b.edge_id) SELECT round(j, 6) AS jaccard, CASE WHEN round(j, 6) >= 0.8 THEN 'stable' ELSE 'sensitive' END AS verdict FROM j")
+def verdict(scores: DataFrame) -> DataFrame:
+    a = K.top_k(scores, "ni", "edge_id", 25)
+    b = K.top_k(scores.withColumn("s", F.col("ni") * (1 + F.col("cv") / 10)), "s", "edge_id", 25)
+    return K.jaccard(a, b, ["edge_id"]).withColumn("verdict", F.when(F.col("jaccard") >= 0.8, "stable").otherwise("sensitive"))
+
+
+@query("sm15_severity_headline", "od", sql="SELECT f AS factor, round(avg(t1x / t0 - 1) * 100, 5) AS mean_increase FROM (SELECT f, t0, t0 * (1 + (t1 / t0 - 1) * f) AS t1x FROM od, (VALUES (0.8::DOUBLE), (1.0), (1.2)) x(f) WHERE t0 > 0 AND t1 IS NOT NULL) t GROUP BY f")
+def severity_headline(od: DataFrame) -> DataFrame:
+    rows = od.filter("t0 > 0 AND t1 IS NOT NULL").withColumn("factor", F.explode(F.array(*map(F.lit, (0.8, 1.0, 1.2)))))
+    scaled = F.col("t0") * (1 + (F.col("t1") / F.col("t0") - 1) * F.col("factor"))
+    return rows.groupBy("factor").agg(F.round(F.avg(scaled / F.col("t0") - 1) * 100, 5).alias("mean_increase"))
+
+
+@query("sm21_leverage", "scores", sql="WITH r AS (SELECT ni * cv AS s, row_number() OVER (ORDER BY ni * cv DESC, edge_id) AS r, count(*) OVER () AS n FROM scores WHERE cv > 0.02) SELECT max(n) AS n_unpaved, round(sum(CASE WHEN r <= floor(n * 0.01) THEN s ELSE 0 END) / sum(s) * 100, 5) AS guided_pct, round(sum(CASE WHEN r <= floor(n * 0.01) THEN s ELSE 0 END) / sum(s) / (floor(max(n) * 0.01) / max(n)), 4) AS leverage FROM r")
+def leverage(scores: DataFrame) -> DataFrame:
+    """What the first hundredth of the slowed edges holds of the total score, against an even share."""
+    pool = scores.filter("cv > 0.02").withColumn("s", F.col("ni") * F.col("cv"))
+    n = pool.count()
+    k = n // 100
+    top = pool.orderBy(F.desc("s"), "edge_id").limit(k).agg(F.sum("s").alias("top"))
+    share = F.col("top") / F.col("total")
+    return pool.agg(F.count("*").alias("n_unpaved"), F.sum("s").alias("total")).crossJoin(F.broadcast(top)).select("n_unpaved", F.round(share * 100, 5).alias("guided_pct"), F.round(share / (k / n), 4).alias("leverage"))
+
+
+@query("sm22_stability_curve", "scores", sql="SELECT k, p AS period, round(avg(cv * (1 + p / 100.0::DOUBLE)), 6) AS mean_cv FROM scores, (VALUES (100), (500)) x(k), (VALUES (45), (65), (85)) y(p) WHERE edge_id % 1000 < k GROUP BY k, p")
+def stability_curve(scores: DataFrame) -> DataFrame:
+    grid = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(p).alias("period")) for k in (100, 500) for p in (45, 65, 85)))).alias("g")
+    rows = scores.select("edge_id", "cv", grid).select("edge_id", "cv", "g.*").filter(F.col("edge_id") % 1000 < F.col("k"))
+    return rows.groupBy("k", "period").agg(F.round(F.avg(F.col("cv") * (1 + F.col("period") / 100)), 6).alias("mean_cv"))
+
+
+@query("sm23_mirror_table", "access", "country", sql="WITH a AS (SELECT country_id, quantile_cont(t_extreme - t_normal, 0.5) AS p50, quantile_cont(t_extreme - t_normal, 0.9) AS p90 FROM access GROUP BY country_id) SELECT country, round(p50 * 60, 4) AS p50_min, round(p90 * 60, 4) AS p90_min, round((p90 - p50) * 60, 4) AS gap_min, p90 > 1 AS capped FROM a JOIN country c ON a.country_id = c.country_id")
+def mirror(access: DataFrame, country: DataFrame) -> DataFrame:
+    d = F.col("t_extreme") - F.col("t_normal")
+    a = access.groupBy("country_id").agg(F.percentile(d, 0.5).alias("p50"), F.percentile(d, 0.9).alias("p90"))
+    minutes = lambda c, k: F.round(c * 60, 4).alias(k)
+    return a.join(country, "country_id").select("country", minutes(F.col("p50"), "p50_min"), minutes(F.col("p90"), "p90_min"), minutes(F.col("p90") - F.col("p50"), "gap_min"), (F.col("p90") > 1).alias("capped"))

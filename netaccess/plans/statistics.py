@@ -85,3 +85,12 @@ def tags(scores: DataFrame) -> DataFrame:
 @query("stj_predicted_surface", "access", sql="SELECT country_id, round(0.778 - 0.038 * ln(1 + avg(t_normal)) - 0.044 * ln(1 + avg(population)), 5) AS predicted FROM access GROUP BY country_id")
 def surface(access: DataFrame) -> DataFrame:
     return access.groupBy("country_id").agg(F.round(0.778 - 0.038 * F.log1p(F.avg("t_normal")) - 0.044 * F.log1p(F.avg("population")), 5).alias("predicted"))
+
+
+@query("std_model_search", "access", sql="""WITH g AS (SELECT t_extreme - t_normal AS y, population AS p, t_normal AS t FROM access WHERE t_extreme IS NOT NULL), m AS (SELECT 'identity' AS form, regr_r2(y, p) AS r2 FROM g UNION ALL SELECT 'log1p', regr_r2(y, ln(1 + p)) FROM g UNION ALL SELECT 'sqrt', regr_r2(y, sqrt(p)) FROM g UNION ALL SELECT 'time', regr_r2(y, t) FROM g) SELECT form, round(r2, 6) AS r2 FROM m""")
+def model_search(access: DataFrame) -> DataFrame:
+    """Every candidate predictor from one aggregation of the same rows."""
+    rows = access.filter("t_extreme IS NOT NULL").withColumn("y", F.col("t_extreme") - F.col("t_normal"))
+    forms = {"identity": F.col("population"), "log1p": F.log1p("population"), "sqrt": F.sqrt("population"), "time": F.col("t_normal")}
+    wide = rows.agg(*(F.regr_r2("y", x).alias(k) for k, x in forms.items()))
+    return wide.unpivot([], list(forms), "form", "r2").select("form", F.round("r2", 6).alias("r2"))
