@@ -1,6 +1,6 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
-A line's tokens are its distinct shingles of ``WORDS`` lower-case words. A line is removed if an earlier
+A line's tokens are its distinct shingles of ``WORDS`` words as written. A line is removed if an earlier
 line, in order of (doc_id, line number), has the same words or a Jaccard similarity of at least
 ``percent`` / 100, whether that earlier line stays or not. Lines of fewer than ``WORDS`` words always stay:
 so few words recur by chance.
@@ -45,21 +45,28 @@ def narrow(docs: DataFrame) -> DataFrame:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """uid and words (lower-case, in order) of every line with enough words."""
-    rows = narrow(docs).select("doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "raw"))
+    """uid and words (in order) of every line with enough words."""
+    rows = narrow(docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     rows = rows.select(line_key().alias("uid"), F.array_remove(F.split("raw", BLANK), "").alias("words"))
     return rows.filter(F.size("words") >= WORDS)
 
 
-def shingles(make: str) -> Column:
-    """Distinct values of ``make`` (xxhash64, or concat_ws with a blank) over each run of WORDS words."""
-    run = ", ".join(f"words[i + {k}]" for k in range(WORDS))
-    return F.array_distinct(F.expr(f"transform(sequence(0, size(words) - {WORDS}), i -> {make}{run}))"))
+def shingle_texts(words: str) -> Column:
+    """Distinct shingles as texts: the exact form, for lines that are compared."""
+    run = ", ".join(f"{words}[i + {k}]" for k in range(WORDS))
+    return F.array_distinct(F.expr(f"transform(sequence(0, size({words}) - {WORDS}), i -> concat_ws(' ', {run}))"))
+
+
+def with_tokens(lines: DataFrame) -> DataFrame:
+    """``lines`` with tokens, the distinct shingle hashes: words are hashed once, shingles from their words' hashes."""
+    run = ", ".join(f"hashes[i + {k}]" for k in range(WORDS))
+    hashed = lines.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    return hashed.withColumn("tokens", F.array_distinct(F.expr(f"transform(sequence(0, size(hashes) - {WORDS}), i -> xxhash64({run}))")))
 
 
 def rarity_levels(lines: DataFrame) -> Column:
     """An array literal: for each hash bucket, 4 log2 of the number of lines' tokens in it."""
-    tokens = lines.select(F.explode(shingles("xxhash64(")).alias("token"))
+    tokens = with_tokens(lines).select(F.explode("tokens").alias("token"))
     counts = tokens.groupBy((F.col("token").bitwiseAND(F.lit(BUCKETS - 1))).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
     levels = [0] * BUCKETS
     for row in counts.collect():
@@ -74,12 +81,12 @@ def least_overlap(n: Column, percent: int) -> Column:
 def line_facts(docs: DataFrame, percent: int) -> DataFrame:
     """uid, h1, h2 (of the words in order), n, first (the tokens to post, rarest first)."""
     lines = lines_of(docs)
-    hashed = lines.select("uid", F.array_join("words", " ").alias("joined"), shingles("xxhash64(").alias("tokens"), rarity_levels(lines).alias("level"))
+    hashed = with_tokens(lines).select("uid", "hashes", "tokens", rarity_levels(lines).alias("level"))
     # the level in the high bits, the hash in the others: one number orders and names a token
     ordered = F.expr(f"array_sort(transform(tokens, h -> shiftleft(element_at(level, cast(h & {BUCKETS - 1} as int) + 1), 56) | shiftrightunsigned(h, 8)))")
     n = F.size("tokens")
     return hashed.select(
-        "uid", F.xxhash64("joined").alias("h1"), F.xxhash64("joined", F.lit(1)).alias("h2"), n.alias("n"),
+        "uid", F.xxhash64("hashes").alias("h1"), F.xxhash64(F.lit(1), "hashes").alias("h2"), n.alias("n"),
         F.slice(ordered, 1, (n - least_overlap(n, percent) + 1).cast("int")).alias("first"),
     )
 
@@ -92,14 +99,12 @@ def plausible(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - ranks[0], nb - ranks[1]) >= need)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """uid of the later line of each pair (early, uid) whose shingles reach the threshold."""
-    wanted = materialize(pairs.select(F.explode(F.array("early", "uid")).alias("uid")).distinct(), "line-wanted")
-    lines = lines_of(docs).join(broadcast_if_small(wanted, BROADCAST_ROWS), "uid", "left_semi")
-    sets = materialize(lines, "line-sets").select("uid", shingles("concat_ws(' ', ").alias("set"))
-    both = pairs.join(sets.select("uid", F.col("set").alias("b")), "uid").join(sets.select(F.col("uid").alias("early"), F.col("set").alias("a")), "early")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.filter(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("uid").distinct()
+def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """uid of the later line of each pair (early, uid) whose shingles reach the threshold; words travel, shingles are made after."""
+    both = pairs.join(lines.select("uid", F.col("words").alias("b")), "uid").join(lines.select(F.col("uid").alias("early"), F.col("words").alias("a")), "early")
+    both = both.withColumns({"sa": shingle_texts("a"), "sb": shingle_texts("b")})
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("uid").distinct()
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -117,13 +122,15 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lists = lists.select("token", F.col("head.uid").alias("head"), F.col("head.m").alias("head_m"))
     listed = materialize(posted.join(lists, "token").filter("uid <> head"), "line-lists")
     pairs = listed.filter(plausible("head_m", "m", percent)).select(F.col("head").alias("early"), "uid").distinct()
-    near = materialize(verified(materialize(pairs, "line-pairs"), docs, percent), "line-near")
+    wanted = materialize(listed.select(F.explode(F.array("head", "uid")).alias("uid")).distinct(), "line-wanted")
+    lines = materialize(lines_of(docs).join(broadcast_if_small(wanted, BROADCAST_ROWS), "uid", "left_semi"), "line-words")
+    near = materialize(verified(materialize(pairs, "line-pairs"), lines, percent), "line-near")
 
     unmatched = listed.join(near, "uid", "left_anti")
     others = listed.select("token", F.col("uid").alias("early"), F.col("m").alias("early_m"))
     more = unmatched.join(others, "token").filter((F.col("early") < F.col("uid")) & plausible("early_m", "m", percent))
     more = materialize(more.select("early", "uid").distinct(), "line-more")
-    return equal.union(near).union(verified(more, docs, percent))
+    return equal.union(near).union(verified(more, lines, percent))
 
 
 def with_clean_text(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

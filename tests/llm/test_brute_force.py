@@ -124,7 +124,7 @@ def test_jaccard_empty(no_docs):
 
 
 def removed_lines(rows):
-    lines = [(i, k, lowered(x.lower())) for i, t in sorted({(i, t) for i, t in rows if t}) for k, x in enumerate(t.split("\n"))]
+    lines = [(i, k, WORDS.findall(x)) for i, t in sorted({(i, t) for i, t in rows if t}) for k, x in enumerate(t.split("\n"))]
     lines = [(i, k, {tuple(w[j : j + 5]) for j in range(len(w) - 4)}) for i, k, w in lines if len(w) >= 5]
     gone = set()
     for n, (i, k, s) in enumerate(lines):
