@@ -5,14 +5,15 @@ only its least doc_id goes on. Shingles have one global order, rarest first, tie
 shingles are counted over all documents, and only the order, never the result, depends on how finely.
 Two sets that reach the threshold share a shingle among the first n - ceil(t n) + 1 of each.
 
-1. Every class posts these shingles. Of each posting list the least document is the hub, and the
-   others are searched against it: as many pairs as postings, however long a list is.
+1. Every class posts these shingles. Of each posting list the document to which the shingle is rarest (the
+   one with fewest changes in a group of near copies) is the hub, and the others are searched against it:
+   as many pairs as postings, however long a list is.
 2. A search takes a document and a chunk of candidates. It builds inverted lists over the document's
    shingles, merges the short ones with a heap, probes the long ones by binary search only for candidates
    that can still reach the required overlap (DivideSkip), and keeps those that do.
-3. Links give components. Documents that share a list share its hub; a hub's group that still holds
-   several components has its documents outside the group's main component searched against the whole
-   group, chunk by chunk. Pairs within one component, which could not change the result, are passed over.
+3. Links give components. Lists that still hold several give their pairs across components, which are
+   searched in the same way; pairs within one component could not change the result. Length and position
+   filters come before any pair is made.
 
 Null and empty texts and texts without words have empty sets and are linked with nothing. Rows of one doc_id
 count as one document with the least n_shingles first. Rows without doc_id stay alone, with a null
@@ -164,21 +165,6 @@ def search(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     return search_blocks(materialize(asked, "jaccard-asked"), docs, k, percent)
 
 
-def search_groups(groups: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links across components in hub groups (hub, doc_id, part): documents outside a group's main component
-    are searched against the group. Both sides are dealt into chunks, and a block is a chunk of each."""
-    shares = groups.groupBy("hub", "part").agg(F.count("*").alias("n"))
-    main = shares.groupBy("hub").agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
-    # a group of two is its hub and one document, which have been compared
-    main = main.filter((F.col("all") > F.col("most")) & (F.col("all") > 2))
-    rows = groups.join(main, "hub").withColumn("asks", F.col("part") != F.col("main"))
-    n_asked, n_all = F.ceil((F.col("all") - F.col("most")) / CHUNK), F.ceil(F.col("all") / CHUNK)
-    chunk = lambda n: F.pmod(F.xxhash64("doc_id"), n)
-    as_query = rows.filter("asks").select("doc_id", "hub", chunk(n_asked).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), n_all - 1)).alias("j"), "asks", "part")
-    as_entry = rows.select("doc_id", "hub", F.explode(F.sequence(F.lit(0).cast("long"), n_asked - 1)).alias("i"), chunk(n_all).alias("j"), F.lit(False).alias("asks"), "part")
-    return search_blocks(materialize(as_query.union(as_entry), "jaccard-blocks"), docs, k, percent)
-
-
 def search_blocks(asked: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (hub, doc_id) between the asking and the other documents of each block (hub, i, j), for unequal parts."""
     rows = docs.join(asked, "doc_id").select("hub", "i", "j", "asks", "part", "doc_id", "text")
@@ -233,18 +219,21 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     members = narrow(docs).join(broadcast_if_small(reps, CLASS_BROADCAST_ROWS), "doc_id", "left_semi")
 
     posted = materialize(postings(members, k, percent, hot), "shingle-postings")
-    first = F.struct("doc_id", "n", "rank")
-    lists = posted.groupBy("token").agg(F.min(first).alias("head"), F.count("*").alias("length")).filter("length > 1")
+    lists = posted.groupBy("token").agg(F.min(F.struct("rank", "doc_id", "n")).alias("head"), F.count("*").alias("length")).filter("length > 1")
     lists = lists.select("token", F.col("head.doc_id").alias("hub"), F.col("head.n").alias("hub_n"), F.col("head.rank").alias("hub_rank"))
-    listed = posted.join(lists, "token").filter("doc_id <> hub")
-    listed = listed.select("hub", "doc_id", plausible("n", "rank", "hub_n", "hub_rank", percent).alias("near"))
-    met = materialize(listed.groupBy("hub", "doc_id").agg(F.bool_or("near").alias("near")), "jaccard-met")
-    links = materialize(search(met.filter("near").select("hub", "doc_id"), members, k, percent), "jaccard-links")
+    listed = materialize(posted.join(lists, "token"), "shingle-lists")
+    pairs = listed.filter((F.col("doc_id") != F.col("hub")) & plausible("n", "rank", "hub_n", "hub_rank", percent)).select("hub", "doc_id").distinct()
+    pairs = materialize(pairs, "jaccard-pairs")
+    links = materialize(search(pairs, members, k, percent), "jaccard-links")
     parts = materialize(connected_components(links, "hub", "doc_id"), "jaccard-parts").withColumnRenamed("node", "doc_id")
 
-    groups = met.select("hub", "doc_id").union(met.select("hub", F.col("hub")).distinct())
-    groups = groups.join(parts, "doc_id", "left").select("hub", "doc_id", F.coalesce("component", "doc_id").alias("part"))
-    more = search_groups(materialize(groups, "jaccard-groups"), members, k, percent)
+    placed = listed.select("token", "doc_id", "n", "rank").join(broadcast_if_small(parts, CLASS_BROADCAST_ROWS), "doc_id", "left")
+    placed = placed.select("token", "doc_id", "n", "rank", F.coalesce("component", "doc_id").alias("part"))
+    other = placed.select("token", *(F.col(c).alias(f"b_{c}") for c in ("doc_id", "n", "rank", "part")))
+    across = placed.join(other, "token").filter((F.col("doc_id") < F.col("b_doc_id")) & (F.col("part") != F.col("b_part")) & plausible("n", "rank", "b_n", "b_rank", percent))
+    known = pairs.select(F.least("hub", "doc_id").alias("hub"), F.greatest("hub", "doc_id").alias("doc_id"))
+    across = across.select(F.col("doc_id").alias("hub"), F.col("b_doc_id").alias("doc_id")).distinct().join(known, ["hub", "doc_id"], "left_anti")
+    more = search(materialize(across, "jaccard-across"), members, k, percent)
     parts = connected_components(links.union(more), "hub", "doc_id")
 
     found = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
