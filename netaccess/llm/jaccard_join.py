@@ -35,7 +35,7 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 
 from netaccess.graph.components import connected_components
 from netaccess.llm.common import ascii_words, map_arrow, shingle_hashes
-from netaccess.runtime import broadcast_if_small, materialize
+from netaccess.runtime import broadcast_if_small, discard, materialize
 
 HOT_SHINGLES = 1 << 18
 FLUSH_SHINGLES = 8_000_000
@@ -222,6 +222,7 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     lists = posted.groupBy("token").agg(F.min(F.struct("rank", "doc_id", "n")).alias("head"), F.count("*").alias("length")).filter("length > 1")
     lists = lists.select("token", F.col("head.doc_id").alias("hub"), F.col("head.n").alias("hub_n"), F.col("head.rank").alias("hub_rank"))
     listed = materialize(posted.join(lists, "token"), "shingle-lists")
+    discard(posted)
     pairs = listed.filter((F.col("doc_id") != F.col("hub")) & plausible("n", "rank", "hub_n", "hub_rank", percent)).select("hub", "doc_id").distinct()
     pairs = materialize(pairs, "jaccard-pairs")
     links = materialize(search(pairs, members, k, percent), "jaccard-links")
@@ -233,7 +234,9 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     across = placed.join(other, "token").filter((F.col("doc_id") < F.col("b_doc_id")) & (F.col("part") != F.col("b_part")) & plausible("n", "rank", "b_n", "b_rank", percent))
     known = pairs.select(F.least("hub", "doc_id").alias("hub"), F.greatest("hub", "doc_id").alias("doc_id"))
     across = across.select(F.col("doc_id").alias("hub"), F.col("b_doc_id").alias("doc_id")).distinct().join(known, ["hub", "doc_id"], "left_anti")
-    more = search(materialize(across, "jaccard-across"), members, k, percent)
+    across = materialize(across, "jaccard-across")
+    discard(listed)
+    more = search(across, members, k, percent)
     parts = connected_components(links.union(more), "hub", "doc_id")
 
     found = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))

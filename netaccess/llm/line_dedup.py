@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netaccess.runtime import broadcast_if_small, materialize
+from netaccess.runtime import broadcast_if_small, discard, materialize
 
 PERCENT = 80
 WORDS = 5
@@ -121,6 +121,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lists = posted.groupBy("token").agg(F.min(F.struct("uid", "m")).alias("head"), F.count("*").alias("length")).filter("length > 1")
     lists = lists.select("token", F.col("head.uid").alias("head"), F.col("head.m").alias("head_m"))
     listed = materialize(posted.join(lists, "token").filter("uid <> head"), "line-lists")
+    discard(facts)
     pairs = listed.filter(plausible("head_m", "m", percent)).select(F.col("head").alias("early"), "uid").distinct()
     wanted = materialize(listed.select(F.explode(F.array("head", "uid")).alias("uid")).distinct(), "line-wanted")
     lines = materialize(lines_of(docs).join(broadcast_if_small(wanted, BROADCAST_ROWS), "uid", "left_semi"), "line-words")
