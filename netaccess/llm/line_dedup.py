@@ -60,7 +60,8 @@ def shingle_texts(words: str) -> Column:
 def with_tokens(lines: DataFrame) -> DataFrame:
     """``lines`` with tokens, the distinct shingle hashes: words are hashed once, shingles from their words' hashes."""
     run = ", ".join(f"hashes[i + {k}]" for k in range(WORDS))
-    hashed = lines.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    # the explode of one element keeps the optimiser from computing the words' hashes anew for every shingle
+    hashed = lines.withColumn("hashes", F.explode(F.array(F.transform("words", lambda w: F.xxhash64(w)))))
     return hashed.withColumn("tokens", F.array_distinct(F.expr(f"transform(sequence(0, size(hashes) - {WORDS}), i -> xxhash64({run}))")))
 
 
