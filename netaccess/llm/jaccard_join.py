@@ -167,7 +167,7 @@ def search(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
 
 def search_blocks(asked: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (hub, doc_id) between the asking and the other documents of each block (hub, i, j), for unequal parts."""
-    rows = docs.join(asked, "doc_id").select("hub", "i", "j", "asks", "part", "doc_id", "text")
+    rows = docs.join(broadcast_if_small(asked, CLASS_BROADCAST_ROWS), "doc_id").select("hub", "i", "j", "asks", "part", "doc_id", "text")
     rows = rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     schema = StructType([StructField("hub", LongType()), StructField("doc_id", LongType())])
 
