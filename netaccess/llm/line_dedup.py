@@ -102,7 +102,8 @@ def plausible(a: str, b: str, percent: int) -> Column:
 
 def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """uid of the later line of each pair (early, uid) whose shingles reach the threshold; words travel, shingles are made after."""
-    both = pairs.join(lines.select("uid", F.col("words").alias("b")), "uid").join(lines.select(F.col("uid").alias("early"), F.col("words").alias("a")), "early")
+    first = lines.select("uid", F.col("words").alias("b")).join(broadcast_if_small(pairs, BROADCAST_ROWS), "uid")
+    both = first.join(lines.select(F.col("uid").alias("early"), F.col("words").alias("a")), "early")
     both = both.withColumns({"sa": shingle_texts("a"), "sb": shingle_texts("b")})
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("uid").distinct()
