@@ -58,15 +58,15 @@ def shingle_texts(words: str) -> Column:
 
 
 def with_tokens(lines: DataFrame) -> DataFrame:
-    """``lines`` with tokens, the distinct shingle hashes: words are hashed once, shingles from their words' hashes."""
+    """``lines`` with hashes of the words and tokens, the shingle hashes made from these, as often as they occur."""
     run = ", ".join(f"hashes[i + {k}]" for k in range(WORDS))
     # the explode of one element keeps the optimiser from computing the words' hashes anew for every shingle
     hashed = lines.withColumn("hashes", F.explode(F.array(F.transform("words", lambda w: F.xxhash64(w)))))
-    return hashed.withColumn("tokens", F.array_distinct(F.expr(f"transform(sequence(0, size(hashes) - {WORDS}), i -> xxhash64({run}))")))
+    return hashed.withColumn("tokens", F.expr(f"transform(sequence(0, size(hashes) - {WORDS}), i -> xxhash64({run}))"))
 
 
 def rarity_levels(lines: DataFrame) -> Column:
-    """An array literal: for each hash bucket, 4 log2 of the number of lines' tokens in it."""
+    """An array literal: for each hash bucket, 4 log2 of the number of tokens of all lines in it."""
     tokens = with_tokens(lines).select(F.explode("tokens").alias("token"))
     counts = tokens.groupBy((F.col("token").bitwiseAND(F.lit(BUCKETS - 1))).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
     levels = [0] * BUCKETS
@@ -82,7 +82,7 @@ def least_overlap(n: Column, percent: int) -> Column:
 def line_facts(docs: DataFrame, percent: int) -> DataFrame:
     """uid, h1, h2 (of the words in order), n, first (the tokens to post, rarest first)."""
     lines = lines_of(docs)
-    hashed = with_tokens(lines).select("uid", "hashes", "tokens", rarity_levels(lines).alias("level"))
+    hashed = with_tokens(lines).select("uid", "hashes", F.array_distinct("tokens").alias("tokens"), rarity_levels(lines).alias("level"))
     # the level in the high bits, the hash in the others: one number orders and names a token
     ordered = F.expr(f"array_sort(transform(tokens, h -> shiftleft(element_at(level, cast(h & {BUCKETS - 1} as int) + 1), 56) | shiftrightunsigned(h, 8)))")
     n = F.size("tokens")
