@@ -44,10 +44,16 @@ def narrow(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text <> ''")
 
 
+def once(value: Column) -> Column:
+    """The value, made once a row: the outer explode of one element keeps the optimiser from copying its making
+    into every later use (an inner explode would itself add a filter that makes it again)."""
+    return F.explode_outer(F.array(value))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """uid and words (in order) of every line with enough words."""
-    rows = narrow(docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    rows = rows.select(line_key().alias("uid"), F.array_remove(F.split("raw", BLANK), "").alias("words"))
+    rows = narrow(docs).select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line", "raw"))
+    rows = rows.select(line_key().alias("uid"), once(F.array_remove(F.split("raw", BLANK), "")).alias("words"))
     return rows.filter(F.size("words") >= WORDS)
 
 
@@ -60,18 +66,18 @@ def shingle_texts(words: str) -> Column:
 def with_tokens(lines: DataFrame) -> DataFrame:
     """``lines`` with hashes of the words and tokens, the shingle hashes made from these, as often as they occur."""
     run = ", ".join(f"hashes[i + {k}]" for k in range(WORDS))
-    # the explode of one element keeps the optimiser from computing the words' hashes anew for every shingle
-    hashed = lines.withColumn("hashes", F.explode(F.array(F.transform("words", lambda w: F.xxhash64(w)))))
+    hashed = lines.withColumn("hashes", once(F.transform("words", lambda w: F.xxhash64(w))))
     return hashed.withColumn("tokens", F.expr(f"transform(sequence(0, size(hashes) - {WORDS}), i -> xxhash64({run}))"))
 
 
 def rarity_levels(lines: DataFrame) -> Column:
     """An array literal: for each hash bucket, 4 log2 of the number of tokens of all lines in it."""
-    tokens = with_tokens(lines).select(F.explode("tokens").alias("token"))
+    tokens = with_tokens(lines).select(F.explode_outer("tokens").alias("token"))
     counts = tokens.groupBy((F.col("token").bitwiseAND(F.lit(BUCKETS - 1))).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
     levels = [0] * BUCKETS
-    for row in counts.collect():
-        levels[row["bucket"]] = min(127, int(4 * math.log2(1 + row["n"])))
+    found = counts.toArrow()
+    for bucket, n in zip(found.column("bucket").to_pylist(), found.column("n").to_pylist()):
+        levels[bucket] = min(127, int(4 * math.log2(1 + n)))
     return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
 
 
