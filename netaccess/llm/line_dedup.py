@@ -2,8 +2,9 @@
 
 A line's tokens are its distinct shingles of ``WORDS`` words as written. A line is removed if an earlier
 line, in order of (doc_id, line number), has the same words or a Jaccard similarity of at least
-``percent`` / 100, whether that earlier line stays or not. Lines of fewer than ``WORDS`` words always stay:
-so few words recur by chance.
+``percent`` / 100, whether that earlier line stays or not. The one token of a line of fewer than ``WORDS`` words
+is its whole sequence of words, so that it meets equal lines only. Lines of fewer than ``least`` words stay; the
+queries take every line with a word (``EVERY_LINE``).
 
 1. Rarity: tokens are counted by hash bucket over all lines; they are ordered by the logarithm of their
    bucket's count, then by hash. Any order gives the same result; rare first is fast.
@@ -29,6 +30,7 @@ from netaccess.runtime import broadcast_if_small, discard, materialize
 
 PERCENT = 80
 WORDS = 5
+EVERY_LINE = 1
 BUCKETS = 1 << 16
 LINE_BITS = 22
 BROADCAST_ROWS = 1_000_000
@@ -50,11 +52,11 @@ def once(value: Column) -> Column:
     return F.explode_outer(F.array(value))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """uid and words (in order) of every line with enough words."""
+def lines_of(docs: DataFrame, least: int) -> DataFrame:
+    """uid and words (in order) of every line of at least ``least`` words."""
     rows = narrow(docs).select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line", "raw"))
     rows = rows.select(line_key().alias("uid"), once(F.array_remove(F.split("raw", BLANK), "")).alias("words"))
-    return rows.filter(F.size("words") >= WORDS)
+    return rows.filter(F.size("words") >= least)
 
 
 def shingle_texts(words: str) -> Column:
@@ -64,10 +66,11 @@ def shingle_texts(words: str) -> Column:
 
 
 def with_tokens(lines: DataFrame) -> DataFrame:
-    """``lines`` with hashes of the words and tokens, the shingle hashes made from these, as often as they occur."""
+    """``lines`` with hashes of the words and tokens, the shingle hashes made from these, as often as they occur
+    (none for a line too short for one: its words in order are compared as a whole)."""
     run = ", ".join(f"hashes[i + {k}]" for k in range(WORDS))
     hashed = lines.withColumn("hashes", once(F.transform("words", lambda w: F.xxhash64(w))))
-    return hashed.withColumn("tokens", F.expr(f"transform(sequence(0, size(hashes) - {WORDS}), i -> xxhash64({run}))"))
+    return hashed.withColumn("tokens", F.expr(f"if(size(hashes) < {WORDS}, cast(array() as array<bigint>), transform(sequence(0, size(hashes) - {WORDS}), i -> xxhash64({run})))"))
 
 
 def rarity_levels(lines: DataFrame) -> Column:
@@ -77,7 +80,8 @@ def rarity_levels(lines: DataFrame) -> Column:
     levels = [0] * BUCKETS
     found = counts.toArrow()
     for bucket, n in zip(found.column("bucket").to_pylist(), found.column("n").to_pylist()):
-        levels[bucket] = min(127, int(4 * math.log2(1 + n)))
+        if bucket is not None:
+            levels[bucket] = min(127, int(4 * math.log2(1 + n)))
     return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
 
 
@@ -85,16 +89,16 @@ def least_overlap(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100)
 
 
-def line_facts(docs: DataFrame, percent: int) -> DataFrame:
+def line_facts(docs: DataFrame, percent: int, least: int = WORDS) -> DataFrame:
     """uid, h1, h2 (of the words in order), n, first (the tokens to post, rarest first)."""
-    lines = lines_of(docs)
+    lines = lines_of(docs, least)
     hashed = with_tokens(lines).select("uid", "hashes", F.array_distinct("tokens").alias("tokens"), rarity_levels(lines).alias("level"))
     # the level in the high bits, the hash in the others: one number orders and names a token
     ordered = F.expr(f"array_sort(transform(tokens, h -> shiftleft(element_at(level, cast(h & {BUCKETS - 1} as int) + 1), 56) | shiftrightunsigned(h, 8)))")
     n = F.size("tokens")
     return hashed.select(
         "uid", F.xxhash64("hashes").alias("h1"), F.xxhash64(F.lit(1), "hashes").alias("h2"), n.alias("n"),
-        F.slice(ordered, 1, (n - least_overlap(n, percent) + 1).cast("int")).alias("first"),
+        F.slice(ordered, 1, (n - least_overlap(n, percent) + 1).cast("int")).alias("first"),  # empty if there is no token
     )
 
 
@@ -115,9 +119,9 @@ def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("uid").distinct()
 
 
-def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = WORDS) -> DataFrame:
     """uid of every line that an earlier line matches."""
-    facts = materialize(line_facts(docs, percent), "line-facts")
+    facts = materialize(line_facts(docs, percent, least), "line-facts")
     firsts = materialize(facts.groupBy("h1", "h2").agg(F.min("uid").alias("uid"), F.max("uid").alias("last")), "line-firsts")
     repeated = firsts.filter("uid < last")
     equal = facts.select("uid", "h1", "h2").join(repeated.select("h1", "h2", F.col("uid").alias("early")), ["h1", "h2"]).filter("uid > early").select("uid").distinct()
@@ -132,7 +136,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     discard(facts)
     pairs = listed.filter(plausible("head_m", "m", percent)).select(F.col("head").alias("early"), "uid").distinct()
     wanted = materialize(listed.select(F.explode(F.array("head", "uid")).alias("uid")).distinct(), "line-wanted")
-    lines = materialize(lines_of(docs).join(broadcast_if_small(wanted, BROADCAST_ROWS), "uid", "left_semi"), "line-words")
+    lines = materialize(lines_of(docs, WORDS).join(broadcast_if_small(wanted, BROADCAST_ROWS), "uid", "left_semi"), "line-words")
     near = materialize(verified(materialize(pairs, "line-pairs"), lines, percent), "line-near")
 
     unmatched = listed.join(near, "uid", "left_anti")
@@ -142,9 +146,9 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return equal.union(near).union(verified(more, lines, percent))
 
 
-def with_clean_text(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def with_clean_text(docs: DataFrame, percent: int = PERCENT, least: int = WORDS) -> DataFrame:
     """``docs`` with removed (numbers of removed lines, null if none) and clean (the text without them)."""
-    gone = removed_lines(docs, percent).distinct()
+    gone = removed_lines(docs, percent, least).distinct()
     doc = F.shiftright("uid", LINE_BITS)
     gone = gone.groupBy(doc.alias("gone_doc")).agg(F.collect_list((F.col("uid") - doc * (1 << LINE_BITS)).cast("int")).alias("removed"))
     gone = broadcast_if_small(materialize(gone, "line-removed"), BROADCAST_ROWS)
@@ -153,16 +157,16 @@ def with_clean_text(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return joined.withColumn("clean", F.when(F.col("removed").isNull(), docs["text"].cast("string")).otherwise(F.array_join(kept, "\n")))
 
 
-def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = WORDS) -> DataFrame:
     """``docs`` with its text, and n_chars where it is a column, after removal."""
-    clean = with_clean_text(docs, percent)
+    clean = with_clean_text(docs, percent, least)
     values = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
     return clean.select(*(values[c].alias(c) if c in values else docs[c] for c in docs.columns))
 
 
-def line_report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def line_report(docs: DataFrame, percent: int = PERCENT, least: int = WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed, text_sha256 (of the cleaned text; null: empty) for every document."""
-    clean = with_clean_text(docs, percent)
+    clean = with_clean_text(docs, percent, least)
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     return clean.select(
         docs["doc_id"].cast("long").alias("doc_id"), F.size(F.split(text, "\n")).cast("long").alias("n_lines"),
