@@ -16,7 +16,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat earlier lines go; a document left without lines stays, empty."""
-    return line_dedup.dedup_lines(docs, least=line_dedup.EVERY_LINE)
+    return line_dedup.dedup_lines(docs, least=line_dedup.EVERY_LINE, width=line_dedup.BY_WORD)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

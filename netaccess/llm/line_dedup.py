@@ -1,18 +1,19 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
-A line's tokens are its distinct shingles of ``WORDS`` words as written. A line is removed if an earlier
-line, in order of (doc_id, line number), has the same words or a Jaccard similarity of at least
-``percent`` / 100, whether that earlier line stays or not. The one token of a line of fewer than ``WORDS`` words
-is its whole sequence of words, so that it meets equal lines only. Lines of fewer than ``least`` words stay; the
-queries take every line with a word (``EVERY_LINE``).
+A line's tokens are its distinct shingles of ``width`` words as written; the queries take single words
+(``BY_WORD``). A line is removed if an earlier line, in order of (doc_id, line number), has the same words or a
+Jaccard similarity of at least ``percent`` / 100, whether that earlier line stays or not. The one token of a line
+of fewer than ``width`` words is its whole sequence of words, so that it meets equal lines only. Lines of fewer
+than ``least`` words stay; the queries take every line with a word (``EVERY_LINE``).
 
 1. Rarity: tokens are counted by hash bucket over all lines; they are ordered by the logarithm of their
    bucket's count, then by hash. Any order gives the same result; rare first is fast.
 2. Equal lines meet by hash and all but the first go. Of the others each posts its first n - ceil(t n) + 1
-   tokens with its length and the token's rank.
+   tokens with its length, the token's rank and a 64-bit signature with a bit for each token.
 3. In each posting list all lines are tried against the first one, so pairs grow with the postings, not
-   with their square. Lines still without a match are then tried against the others of their lists. Length
-   and position filter pairs before any is made; the shingles of the rest are compared word by word.
+   with their square. Lines still without a match are then tried against the others of their lists. Length,
+   position and signature (set bits that differ are at most the tokens that differ) filter pairs before any is
+   made; the tokens of the rest are compared word by word.
 
 Null and empty texts have no lines to remove and stay as they are. Rows of one doc_id count as one document.
 Rows without doc_id are left alone. Documents may have up to 2^22 lines. Empty tables give an empty result;
@@ -31,6 +32,7 @@ from netaccess.runtime import broadcast_if_small, discard, materialize
 PERCENT = 80
 WORDS = 5
 EVERY_LINE = 1
+BY_WORD = 1
 BUCKETS = 1 << 16
 LINE_BITS = 22
 BROADCAST_ROWS = 1_000_000
@@ -59,23 +61,27 @@ def lines_of(docs: DataFrame, least: int) -> DataFrame:
     return rows.filter(F.size("words") >= least)
 
 
-def shingle_texts(words: str) -> Column:
+def shingle_texts(words: str, width: int) -> Column:
     """Distinct shingles as texts: the exact form, for lines that are compared."""
-    run = ", ".join(f"{words}[i + {k}]" for k in range(WORDS))
-    return F.array_distinct(F.expr(f"transform(sequence(0, size({words}) - {WORDS}), i -> concat_ws(' ', {run}))"))
+    if width == 1:
+        return F.array_distinct(words)
+    run = ", ".join(f"{words}[i + {k}]" for k in range(width))
+    return F.array_distinct(F.expr(f"transform(sequence(0, size({words}) - {width}), i -> concat_ws(' ', {run}))"))
 
 
-def with_tokens(lines: DataFrame) -> DataFrame:
+def with_tokens(lines: DataFrame, width: int) -> DataFrame:
     """``lines`` with hashes of the words and tokens, the shingle hashes made from these, as often as they occur
     (none for a line too short for one: its words in order are compared as a whole)."""
-    run = ", ".join(f"hashes[i + {k}]" for k in range(WORDS))
     hashed = lines.withColumn("hashes", once(F.transform("words", lambda w: F.xxhash64(w))))
-    return hashed.withColumn("tokens", F.expr(f"if(size(hashes) < {WORDS}, cast(array() as array<bigint>), transform(sequence(0, size(hashes) - {WORDS}), i -> xxhash64({run})))"))
+    if width == 1:
+        return hashed.withColumn("tokens", F.col("hashes"))
+    run = ", ".join(f"hashes[i + {k}]" for k in range(width))
+    return hashed.withColumn("tokens", F.expr(f"if(size(hashes) < {width}, cast(array() as array<bigint>), transform(sequence(0, size(hashes) - {width}), i -> xxhash64({run})))"))
 
 
-def rarity_levels(lines: DataFrame) -> Column:
+def rarity_levels(lines: DataFrame, width: int) -> Column:
     """An array literal: for each hash bucket, 4 log2 of the number of tokens of all lines in it."""
-    tokens = with_tokens(lines).select(F.explode_outer("tokens").alias("token"))
+    tokens = with_tokens(lines, width).select(F.explode_outer("tokens").alias("token"))
     counts = tokens.groupBy((F.col("token").bitwiseAND(F.lit(BUCKETS - 1))).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
     levels = [0] * BUCKETS
     found = counts.toArrow()
@@ -89,39 +95,45 @@ def least_overlap(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100)
 
 
-def line_facts(docs: DataFrame, percent: int, least: int = WORDS) -> DataFrame:
-    """uid, h1, h2 (of the words in order), n, first (the tokens to post, rarest first)."""
+def line_facts(docs: DataFrame, percent: int, least: int = WORDS, width: int = WORDS) -> DataFrame:
+    """uid, h1, h2 (of the words in order), n, sig, first (the tokens to post, rarest first)."""
     lines = lines_of(docs, least)
-    hashed = with_tokens(lines).select("uid", "hashes", F.array_distinct("tokens").alias("tokens"), rarity_levels(lines).alias("level"))
+    hashed = with_tokens(lines, width).select("uid", "hashes", once(F.array_distinct("tokens")).alias("tokens"), rarity_levels(lines, width).alias("level"))
     # the level in the high bits, the hash in the others: one number orders and names a token
     ordered = F.expr(f"array_sort(transform(tokens, h -> shiftleft(element_at(level, cast(h & {BUCKETS - 1} as int) + 1), 56) | shiftrightunsigned(h, 8)))")
     n = F.size("tokens")
     return hashed.select(
         "uid", F.xxhash64("hashes").alias("h1"), F.xxhash64(F.lit(1), "hashes").alias("h2"), n.alias("n"),
+        F.expr("aggregate(tokens, 0L, (s, h) -> s | shiftleft(1L, cast(h & 63 as int)))").alias("sig"),
         F.slice(ordered, 1, (n - least_overlap(n, percent) + 1).cast("int")).alias("first"),  # empty if there is no token
     )
 
 
 def plausible(a: str, b: str, percent: int) -> Column:
-    """Length and position filters on two posted tokens (n << 32 | rank); a matching pair passes both at its first shared token."""
-    na, nb = F.shiftright(a, 32), F.shiftright(b, 32)
-    ranks = [F.col(c).bitwiseAND(F.lit((1 << 32) - 1)) for c in (a, b)]
+    """Length, position and signature filters on two posted tokens (m: n << 32 | rank, and sig); a matching pair passes each at its first shared token."""
+    na, nb = F.shiftright(f"{a}m", 32), F.shiftright(f"{b}m", 32)
+    ranks = [F.col(f"{c}m").bitwiseAND(F.lit((1 << 32) - 1)) for c in (a, b)]
     need = F.floor((percent * (na + nb) + 99 + percent) / (100 + percent))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - ranks[0], nb - ranks[1]) >= need)
+    differ = F.bit_count(F.col(f"{a}sig").bitwiseXOR(F.col(f"{b}sig")))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - ranks[0], nb - ranks[1]) >= need) & (differ <= na + nb - 2 * need)
 
 
-def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """uid of the later line of each pair (early, uid) whose shingles reach the threshold; words travel, shingles are made after."""
+def verified(pairs: DataFrame, docs: DataFrame, percent: int, least: int, width: int) -> DataFrame:
+    """uid of the later line of each pair (early, uid) whose tokens reach the threshold; words travel, tokens are made after."""
+    wanted = materialize(pairs.select(F.explode(F.array("early", "uid")).alias("uid")).distinct(), "line-wanted")
+    holders = wanted.select(F.shiftright("uid", LINE_BITS).alias("doc_id")).distinct()
+    held = narrow(docs).join(broadcast_if_small(holders, BROADCAST_ROWS), "doc_id", "left_semi")
+    lines = materialize(lines_of(held, least).join(broadcast_if_small(wanted, BROADCAST_ROWS), "uid", "left_semi"), "line-words")
     first = lines.select("uid", F.col("words").alias("b")).join(broadcast_if_small(pairs, BROADCAST_ROWS), "uid")
     both = first.join(lines.select(F.col("uid").alias("early"), F.col("words").alias("a")), "early")
-    both = both.withColumns({"sa": shingle_texts("a"), "sb": shingle_texts("b")})
+    both = both.withColumns({"sa": shingle_texts("a", width), "sb": shingle_texts("b", width)})
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("uid").distinct()
 
 
-def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = WORDS) -> DataFrame:
+def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = WORDS, width: int = WORDS) -> DataFrame:
     """uid of every line that an earlier line matches."""
-    facts = materialize(line_facts(docs, percent, least), "line-facts")
+    facts = materialize(line_facts(docs, percent, least, width), "line-facts")
     firsts = materialize(facts.groupBy("h1", "h2").agg(F.min("uid").alias("uid"), F.max("uid").alias("last")), "line-firsts")
     repeated = firsts.filter("uid < last")
     equal = facts.select("uid", "h1", "h2").join(repeated.select("h1", "h2", F.col("uid").alias("early")), ["h1", "h2"]).filter("uid > early").select("uid").distinct()
@@ -129,26 +141,24 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = WORDS) -
     single = facts.join(broadcast_if_small(equal, BROADCAST_ROWS), "uid", "left_anti")
 
     size = F.shiftleft(F.col("n").cast("bigint"), 32)
-    posted = single.select("uid", "n", F.posexplode("first").alias("rank", "token")).select("token", "uid", size.bitwiseOR(F.col("rank").cast("bigint")).alias("m"))
-    lists = posted.groupBy("token").agg(F.min(F.struct("uid", "m")).alias("head"), F.count("*").alias("length")).filter("length > 1")
-    lists = lists.select("token", F.col("head.uid").alias("head"), F.col("head.m").alias("head_m"))
+    posted = single.select("uid", "n", "sig", F.posexplode("first").alias("rank", "token")).select("token", "uid", "sig", size.bitwiseOR(F.col("rank").cast("bigint")).alias("m"))
+    lists = posted.groupBy("token").agg(F.min(F.struct("uid", "m", "sig")).alias("head"), F.count("*").alias("length")).filter("length > 1")
+    lists = lists.select("token", F.col("head.uid").alias("head"), F.col("head.m").alias("head_m"), F.col("head.sig").alias("head_sig"))
     listed = materialize(posted.join(lists, "token").filter("uid <> head"), "line-lists")
     discard(facts)
-    pairs = listed.filter(plausible("head_m", "m", percent)).select(F.col("head").alias("early"), "uid").distinct()
-    wanted = materialize(listed.select(F.explode(F.array("head", "uid")).alias("uid")).distinct(), "line-wanted")
-    lines = materialize(lines_of(docs, WORDS).join(broadcast_if_small(wanted, BROADCAST_ROWS), "uid", "left_semi"), "line-words")
-    near = materialize(verified(materialize(pairs, "line-pairs"), lines, percent), "line-near")
+    pairs = listed.filter(plausible("head_", "", percent)).select(F.col("head").alias("early"), "uid").distinct()
+    near = materialize(verified(materialize(pairs, "line-pairs"), docs, percent, least, width), "line-near")
 
     unmatched = listed.join(near, "uid", "left_anti")
-    others = listed.select("token", F.col("uid").alias("early"), F.col("m").alias("early_m"))
-    more = unmatched.join(others, "token").filter((F.col("early") < F.col("uid")) & plausible("early_m", "m", percent))
+    others = listed.select("token", F.col("uid").alias("early"), F.col("m").alias("early_m"), F.col("sig").alias("early_sig"))
+    more = unmatched.join(others, "token").filter((F.col("early") < F.col("uid")) & plausible("early_", "", percent))
     more = materialize(more.select("early", "uid").distinct(), "line-more")
-    return equal.union(near).union(verified(more, lines, percent))
+    return equal.union(near).union(verified(more, docs, percent, least, width))
 
 
-def with_clean_text(docs: DataFrame, percent: int = PERCENT, least: int = WORDS) -> DataFrame:
+def with_clean_text(docs: DataFrame, percent: int = PERCENT, least: int = WORDS, width: int = WORDS) -> DataFrame:
     """``docs`` with removed (numbers of removed lines, null if none) and clean (the text without them)."""
-    gone = removed_lines(docs, percent, least).distinct()
+    gone = removed_lines(docs, percent, least, width).distinct()
     doc = F.shiftright("uid", LINE_BITS)
     gone = gone.groupBy(doc.alias("gone_doc")).agg(F.collect_list((F.col("uid") - doc * (1 << LINE_BITS)).cast("int")).alias("removed"))
     gone = broadcast_if_small(materialize(gone, "line-removed"), BROADCAST_ROWS)
@@ -157,16 +167,16 @@ def with_clean_text(docs: DataFrame, percent: int = PERCENT, least: int = WORDS)
     return joined.withColumn("clean", F.when(F.col("removed").isNull(), docs["text"].cast("string")).otherwise(F.array_join(kept, "\n")))
 
 
-def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = WORDS, width: int = WORDS) -> DataFrame:
     """``docs`` with its text, and n_chars where it is a column, after removal."""
-    clean = with_clean_text(docs, percent, least)
+    clean = with_clean_text(docs, percent, least, width)
     values = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
     return clean.select(*(values[c].alias(c) if c in values else docs[c] for c in docs.columns))
 
 
-def line_report(docs: DataFrame, percent: int = PERCENT, least: int = WORDS) -> DataFrame:
+def line_report(docs: DataFrame, percent: int = PERCENT, least: int = WORDS, width: int = WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed, text_sha256 (of the cleaned text; null: empty) for every document."""
-    clean = with_clean_text(docs, percent, least)
+    clean = with_clean_text(docs, percent, least, width)
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     return clean.select(
         docs["doc_id"].cast("long").alias("doc_id"), F.size(F.split(text, "\n")).cast("long").alias("n_lines"),

@@ -44,7 +44,7 @@ def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(table(spark, sf_dir, "documents"), least=line_dedup.EVERY_LINE)
+    return line_dedup.line_report(table(spark, sf_dir, "documents"), least=line_dedup.EVERY_LINE, width=line_dedup.BY_WORD)
 
 
 def op10_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
