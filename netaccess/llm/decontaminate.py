@@ -1,15 +1,15 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts and items are lower-cased and every run of characters other than letters, digits and underscores
-becomes one space. Items are cut into overlapping windows of ``WINDOW`` characters (shorter items are one
-window), each with a budget of ``EDIT_SHARE`` of its length in edits. A place in a text within k edits of
-a window of m characters shares at least m - q + 1 - k q of its q-grams, all on k + 1 neighbouring
-diagonals. Shared q-grams are counted in bands of 2 (k + 1) diagonals, each overlapping half of the next;
-bands that reach the bound are kept and verified by alignment within the band.
-
-A text is contaminated if any window of any item is found. Windows of under ``LEAST_CHARS`` characters
-only come from such short items and match only a text that equals them. Null and empty texts and items match
-nothing. Equal texts get equal matches; repeated items are each reported. An empty table on either
+becomes one space. Every window of ``WINDOW`` characters of an item (all of a shorter item) has a budget of
+``EDIT_SHARE`` of its length in edits. A place in a text within k edits of a window of m characters shares at
+least m - q + 1 - k q of its q-grams, all on k + 1 neighbouring diagonals. Shared q-grams are gathered by item in
+bands of 2 (k + 1) diagonals, each overlapping half of the next; in each band the windows whose own q-grams reach
+the bound are verified by alignment within the band, all windows at once.
+
+A text is contaminated if any window of any item is found. Items of under ``LEAST_CHARS`` characters are too short
+for edits: they are found as they are, between word borders, anywhere in a text. Null and empty texts and items
+match nothing. Equal texts get equal matches; repeated items are each reported. An empty table on either
 side gives no match. Columns of other names pass through the filter untouched.
 
 The benchmark is taken in slices of at most ``SLICE_CHARS`` characters, one pass over the texts each, so
@@ -31,12 +31,13 @@ from pyspark.sql.types import LongType, StructField, StructType
 from netaccess.llm.common import map_arrow
 
 Q = 10
-WINDOW, STRIDE = 120, 60
+WINDOW = 120
 EDIT_SHARE = 0.05
 LEAST_CHARS = 24
 SLICE_CHARS = 16_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 FILTER_BITS = 22
+ALIGN_WINDOWS = 4096
 BETWEEN = re.compile(r"\W+")
 
 
@@ -65,42 +66,56 @@ def qgram_hashes(code: np.ndarray) -> np.ndarray:
 
 
 class WindowIndex:
-    """Windows of benchmark items and the sorted q-grams that lead to them."""
+    """Benchmark items and the sorted q-grams that lead to them; windows are ranges of an item."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.item: list[int] = []
-        self.windows: list[str] = []
+        self.codes: list[np.ndarray] = []
         self.whole: dict[str, list[int]] = {}
+        self.lengths: dict[str, set[int]] = {}
         for item_id, raw in items:
             text = normalise(raw)
             if 0 < len(text) < LEAST_CHARS:
+                words = text.split(" ")
                 self.whole.setdefault(text, []).append(item_id)
-                continue
-            last = max(0, len(text) - WINDOW)
-            for start in [*range(0, last, STRIDE), last] if text else []:
+                self.lengths.setdefault(words[0], set()).add(len(words))
+            elif text:
                 self.item.append(item_id)
-                self.windows.append(text[start : start + WINDOW])
-        sizes = np.array([len(w) for w in self.windows], np.int64)
-        self.budget = np.minimum((EDIT_SHARE * sizes).astype(np.int64), np.maximum(0, (sizes - Q) // Q)) if len(sizes) else sizes
-        self.need = sizes - Q + 1 - self.budget * Q
-        grams = [qgram_hashes(codes(w)) for w in self.windows]
+                self.codes.append(codes(text))
+        chars = np.array([len(c) for c in self.codes], np.int64)
+        self.size = np.minimum(chars, WINDOW)
+        self.budget = np.minimum((EDIT_SHARE * self.size).astype(np.int64), np.maximum(0, (self.size - Q) // Q))
+        self.need = self.size - Q + 1 - self.budget * Q
+        self.longest = int(chars.max(initial=0))
+        grams = [qgram_hashes(c) for c in self.codes]
         flat = np.concatenate(grams) if grams else np.empty(0, np.uint64)
         order = np.argsort(flat, kind="stable")
         self.gram, first = np.unique(flat[order], return_index=True)
         self.first = np.append(first, len(flat))
-        self.window_of = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order] if grams else np.empty(0, np.int64)
+        self.item_of = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order] if grams else np.empty(0, np.int64)
         self.at = np.concatenate([np.arange(len(g)) for g in grams])[order] if grams else np.empty(0, np.int64)
         self.seen = np.zeros(1 << FILTER_BITS, bool)
         self.seen[(self.gram >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
         self.least = int(self.need.min()) if len(self.need) else 0
 
+    def short_items(self, text: str) -> dict[int, tuple[int, int]]:
+        """Short items that stand in the text between word borders."""
+        found: dict[int, tuple[int, int]] = {}
+        words = text.split(" ") if self.whole else []
+        for i, word in enumerate(words):
+            for n in self.lengths.get(word, ()):
+                for item in self.whole.get(" ".join(words[i : i + n]), ()):
+                    found[item] = (1, 0)
+        return found
+
     def matches(self, raw: str | None) -> dict[int, tuple[int, int]]:
         """Item -> (windows found, least edits of a window)."""
         text = normalise(raw)
-        found = {i: (1, 0) for i in self.whole.get(text, ())} if len(text) < LEAST_CHARS else {}
-        if len(text) < Q or not self.windows:
+        found = self.short_items(text)
+        if len(text) < Q or not self.codes:
             return found
-        h = qgram_hashes(codes(text))
+        row = codes(text)
+        h = qgram_hashes(row)
         place = np.flatnonzero(self.seen[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
         if len(place) < self.least:
             return found
@@ -112,45 +127,69 @@ class WindowIndex:
             return found
         reps = self.first[slot + 1] - self.first[slot]
         flat = np.repeat(self.first[slot], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-        window, diagonal = self.window_of[flat], np.repeat(place, reps) - self.at[flat]
-        half = self.budget[window] + 1
-        band = (diagonal + WINDOW) // half
-        key = window * (len(text) + 2 * WINDOW + 2) + band
-        key, count = np.unique(np.concatenate([key, key - 1]), return_counts=True)
-        window, band = key // (len(text) + 2 * WINDOW + 2), key % (len(text) + 2 * WINDOW + 2)
-        keep = count >= self.need[window]
-        done: set[int] = set()
-        for w, b in zip(window[keep].tolist(), band[keep].tolist()):
-            if w in done:
+        item, at = self.item_of[flat], self.at[flat]
+        diagonal = np.repeat(place, reps) - at
+        span = len(text) + self.longest + 3
+        key = item * span + (diagonal + self.longest) // (self.budget[item] + 1) + 1
+        key, at, diagonal = np.concatenate([key, key - 1]), np.tile(at, 2), np.tile(diagonal, 2)
+        groups, group, count = np.unique(key, return_inverse=True, return_counts=True)
+        keep = (count >= self.need[groups // span])[group]
+        key, at, diagonal = key[keep], at[keep], diagonal[keep]
+        order = np.lexsort((at, key))
+        key, at, diagonal = key[order], at[order], diagonal[order]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else []
+        best: dict[int, np.ndarray] = {}
+        for a, b in zip(starts, [*starts[1:], len(key)]):
+            own, band = int(key[a] // span), int(key[a] % span) - 1
+            k, size = int(self.budget[own]), int(self.size[own])
+            if own not in best:
+                best[own] = np.full(len(self.codes[own]) - size + 1, k + 1)
+            least = best[own]
+            window = np.arange(len(least))
+            enough = np.searchsorted(at[a:b], window + size - Q, "right") - np.searchsorted(at[a:b], window, "left") >= self.need[own]
+            if not enough.any():
                 continue
-            k = int(self.budget[w])
-            low = b * (k + 1) - WINDOW
-            edits = banded_edits(self.windows[w], text, low, low + 2 * k + 1, k)
-            if edits <= k:
-                done.add(w)
-                n, best = found.get(self.item[w], (0, edits))
-                found[self.item[w]] = (n + 1, min(best, edits))
+            lines, hits = np.unique(diagonal[a:b], return_counts=True)
+            for d in lines[hits >= size - Q + 1].tolist():
+                least[equal_windows(self.codes[own], row, d, size)] = 0
+            left = np.flatnonzero(enough & (least > k))
+            low = band * (k + 1) - self.longest
+            for i in range(0, len(left), ALIGN_WINDOWS):
+                some = left[i : i + ALIGN_WINDOWS]
+                least[some] = np.minimum(least[some], banded_edits(self.codes[own], some, size, row, low, low + 2 * k + 1, k))
+        for own, least in best.items():
+            n = int((least <= self.budget[own]).sum())
+            if n:
+                before, edits = found.get(self.item[own], (0, WINDOW))
+                found[self.item[own]] = (before + n, min(edits, int(least.min())))
         return found
 
 
-def banded_edits(window: str, text: str, low: int, high: int, k: int) -> int:
-    """Least edits of the window against any part of the text with its alignment on diagonals low - k to high + k; over k: k + 1."""
-    start, end = max(0, low - k), min(len(text), high + k + len(window))
-    if start >= end:
-        return k + 1
-    part = text[start:end]
-    if window in part:
-        return 0
-    row, previous = codes(part), None
-    column = np.arange(len(part) + 1)
-    previous = np.zeros(len(part) + 1, np.int64)
-    for i, c in enumerate(codes(window)):
-        cell = np.minimum(previous[1:] + 1, previous[:-1] + (row != c))
-        cell = np.concatenate([[i + 1], cell])
-        outside = np.abs(column + start - (i + 1) - (low + high) / 2) > (high - low) / 2 + k
-        cell[outside] = 10 * WINDOW
-        previous = np.minimum.accumulate(cell - column) + column
-    return int(min(previous.min(), k + 1))
+def equal_windows(item: np.ndarray, text: np.ndarray, diagonal: int, size: int) -> np.ndarray:
+    """Starts of the windows of the item that the text repeats on the diagonal."""
+    start, end = max(0, -diagonal), min(len(item), len(text) - diagonal)
+    if end - start < size:
+        return np.empty(0, np.int64)
+    equal = np.concatenate([[0], np.cumsum(item[start:end] == text[start + diagonal : end + diagonal])])
+    return start + np.flatnonzero(equal[size:] - equal[:-size] == size)
+
+
+def banded_edits(item: np.ndarray, windows: np.ndarray, size: int, text: np.ndarray, low: int, high: int, k: int) -> np.ndarray:
+    """Least edits of each window of the item against any part of the text with its alignment on diagonals low - k to high + k; over k: k + 1."""
+    step = np.arange(high - low + 2 * k + 1)
+    at = windows[:, None] + (low - k) + step
+    framed = np.concatenate([[0], text.astype(np.int64) + 1, [0]])
+    outside = lambda j: (j < 0) | (j > len(text))
+    edits = np.where(outside(at), 10 * WINDOW, 0)
+    for i in range(size):
+        wanted = item[windows + i].astype(np.int64)[:, None] + 1
+        cell = edits + (framed[np.clip(at + 1, 0, len(text) + 1)] != wanted)
+        cell[:, :-1] = np.minimum(cell[:, :-1], edits[:, 1:] + 1)
+        at += 1
+        cell[outside(at)] = 10 * WINDOW
+        edits = np.minimum.accumulate(cell - step, axis=1) + step
+        edits[outside(at)] = 10 * WINDOW
+    return np.minimum(edits.min(axis=1), k + 1)
 
 
 def benchmark_slices(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
