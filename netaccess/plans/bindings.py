@@ -46,7 +46,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM roads"""),
     "edges_s": (("orders", "lineitem"), """
         SELECT o_custkey AS u, 10000000 + l_partkey AS v, min(l_quantity) AS w0, min(l_quantity) * (1 + max(l_tax)) AS w1
-        FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1 AND o_orderkey % 8 = 0 GROUP BY o_custkey, l_partkey"""),
+        FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey, l_partkey"""),
     "climate": (("lineitem",), """
         SELECT l_suppkey AS cell_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, sum(l_extendedprice) / 10000 AS pr, avg(l_quantity) AS mrso
         FROM lineitem GROUP BY l_suppkey, date_trunc('month', l_shipdate)"""),
