@@ -1,23 +1,25 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
 A line's tokens are its distinct shingles of ``width`` words as written; the queries take single words
-(``BY_WORD``). A line is removed if an earlier line, in order of (doc_id, line number), has the same words or a
-Jaccard similarity of at least ``percent`` / 100, whether that earlier line stays or not. The one token of a line
-of fewer than ``width`` words is its whole sequence of words, so that it meets equal lines only. Lines of fewer
-than ``least`` words stay; the queries take every line with a word (``EVERY_LINE``).
-
-1. Rarity: tokens are counted by hash bucket over all lines; they are ordered by the logarithm of their
-   bucket's count, then by hash. Any order gives the same result; rare first is fast.
-2. Equal lines meet by hash and all but the first go. Of the others each posts its first n - ceil(t n) + 1
-   tokens with its length, the token's rank and a 64-bit signature with a bit for each token.
-3. In each posting list all lines are tried against the first one, so pairs grow with the postings, not
-   with their square. Lines still without a match are then tried against the others of their lists. Length,
-   position and signature (set bits that differ are at most the tokens that differ) filter pairs before any is
-   made; the tokens of the rest are compared word by word.
-
-Null and empty texts have no lines to remove and stay as they are. Rows of one doc_id count as one document.
-Rows without doc_id are left alone. Documents may have up to 2^22 lines. Empty tables give an empty result;
-other columns pass through.
+(``BY_WORD``). A line is removed if an earlier line, in order of (doc_id, text hash, line number), has a Jaccard
+similarity of at least ``percent`` / 100 on their token sets, whether that earlier line stays or not. The one
+token of a line of fewer than ``width`` words is its whole sequence of words, so that it meets equal lines only.
+Lines of fewer than ``least`` words stay; the queries take every line with a word (``EVERY_LINE``).
+
+1. Tokens of every line are made once and written. They are counted by hash bucket over all lines and ordered
+   within each line by the logarithm of their bucket's count, then by hash. Any order gives the same result;
+   rare first is fast.
+2. Lines with equal sets meet by hash and all but the first go. Of the others each posts its first
+   n - ceil(t n) + 1 tokens with the line's length, the token's rank and a signature.
+3. In each posting list all lines are tried against the first one, so pairs grow with the postings, not with
+   their square. Lines still without a match are then tried against the earlier lines of their lists. Length,
+   position and signature filter pairs before any is made; the words of the rest are compared. The signature is
+   two times 64 parities of token counts: each token in which two lines differ flips one bit of either half.
+
+Documents are told apart by doc_id and the hash of their text, so texts that share a doc_id lose only lines of
+their own; rows equal in both count as one document, and rows without doc_id come before all others. Null and
+empty texts have no lines to remove and stay as they are. Long texts and lines are taken whole. Empty tables
+give an empty result; other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -33,19 +35,20 @@ PERCENT = 80
 WORDS = 5
 EVERY_LINE = 1
 BY_WORD = 1
-BUCKETS = 1 << 16
-LINE_BITS = 22
-BROADCAST_ROWS = 1_000_000
-BLANK = r"[\x20\x09-\x0D]+"
-
-
-def line_key() -> Column:
-    """One number for (doc_id, line), in the order in which lines count as earlier."""
-    return F.col("doc_id") * (1 << LINE_BITS) + F.col("line")
+BUCKET_BITS = 16
+#: The posting lists are joined in so many rounds, to halve what lies on disk at once.
+SLICES = 2
+CAPPED = (1 << 16) - 1
+#: Hashes do not shrink; packing them costs time only.
+AS_THEY_ARE = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
+KEY = ("doc_id", "thash", "line")
+BLANKS = "\t\x0b\f\r"
 
 
 def narrow(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text <> ''")
+    """doc_id, thash (with doc_id the document's name) and text of every row with a text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("thash"), text.alias("text")).filter("text <> ''")
 
 
 def once(value: Column) -> Column:
@@ -54,40 +57,36 @@ def once(value: Column) -> Column:
     return F.explode_outer(F.array(value))
 
 
-def lines_of(docs: DataFrame, least: int) -> DataFrame:
-    """uid and words (in order) of every line of at least ``least`` words."""
-    rows = narrow(docs).select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line", "raw"))
-    rows = rows.select(line_key().alias("uid"), once(F.array_remove(F.split("raw", BLANK), "")).alias("words"))
-    return rows.filter(F.size("words") >= least)
+def spaced(text: Column) -> Column:
+    """The text with spaces for its other blanks, but for line ends: plain replacement is faster than a pattern."""
+    for blank in BLANKS:
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return text
 
 
-def shingle_texts(words: str, width: int) -> Column:
-    """Distinct shingles as texts: the exact form, for lines that are compared."""
-    if width == 1:
-        return F.array_distinct(words)
-    run = ", ".join(f"{words}[i + {k}]" for k in range(width))
-    return F.array_distinct(F.expr(f"transform(sequence(0, size({words}) - {width}), i -> concat_ws(' ', {run}))"))
+def words_of(line: Column) -> Column:
+    return F.array_remove(F.split(line, " "), "")
 
 
-def with_tokens(lines: DataFrame, width: int) -> DataFrame:
-    """``lines`` with hashes of the words and tokens, the shingle hashes made from these, as often as they occur
-    (none for a line too short for one: its words in order are compared as a whole)."""
-    hashed = lines.withColumn("hashes", once(F.transform("words", lambda w: F.xxhash64(w))))
-    if width == 1:
-        return hashed.withColumn("tokens", F.col("hashes"))
-    run = ", ".join(f"hashes[i + {k}]" for k in range(width))
-    return hashed.withColumn("tokens", F.expr(f"if(size(hashes) < {width}, cast(array() as array<bigint>), transform(sequence(0, size(hashes) - {width}), i -> xxhash64({run})))"))
+def token_table(docs: DataFrame, least: int, width: int) -> DataFrame:
+    """uid (any number of its own), doc_id, thash, line and the distinct tokens of every line of at least ``least`` words, as 64-bit hashes."""
+    rows = narrow(docs).select("doc_id", "thash", F.posexplode_outer(F.split(spaced(F.col("text")), "\n")).alias("line", "raw"))
+    rows = rows.select("doc_id", "thash", "line", once(words_of(F.col("raw"))).alias("words")).filter(F.size("words") >= least)
+    rows = rows.select("doc_id", "thash", "line", once(F.transform("words", lambda w: F.xxhash64(w))).alias("hashes"))
+    tokens = F.col("hashes")
+    if width > 1:
+        run = ", ".join(f"hashes[i + {k}]" for k in range(width))
+        tokens = F.expr(f"if(size(hashes) < {width}, array(xxhash64(hashes)), transform(sequence(0, size(hashes) - {width}), i -> xxhash64({run})))")
+    return rows.select(F.monotonically_increasing_id().alias("uid"), *KEY, F.array_distinct(tokens).alias("tokens"))
 
 
-def rarity_levels(lines: DataFrame, width: int) -> Column:
+def rarity_levels(tokens: DataFrame) -> Column:
     """An array literal: for each hash bucket, 4 log2 of the number of tokens of all lines in it."""
-    tokens = with_tokens(lines, width).select(F.explode_outer("tokens").alias("token"))
-    counts = tokens.groupBy((F.col("token").bitwiseAND(F.lit(BUCKETS - 1))).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
-    levels = [0] * BUCKETS
-    found = counts.toArrow()
-    for bucket, n in zip(found.column("bucket").to_pylist(), found.column("n").to_pylist()):
-        if bucket is not None:
-            levels[bucket] = min(127, int(4 * math.log2(1 + n)))
+    bucket = F.col("token").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")
+    found = tokens.select(F.explode("tokens").alias("token")).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).toArrow()
+    levels = [0] * (1 << BUCKET_BITS)
+    for b, n in zip(found.column("bucket").to_pylist(), found.column("n").to_pylist()):
+        levels[b] = min(127, int(4 * math.log2(1 + n)))
     return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
 
 
@@ -95,90 +94,140 @@ def least_overlap(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100)
 
 
-def line_facts(docs: DataFrame, percent: int, least: int = WORDS, width: int = WORDS) -> DataFrame:
-    """uid, h1, h2 (of the words in order), n, sig, first (the tokens to post, rarest first)."""
-    lines = lines_of(docs, least)
-    hashed = with_tokens(lines, width).select("uid", "hashes", once(F.array_distinct("tokens")).alias("tokens"), rarity_levels(lines, width).alias("level"))
+def ordered_facts(tokens: DataFrame, percent: int) -> DataFrame:
+    """uid, doc_id, thash, line, n, h (of the token set), sig and sig2, first (the tokens to post, rarest first)."""
     # the level in the high bits, the hash in the others: one number orders and names a token
-    ordered = F.expr(f"array_sort(transform(tokens, h -> shiftleft(element_at(level, cast(h & {BUCKETS - 1} as int) + 1), 56) | shiftrightunsigned(h, 8)))")
-    n = F.size("tokens")
-    return hashed.select(
-        "uid", F.xxhash64("hashes").alias("h1"), F.xxhash64(F.lit(1), "hashes").alias("h2"), n.alias("n"),
-        F.expr("aggregate(tokens, 0L, (s, h) -> s | shiftleft(1L, cast(h & 63 as int)))").alias("sig"),
-        F.slice(ordered, 1, (n - least_overlap(n, percent) + 1).cast("int")).alias("first"),  # empty if there is no token
-    )
+    ordered = F.expr(f"sort_array(transform(tokens, h -> shiftleft(level[cast(h & {(1 << BUCKET_BITS) - 1} as int)], 56) | shiftrightunsigned(h, 8)))")
+    parity = "aggregate(tokens, 0L, (s, h) -> s ^ shiftleft(1L, cast(shiftrightunsigned(h, {}) & 63 as int)))"
+    rows = tokens.withColumn("level", rarity_levels(tokens)).select(
+        "uid", *KEY, F.size("tokens").alias("n"), F.expr(parity.format(0)).alias("sig"), F.expr(parity.format(20)).alias("sig2"), once(ordered).alias("ordered"))
+    n = F.col("n")
+    # a set that no set of another size can reach has met all its matches by hash
+    alone = (least_overlap(n, percent) == n) & (F.floor(n * 100 / percent) == n)
+    return rows.select("uid", *KEY, "n", F.xxhash64("ordered").alias("h"), "sig", "sig2", F.slice("ordered", 1, F.when(alone, 0).otherwise(n - least_overlap(n, percent) + 1).cast("int")).alias("first"))
+
+
+def line_facts(docs: DataFrame, percent: int, least: int = WORDS, width: int = WORDS) -> DataFrame:
+    return ordered_facts(token_table(docs, least, width), percent)
+
+
+def postings(facts: DataFrame) -> DataFrame:
+    """x (32 bits of the token, 16 each of the line's length and the token's rank), uid, sig, sig2."""
+    rows = facts.filter(F.size("first") > 0).select("uid", "n", "sig", "sig2", F.posexplode("first").alias("rank", "token"))
+    part = lambda c: F.least(F.col(c), F.lit(CAPPED)).cast("long")
+    return rows.select(F.shiftleft("token", 32).bitwiseOR(F.shiftleft(part("n"), 16)).bitwiseOR(part("rank")).alias("x"), "uid", "sig", "sig2")
+
+
+def token_of(x: str) -> Column:
+    return F.shiftright(x, 32)
 
 
 def plausible(a: str, b: str, percent: int) -> Column:
-    """Length, position and signature filters on two posted tokens (m: n << 32 | rank, and sig); a matching pair passes each at its first shared token."""
-    na, nb = F.shiftright(f"{a}m", 32), F.shiftright(f"{b}m", 32)
-    ranks = [F.col(f"{c}m").bitwiseAND(F.lit((1 << 32) - 1)) for c in (a, b)]
-    need = F.floor((percent * (na + nb) + 99 + percent) / (100 + percent))
-    differ = F.bit_count(F.col(f"{a}sig").bitwiseXOR(F.col(f"{b}sig")))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - ranks[0], nb - ranks[1]) >= need) & (differ <= na + nb - 2 * need)
-
-
-def verified(pairs: DataFrame, docs: DataFrame, percent: int, least: int, width: int) -> DataFrame:
-    """uid of the later line of each pair (early, uid) whose tokens reach the threshold; words travel, tokens are made after."""
-    wanted = materialize(pairs.select(F.explode(F.array("early", "uid")).alias("uid")).distinct(), "line-wanted")
-    holders = wanted.select(F.shiftright("uid", LINE_BITS).alias("doc_id")).distinct()
-    held = narrow(docs).join(broadcast_if_small(holders, BROADCAST_ROWS), "doc_id", "left_semi")
-    lines = materialize(lines_of(held, least).join(broadcast_if_small(wanted, BROADCAST_ROWS), "uid", "left_semi"), "line-words")
-    first = lines.select("uid", F.col("words").alias("b")).join(broadcast_if_small(pairs, BROADCAST_ROWS), "uid")
-    both = first.join(lines.select(F.col("uid").alias("early"), F.col("words").alias("a")), "early")
-    both = both.withColumns({"sa": shingle_texts("a", width), "sb": shingle_texts("b", width)})
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("uid").distinct()
+    """Length, position and signature filters on two postings of a token; a matching pair passes each at its first shared token."""
+    n = [F.shiftright(f"{c}x", 16).bitwiseAND(F.lit(CAPPED)) for c in (a, b)]
+    left = [m - F.col(f"{c}x").bitwiseAND(F.lit(CAPPED)) for m, c in zip(n, (a, b))]
+    need = F.floor((percent * (n[0] + n[1]) + 99 + percent) / (100 + percent))
+    differ = [F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in ("sig", "sig2")]
+    most = n[0] + n[1] - 2 * need
+    # lengths beyond 16 bits are not told apart: such lines go on to be compared
+    return (F.greatest(*n) >= CAPPED) | ((100 * F.least(*n) >= percent * F.greatest(*n)) & (differ[0] + differ[1] <= 2 * most) & (F.greatest(*differ) <= most) & (F.least(*left) >= need))
+
+
+def renamed(rows: DataFrame, prefix: str) -> DataFrame:
+    return rows.select(*(F.col(c).alias(prefix + c) for c in rows.columns))
+
+
+def pairs_of(met: DataFrame, other: str) -> DataFrame:
+    return met.select(F.least("uid", other).alias("a"), F.greatest("uid", other).alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """uid of the later line of each pair (a, b) whose tokens reach the threshold: the words of both are compared."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+    places = facts.select("uid", *KEY).join(wanted, "uid")
+    places = materialize(places.groupBy("doc_id", "thash").agg(F.collect_list(F.struct("line", "uid")).alias("places")), "line-places")
+    near = renamed(broadcast_if_small(places), "p_")
+    held = narrow(docs).join(near, F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("thash") == F.col("p_thash")))
+    held = held.select("doc_id", "thash", "p_places", once(F.split(spaced(F.col("text")), "\n")).alias("lines"))
+    held = held.select("doc_id", "thash", "lines", F.explode("p_places").alias("place"))
+    held = held.select(F.col("place.uid").alias("uid"), F.struct("doc_id", "thash", F.col("place.line").alias("line")).alias("key"), once(words_of(F.expr("lines[place.line]"))).alias("words"))
+    sets = F.array_distinct("words")
+    if width > 1:
+        run = ", ".join(f"words[i + {k}]" for k in range(width))
+        sets = F.array_distinct(F.expr(f"if(size(words) < {width}, array(concat_ws(' ', words)), transform(sequence(0, size(words) - {width}), i -> concat_ws(' ', {run})))"))
+    held = materialize(held.select("uid", "key", sets.alias("set")), "line-words")
+    both = pairs.join(renamed(held, "a_"), F.col("a") == F.col("a_uid")).join(renamed(held, "b_"), F.col("b") == F.col("b_uid"))
+    shared, total = F.size(F.array_intersect("a_set", "b_set")), F.size("a_set") + F.size("b_set")
+    # rows alike in doc_id and text are one document: a line is not later than itself
+    match = both.filter((F.col("a_key") != F.col("b_key")) & (100 * shared >= percent * (total - shared)))
+    return match.select(F.when(F.col("a_key") > F.col("b_key"), F.col("a")).otherwise(F.col("b")).alias("uid")).distinct()
+
+
+def repeats(facts: DataFrame) -> DataFrame:
+    """uid of the lines whose token set an earlier line has as well."""
+    several = facts.groupBy("h", "sig").agg(F.count("*").alias("lines")).filter("lines > 1")
+    several = renamed(broadcast_if_small(materialize(several, "line-several")), "s_")
+    alike = materialize(facts.join(several, (F.col("h") == F.col("s_h")) & (F.col("sig") == F.col("s_sig"))).select("uid", F.struct(*KEY).alias("key"), "h", "sig"), "line-alike")
+    firsts = materialize(alike.groupBy("h", "sig").agg(F.min("key").alias("key")), "line-firsts")
+    firsts = renamed(broadcast_if_small(firsts), "f_")
+    return alike.join(firsts, (F.col("h") == F.col("f_h")) & (F.col("sig") == F.col("f_sig")) & (F.col("key") > F.col("f_key"))).select("uid")
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = WORDS, width: int = WORDS) -> DataFrame:
-    """uid of every line that an earlier line matches."""
-    facts = materialize(line_facts(docs, percent, least, width), "line-facts")
-    firsts = materialize(facts.groupBy("h1", "h2").agg(F.min("uid").alias("uid"), F.max("uid").alias("last")), "line-firsts")
-    repeated = firsts.filter("uid < last")
-    equal = facts.select("uid", "h1", "h2").join(repeated.select("h1", "h2", F.col("uid").alias("early")), ["h1", "h2"]).filter("uid > early").select("uid").distinct()
-    equal = materialize(equal, "line-equal")
-    single = facts.join(broadcast_if_small(equal, BROADCAST_ROWS), "uid", "left_anti")
-
-    size = F.shiftleft(F.col("n").cast("bigint"), 32)
-    posted = single.select("uid", "n", "sig", F.posexplode("first").alias("rank", "token")).select("token", "uid", "sig", size.bitwiseOR(F.col("rank").cast("bigint")).alias("m"))
-    lists = posted.groupBy("token").agg(F.min(F.struct("uid", "m", "sig")).alias("head"), F.count("*").alias("length")).filter("length > 1")
-    lists = lists.select("token", F.col("head.uid").alias("head"), F.col("head.m").alias("head_m"), F.col("head.sig").alias("head_sig"))
-    listed = materialize(posted.join(lists, "token").filter("uid <> head"), "line-lists")
-    discard(facts)
-    pairs = listed.filter(plausible("head_", "", percent)).select(F.col("head").alias("early"), "uid").distinct()
-    near = materialize(verified(materialize(pairs, "line-pairs"), docs, percent, least, width), "line-near")
-
-    unmatched = listed.join(near, "uid", "left_anti")
-    others = listed.select("token", F.col("uid").alias("early"), F.col("m").alias("early_m"), F.col("sig").alias("early_sig"))
-    more = unmatched.join(others, "token").filter((F.col("early") < F.col("uid")) & plausible("early_", "", percent))
-    more = materialize(more.select("early", "uid").distinct(), "line-more")
-    return equal.union(near).union(verified(more, docs, percent, least, width))
-
-
-def with_clean_text(docs: DataFrame, percent: int = PERCENT, least: int = WORDS, width: int = WORDS) -> DataFrame:
-    """``docs`` with removed (numbers of removed lines, null if none) and clean (the text without them)."""
-    gone = removed_lines(docs, percent, least, width).distinct()
-    doc = F.shiftright("uid", LINE_BITS)
-    gone = gone.groupBy(doc.alias("gone_doc")).agg(F.collect_list((F.col("uid") - doc * (1 << LINE_BITS)).cast("int")).alias("removed"))
-    gone = broadcast_if_small(materialize(gone, "line-removed"), BROADCAST_ROWS)
-    joined = docs.join(gone, docs["doc_id"].cast("long") == gone["gone_doc"], "left")
-    kept = F.filter(F.split(docs["text"].cast("string"), "\n"), lambda x, i: ~F.array_contains("removed", i))
-    return joined.withColumn("clean", F.when(F.col("removed").isNull(), docs["text"].cast("string")).otherwise(F.array_join(kept, "\n")))
+    """doc_id, thash, line of every line that an earlier line matches."""
+    tokens = materialize(token_table(docs, least, width), "line-tokens", **AS_THEY_ARE)
+    facts = materialize(ordered_facts(tokens, percent), "line-facts")
+    discard(tokens)
+    equal = materialize(repeats(facts), "line-equal")
+    single = facts.join(broadcast_if_small(equal), "uid", "left_anti")
+
+    heads = postings(single).groupBy(token_of("x").alias("token")).agg(F.min("uid").alias("head"), F.count("*").alias("length")).filter("length > 1")
+    # the head's rank of the token is not known: as if it were its first
+    head_x = F.shiftleft(F.least(F.col("n"), F.lit(CAPPED)).cast("long"), 16)
+    head_facts = facts.select(F.col("uid").alias("head"), head_x.alias("head_x"), F.col("sig").alias("head_sig"), F.col("sig2").alias("head_sig2"))
+    heads = materialize(heads.drop("length").join(head_facts, "head"), "line-heads")
+    met = postings(single).join(heads, (token_of("x") == F.col("token")) & (F.col("uid") != F.col("head")) & plausible("head_", "", percent))
+    near = materialize(verified(materialize(pairs_of(met, "head"), "line-pairs"), facts, docs, percent, width), "line-near")
+    discard(heads)
+
+    later = single.join(broadcast_if_small(near), "uid", "left_anti")
+    more = None
+    for k in range(SLICES):
+        own = token_of("x").bitwiseAND(F.lit(SLICES - 1)) == k
+        early = renamed(postings(single).filter(own), "early_")
+        met = postings(later).filter(own).join(early, (token_of("x") == token_of("early_x")) & (F.col("early_uid") != F.col("uid")) & plausible("early_", "", percent))
+        met = materialize(pairs_of(met, "early_uid"), "line-more")
+        more = met if more is None else more.union(met)
+    gone = equal.union(near).union(verified(more.distinct(), facts, docs, percent, width)).distinct()
+    return facts.select("uid", *KEY).join(gone, "uid").drop("uid")
+
+
+def with_clean_text(docs: DataFrame, percent: int, least: int, width: int) -> DataFrame:
+    """The columns of ``docs``, then n_removed (null: none) and the text without removed lines, under names of their own."""
+    gone = removed_lines(docs, percent, least, width).groupBy("doc_id", "thash").agg(F.collect_list("line").alias("lines"))
+    gone = renamed(broadcast_if_small(materialize(gone, "line-removed")), "__line_dedup_")
+    text = docs["text"].cast("string")
+    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__line_dedup_doc_id"]) & (F.xxhash64(text) == gone["__line_dedup_thash"]), "left")
+    lines, removed = F.split(text, "\n"), gone["__line_dedup_lines"]
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
+    clean = F.when(removed.isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(lines, i + 1)), "\n"))
+    return joined.select(*(docs[c] for c in docs.columns), F.size(removed).alias("__line_dedup_n"), once(clean).alias("__line_dedup_clean"))
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = WORDS, width: int = WORDS) -> DataFrame:
     """``docs`` with its text, and n_chars where it is a column, after removal."""
     clean = with_clean_text(docs, percent, least, width)
-    values = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
-    return clean.select(*(values[c].alias(c) if c in values else docs[c] for c in docs.columns))
+    values = {"text": F.col("__line_dedup_clean"), "n_chars": F.length("__line_dedup_clean").cast("long")}
+    return clean.select(*(values[c].alias(c) if c in values else F.col(f"`{c}`") for c in docs.columns))
 
 
 def line_report(docs: DataFrame, percent: int = PERCENT, least: int = WORDS, width: int = WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed, text_sha256 (of the cleaned text; null: empty) for every document."""
     clean = with_clean_text(docs, percent, least, width)
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    n_removed = F.when(F.col("__line_dedup_n") > 0, F.col("__line_dedup_n")).otherwise(0).cast("long")
     return clean.select(
-        docs["doc_id"].cast("long").alias("doc_id"), F.size(F.split(text, "\n")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.coalesce("clean", F.lit("")), 256).alias("text_sha256"),
-    )
+        F.col("doc_id").cast("long").alias("doc_id"), n_lines.cast("long").alias("n_lines"),
+        n_removed.alias("n_removed"), F.sha2(F.coalesce("__line_dedup_clean", F.lit("")), 256).alias("text_sha256"),
+    )

@@ -58,3 +58,22 @@ def test_query_and_stage_compare_words(spark, tmp_path, rows):
     assert got == hashes(clean)
     staged = corpus_pipeline.dedup_lines(spark, docs, str(tmp_path)).collect()
     assert {r["doc_id"]: r["text"] or "" for r in staged} == clean
+
+
+def test_ids_repeats_and_names(spark):
+    """Repeated and extreme ids, rows alike in id and text, rows without id, and columns named like the helpers."""
+    one = " ".join(f"w{k}" for k in range(30))
+    near = one.replace("w7", "zz")
+    rows = [(-(2**63), one), (2**63 - 1, near), (5, "own line here\n" + near), (5, "another text altogether"), (5, "another text altogether"), (2**45, "short line\nshort line"), (None, "first of all"), (7, "first of all")]
+    docs = spark.createDataFrame([(i, t, 1, "x", 9) for i, t in rows], "doc_id long, text string, removed int, clean string, line int")
+    out = line_dedup.dedup_lines(docs, least=line_dedup.EVERY_LINE, width=line_dedup.BY_WORD)
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"], r["removed"], r["clean"]) for r in out.collect()), key=str)
+    want = [(-(2**63), one), (2**63 - 1, ""), (5, "own line here"), (5, "another text altogether"), (5, "another text altogether"), (2**45, "short line"), (None, "first of all"), (7, "")]
+    assert got == sorted(((i, t, 1, "x") for i, t in want), key=str)
+
+
+def test_words_plan_is_native(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e g")], "doc_id long, text string")
+    plan = line_dedup.line_report(docs, least=line_dedup.EVERY_LINE, width=line_dedup.BY_WORD)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
