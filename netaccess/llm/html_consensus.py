@@ -4,7 +4,8 @@ Every page scores its containers and votes with the generalised tag-class path o
 summed by host in Spark; paths with at least ``MIN_SHARE`` of their host's votes win, and each page is
 extracted again from the first winning path that it has. A page with none of them uses its own best.
 
-Null and empty pages give an empty text. Ties between paths go to the lesser path, ties between containers
+Attributes are read from left to right and compared by whole names. Null and empty pages give an empty text;
+long pages are read whole. Ties between paths go to the lesser path, ties between containers
 to the first in the page. Repeated pages vote again and give equal texts. A url without host votes under the
 empty host. Empty tables give an empty result; columns of other names are ignored.
 """
@@ -26,10 +27,11 @@ MIN_SHARE = 0.1
 HOST_BROADCAST_ROWS = 200_000
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*?)(/?)>|<[/a-zA-Z][^>]*\Z""", re.DOTALL)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?=[\s=>/]|\Z)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+#: One attribute after another, so that a name is only ever read where a name stands, never inside a value.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 # fixed values: element names by their role in a page
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea svg math object select title".split())
+RAW = frozenset("script style noscript template iframe textarea svg object select title".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -37,6 +39,8 @@ SCOPE = frozenset("ul ol dl table div section article main body html td th block
 JUNK_TAGS = frozenset("head nav header footer aside form button dialog menu input label".split())
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 JUNK_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup sidebar side aside widget widgets related recommended recommendations menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer foot comment comments commentlist disqus reply replies respond discussion share sharing social toolbar pagination pager login search hidden tracking alert".split())
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote pre li dt dd td th figcaption caption span b i em strong a".split())
+PLACE_WORDS = frozenset("header masthead topbar footer foot sidebar side aside".split())
 MAIN_WORDS = frozenset("content main article post entry story body text page prose".split())
 SPLIT_NAME = re.compile(r"[^a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -59,6 +63,8 @@ def is_junk(tag: str, attrs: dict[str, str]) -> bool:
         return True
     for value in (*attrs.get("class", "").split(), attrs.get("id", "")):
         words = name_words(value)
+        if tag in TEXT_TAGS and words and words[-1] in PLACE_WORDS:
+            continue  # a heading or a paragraph may be called header; only a container is one
         if words and (words[0] in JUNK_WORDS or words[-1] in JUNK_WORDS) and not (words[0] in MAIN_WORDS and words[-1] not in JUNK_WORDS):
             return True
     return False
@@ -161,23 +167,26 @@ def blocks(top: Node) -> list[tuple[Node, str, int]]:
 
 
 def page_text(top: Node) -> str:
-    """Blocks of a container joined by line ends, without lists that are links alone."""
+    """Blocks of a container joined by line ends. A list of links alone is a menu if no other text of the
+    container stands before it; once text has begun, lists belong to it, however long."""
     found = blocks(top)
-    lists: dict[int, list[int]] = {}
+    lists: dict[int, bool] = {}
     holder: list[int | None] = []
     for owner, text, linked in found:
-        up = owner
-        while up is not None and up is not top and up.tag not in ("ul", "ol"):
+        up, outer = owner, None
+        while up is not None and up is not top:
+            outer = up if up.tag in ("ul", "ol") else outer
             up = up.parent
-        key = id(up) if up is not None and up.tag in ("ul", "ol") else None
+        key = id(outer) if outer is not None else None
         holder.append(key)
         if key is not None:
-            c = lists.setdefault(key, [0, 0, 0])
-            c[0] += 1
-            c[1] += len(text)
-            c[2] += linked
-    menus = {k for k, (items, chars, linked) in lists.items() if items >= 3 and linked >= 0.9 * chars}
-    return "\n".join(text for (_, text, _), key in zip(found, holder) if key not in menus)
+            lists[key] = lists.get(key, True) and linked >= len(text) - text.count(" ")
+    out, begun = [], False
+    for (_, text, _), key in zip(found, holder):
+        if begun or not lists.get(key, False):
+            begun = True
+            out.append(text)
+    return "\n".join(out)
 
 
 def best_container(root: Node) -> tuple[Node | None, float]:
