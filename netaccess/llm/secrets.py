@@ -1,11 +1,15 @@
 """Secret scan: fixed patterns, plus candidates reported only after their inner structure is confirmed.
 
-Kinds by pattern: ``assign``, ``access``, ``hex``. Kinds by structure: ``pem`` (armour whose base64 decodes
-to nested DER lengths or an OpenSSH key), ``jwt`` (three base64url parts whose header is a JSON object with
-an algorithm), ``der`` and ``hexkey`` (a bare base64 or hex run that is one DER sequence, whole, every length nested).
-
-Null and empty texts have no spans. Spans count code points, end exclusive. Rows are independent, so ties
-and repeated rows need no rule; an empty table gives an empty result and other columns are ignored.
+Kinds by pattern: ``assign``, ``access``, ``hex``. Kinds by structure: ``pem`` (armour whose base64 decodes to a
+private key), ``jwt`` (three base64url parts: a JSON object with an algorithm, a JSON object, a signature), ``der``
+and ``hexkey`` (a bare base64 or hex run that is one private key, whole). A private key is a DER sequence with the
+members of PKCS#1, SEC1, DSA, PKCS#8 or encrypted PKCS#8, every length nested, or an OpenSSH container. Public
+keys, certificates and other DER are no secrets. A DER sequence starts with the byte 0x30, hence base64 runs
+with ``M`` and hex runs with ``30``; runs of under 24 bytes cannot hold a key.
+
+Null and empty texts have no spans. Spans count code points, end exclusive. Long texts are scanned whole, in time
+that grows with their length. Rows are independent, so ties and repeated rows need no rule; an empty table gives
+an empty result and other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -27,46 +32,70 @@ KINDS = ("assign", "access", "hex", "pem", "jwt", "der", "hexkey")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.DOTALL)
+ARMOUR = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/])M[A-Za-z0-9+/]{39,}={0,2}")
 HEXKEY = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}")
 KEYWORD = re.compile(r"(?i:passw|secret|token|api_?key)")
 
 
-def der_nested(data: bytes, depth: int = 0) -> bool:
-    """Whether the data is a run of DER values whose lengths fit exactly, at every level of nesting."""
-    at, end = 0, len(data)
+INTEGER, OCTETS, OID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
+# fixed values: object identifiers, as DER contents
+RSA_KEY, EC_KEY = bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201")
+ENCRYPTIONS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
+
+def members(data: bytes) -> list[tuple[int, bytes]] | None:
+    """Tags and contents of a run of DER values that fills the data exactly; None if any length does not fit."""
+    found, at, end = [], 0, len(data)
     while at < end:
         if end - at < 2:
-            return False
+            return None
         tag, size, at = data[at], data[at + 1], at + 2
         if size & 0x80:
             count = size & 0x7F
             if not 1 <= count <= 4 or at + count > end:
-                return False
+                return None
             size, at = int.from_bytes(data[at : at + count], "big"), at + count
-        if at + size > end:
-            return False
-        if tag in (0x30, 0x31) and (depth > 16 or not der_nested(data[at : at + size], depth + 1)):
-            return False
-        if tag == 0x02 and size == 0:
-            return False
+        if at + size > end or (tag == INTEGER and size == 0):
+            return None
+        found.append((tag, data[at : at + size]))
         at += size
-    return True
+    return found
 
 
-def is_der_key(data: bytes) -> bool:
-    """One outer DER sequence that fills the data, nested soundly, with an integer first or an algorithm sequence."""
-    return len(data) >= 24 and data[0] == 0x30 and data[1] != 0 and der_nested(data) and len(data) == der_span(data)
+def sequence(data: bytes) -> list[tuple[int, bytes]]:
+    """Members of the one sequence that fills the data; none if it is anything else."""
+    outer = members(data)
+    return (members(outer[0][1]) or []) if outer and len(outer) == 1 and outer[0][0] == SEQUENCE else []
 
 
-def der_span(data: bytes) -> int:
-    size, at = data[1], 2
-    if size & 0x80:
-        at += size & 0x7F
-        size = int.from_bytes(data[2:at], "big")
-    return at + size
+def is_der_key(data: bytes) -> bool:
+    """Whether the data is one private key: the members decide, and what they hold is parsed in turn."""
+    parts = sequence(data)
+    tags = [t for t, _ in parts]
+    if len(tags) < 2:
+        return False
+    if tags[:2] == [SEQUENCE, OCTETS] and len(tags) == 2:  # encrypted PKCS#8: the method and the sealed key
+        method = members(parts[0][1]) or []
+        return bool(method) and method[0][0] == OID and method[0][1].startswith(ENCRYPTIONS) and len(parts[1][1]) >= 16
+    if tags[0] != INTEGER or parts[0][1] not in (b"\0", b"\1"):
+        return False
+    if set(tags) == {INTEGER} and len(tags) in (6, 9):  # DSA, PKCS#1
+        return len(max((v for _, v in parts), key=len)) >= 16
+    if tags[:3] == [INTEGER, INTEGER, INTEGER]:  # PKCS#1 with more primes
+        return len(tags) == 10 and tags[9] == SEQUENCE
+    if tags[1] == OCTETS:  # SEC1: the key, then optional context tags
+        return len(parts[1][1]) >= 16 and set(tags[2:]) <= {0xA0, 0xA1} and all(members(v) is not None for _, v in parts[2:])
+    if tags[1:3] == [SEQUENCE, OCTETS] and set(tags[3:]) <= {0xA0, 0x81, 0xA1}:  # PKCS#8: algorithm, key
+        method = members(parts[1][1]) or []
+        if not method or method[0][0] != OID:
+            return False
+        inner = parts[2][1]
+        if method[0][1] in (RSA_KEY, EC_KEY):
+            return is_der_key(inner)
+        return len(inner) >= 16 and members(inner) is not None
+    return False
 
 
 def is_openssh_key(data: bytes) -> bool:
@@ -92,13 +121,18 @@ def decode64(text: str) -> bytes | None:
         return None
 
 
-def is_token_header(part: str) -> bool:
+def json_object(part: str) -> dict | None:
     data = decode64(part)
     try:
-        header = json.loads(data) if data else None
-    except ValueError:
-        return False
-    return isinstance(header, dict) and isinstance(header.get("alg"), str)
+        found = json.loads(data) if data else None
+    except (ValueError, RecursionError):
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def is_token(header: str, payload: str, signature: str) -> bool:
+    head = json_object(header)
+    return head is not None and isinstance(head.get("alg"), str) and json_object(payload) is not None and decode64(signature) is not None
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -114,16 +148,21 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def structural_spans(text: str) -> list[tuple[int, int, str]]:
     found = []
     if "-----BEGIN" in text:
-        for m in PEM.finditer(text):
-            body = "".join(x for x in m[2].split("\n") if ":" not in x)
-            data = decode64(body)
-            if data and (is_der_key(data) or is_openssh_key(data)):
-                found.append((m.start(), m.end(), "pem"))
+        opened: dict[str, re.Match] = {}
+        for m in ARMOUR.finditer(text):
+            if m[1] == "BEGIN":
+                opened[m[2]] = m
+            elif begin := opened.pop(m[2], None):
+                body = "".join(x for x in text[begin.end() : m.start()].split("\n") if ":" not in x)
+                data = decode64(body)
+                if data and (is_der_key(data) or is_openssh_key(data)):
+                    found.append((begin.start(), m.end(), "pem"))
+    pems = sorted((a, b) for a, b, _ in found)
     if "eyJ" in text:
-        found += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_token_header(m[1]) and decode64(m[2]) is not None]
-    pems = [(a, b) for a, b, kind in found if kind == "pem"]
+        found += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_token(m[1], m[2], m[3])]
     for m in BASE64.finditer(text):
-        if not any(a <= m.start() < b for a, b in pems) and (data := decode64(m[0])) and is_der_key(data):
+        k = bisect_right(pems, (m.start(), len(text))) - 1
+        if not (k >= 0 and m.start() < pems[k][1]) and (data := decode64(m[0])) and is_der_key(data):
             found.append((m.start(), m.end(), "der"))
     for m in HEXKEY.finditer(text):
         if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
