@@ -1,12 +1,14 @@
 """Quality rules as weak supervision, in DataFrame functions only.
 
-Every rule votes good (2), bad (1) or abstains (0) on a document. Votes are counted by pattern over the
-whole corpus (at most 3^rules patterns, whatever the size of the corpus); expectation-maximisation on
-those counts estimates the share of good documents and each rule's accuracies; a document is kept when
-its posterior probability of being good is at least ``KEEP_AT``.
-
-Null and empty texts have 0 words and fail the base rule. Each row is judged on its own, so repeated rows
-get equal verdicts; an empty table gives an empty result; columns other than doc_id and text are ignored.
+Every rule votes good (2), bad (1) or abstains (0) on a document. Votes of the documents that pass the base rule are
+counted by pattern over the whole corpus (at most 3^rules patterns, whatever its size). The label model gives each
+rule a rate for each of its three outcomes in either class, so that abstaining is evidence as well;
+expectation-maximisation on the counts estimates these rates and the share of good documents. A document is kept
+when its posterior probability of being good is at least ``KEEP_AT``.
+
+Null and empty texts have 0 words and fail the base rule. Long texts are counted whole. Each row is judged on its
+own, so repeated rows get equal verdicts and a tie at the cut keeps both; an empty table gives an empty result;
+columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -19,8 +21,11 @@ from pyspark.sql import functions as F
 from netaccess.runtime import materialize
 
 KEEP_AT = 0.5
-ROUNDS = 12
-START_GOOD, START_ACCURACY = 0.8, 0.85
+ROUNDS = 15
+#: Where estimation starts: the share of good documents, and rates of (abstaining, bad, good) in the bad and the good class.
+START_GOOD, START_RATES = 0.8, ((0.30, 0.40, 0.30), (0.25, 0.05, 0.70))
+#: So many imagined documents of each class hold a rule that seldom speaks near its start.
+IMAGINED = 20
 #: Word separators other than the space itself.
 BLANKS = "\t\n\x0b\f\r"
 
@@ -78,46 +83,43 @@ def rule_votes() -> dict[str, Column]:
     repeats, upper = F.col("n_repeat_words") / words, F.col("n_upper") / chars
     lines = F.greatest(F.col("n_lines"), F.lit(1))
     dups, ended, shouts = F.col("n_dup_lines") / lines, F.col("n_ended_lines") / lines, F.col("n_shouts") / words
-    never = F.lit(False)
-    # most rules only speak against a document: the absence of one fault says little of the others
+    variety = F.col("n_distinct") / words
     return {
         "symbols": vote(symbols > 0.25, symbols < 0.02),
-        "marks": vote(marks > 0.15, never),
-        "word_length": vote((mean < 2.5) | (mean > 11), never),
-        "repeats": vote(repeats > 0.4, never),
-        "upper": vote(upper > 0.35, never),
-        "dup_lines": vote(dups > 0.3, never),
-        "shouts": vote(shouts > 0.1, never),
-        "ended_lines": vote((ended < 0.2) & (F.col("n_lines") >= 3), never),
-        "variety": vote((F.col("n_distinct") / words < 0.2) & (F.col("n_words") >= 100), never),
+        "marks": vote(marks > 0.15, marks < 0.01),
+        "word_length": vote((mean < 2.5) | (mean > 11), (mean > 3.5) & (mean < 8)),
+        "repeats": vote(repeats > 0.4, repeats < 0.1),
+        "upper": vote(upper > 0.35, upper < 0.1),
+        "dup_lines": vote(dups > 0.3, dups < 0.05),
+        "shouts": vote(shouts > 0.1, shouts < 0.005),
+        "ended_lines": vote((ended < 0.2) & (F.col("n_lines") >= 3), ended > 0.8),
+        "variety": vote((variety < 0.2) & (F.col("n_words") >= 100), variety > 0.4),
     }
 
 
-def fit_votes(patterns: DataFrame, rules: list[str], rounds: int = ROUNDS) -> tuple[float, dict[str, tuple[float, float]]]:
-    """EM over pattern counts: the share of good documents and, by rule, P(good vote | good), P(bad vote | bad)."""
-    share, accuracy = START_GOOD, {r: (START_ACCURACY, START_ACCURACY) for r in rules}
+def fit_votes(patterns: DataFrame, rules: list[str], rounds: int = ROUNDS) -> tuple[float, dict[str, tuple]]:
+    """EM over pattern counts: the share of good documents and, by rule, the rates of votes 0, 1, 2 in the bad and the good class."""
+    share, rates = START_GOOD, {r: START_RATES for r in rules}
     for _ in range(rounds):
-        p = posterior(share, accuracy)
-        weighed = patterns.select("n", p.alias("p"), *rules)
-        good, bad = F.col("n") * F.col("p"), F.col("n") * (1 - F.col("p"))
+        good = F.col("n") * posterior(share, rates)
+        bad = F.col("n") - good
         sums = [F.sum("n").alias("n"), F.sum(good).alias("good")]
-        for r in rules:
-            sums += [F.sum(F.when(F.col(r) == 2, good)).alias(f"{r}_tg"), F.sum(F.when(F.col(r) > 0, good)).alias(f"{r}_g")]
-            sums += [F.sum(F.when(F.col(r) == 1, bad)).alias(f"{r}_tb"), F.sum(F.when(F.col(r) > 0, bad)).alias(f"{r}_b")]
-        row = weighed.agg(*sums).first()
+        sums += [F.sum(F.when(F.col(r) == v, x)).alias(f"{r}_{k}{v}") for r in rules for k, x in ((0, bad), (1, good)) for v in range(3)]
+        row = patterns.agg(*sums).first()
         if not row["n"]:
             break
+        total = (row["n"] - row["good"], row["good"])
         share = min(0.99, max(0.01, row["good"] / row["n"]))
-        # five imagined votes hold a rule that seldom speaks near its start, and no rule falls to guessing
-        accuracy = {r: tuple(min(0.995, max(0.55, ((row[f"{r}_t{k}"] or 0.0) + 5 * START_ACCURACY) / ((row[f"{r}_{k}"] or 0.0) + 5))) for k in "gb") for r in rules}
-    return share, accuracy
+        rates = {r: tuple(tuple(((row[f"{r}_{k}{v}"] or 0.0) + IMAGINED * START_RATES[k][v]) / (total[k] + IMAGINED) for v in range(3)) for k in (0, 1)) for r in rules}
+    return share, rates
 
 
-def posterior(share: float, accuracy: dict[str, tuple[float, float]]) -> Column:
+def posterior(share: float, rates: dict[str, tuple]) -> Column:
     """P(good | votes), rules taken as independent given the class."""
     logit = F.lit(math.log(share / (1 - share)))
-    for r, (good, bad) in accuracy.items():
-        logit = logit + F.when(F.col(r) == 2, math.log(good / (1 - bad))).when(F.col(r) == 1, math.log((1 - good) / bad)).otherwise(0.0)
+    for r, (bad, good) in rates.items():
+        odds = [math.log(g / b) for b, g in zip(bad, good)]
+        logit = logit + F.when(F.col(r) == 2, odds[2]).when(F.col(r) == 1, odds[1]).otherwise(odds[0])
     return 1 / (1 + F.exp(-logit))
 
 
@@ -126,12 +128,12 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
     votes = rule_votes()
     facts = materialize(document_facts(docs), "quality-facts").withColumns(votes)
     rules = list(votes)
-    patterns = materialize(facts.groupBy(*rules).agg(F.count("*").alias("n")).coalesce(1), "quality-patterns")
-    share, accuracy = fit_votes(patterns, rules)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    patterns = materialize(facts.filter(~failed).groupBy(*rules).agg(F.count("*").alias("n")).coalesce(1), "quality-patterns")
+    share, rates = fit_votes(patterns, rules)
     return facts.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
-        posterior(share, accuracy).alias("p_good"),
-        (~failed & (posterior(share, accuracy) >= KEEP_AT)).alias("kept"),
+        posterior(share, rates).alias("p_good"),
+        (~failed & (posterior(share, rates) >= KEEP_AT)).alias("kept"),
     )
