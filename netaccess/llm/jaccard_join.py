@@ -12,8 +12,10 @@ Two sets that reach the threshold share a shingle among the first n - ceil(t n)
    shingles, merges the short ones with a heap, probes the long ones by binary search only for candidates
    that can still reach the required overlap (DivideSkip), and keeps those that do.
 3. Links give components. Lists that still hold several give their pairs across components, which are
-   searched in the same way; pairs within one component could not change the result. Length and position
-   filters come before any pair is made.
+   searched in the same way; long lists are dealt into blocks, and each pair of blocks is searched as a whole,
+   so that no list makes all its pairs. Length and position filters come before any pair is made.
+4. Two linked documents share a component. Within each component all classes are searched against all others in
+   such blocks for the number of links; tasks return counts by document, not pairs.
 
 Null and empty texts and texts without words have empty sets and are linked with nothing. Rows of one doc_id
 count as one document with the least n_shingles first. Rows without doc_id stay alone, with a null
@@ -41,6 +43,9 @@ HOT_SHINGLES = 1 << 18
 FLUSH_SHINGLES = 8_000_000
 CLASS_BROADCAST_ROWS = 1_000_000
 CHUNK = 128
+#: Posting lists of more documents than this are searched in blocks.
+LONG_LIST = 256
+QUERY, ENTRY, BOTH = 1, 2, 3
 
 
 def narrow(docs: DataFrame) -> DataFrame:
@@ -158,21 +163,33 @@ def divide_skip(hub: np.ndarray, sets: list[np.ndarray], percent: int) -> list[i
 def search(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (hub, doc_id) whose sets reach the threshold; hubs with many candidates are searched in chunks."""
     sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    dealt = pairs.join(sizes, "hub").select("hub", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).alias("j"))
-    own = dealt.select("hub", F.lit(0).cast("long").alias("i"), "j").distinct().withColumn("doc_id", F.col("hub"))
-    asked = own.select("doc_id", "hub", "i", "j", F.lit(True).alias("asks"), F.col("doc_id").alias("part"))
-    asked = asked.union(dealt.select("doc_id", "hub", F.lit(0).cast("long"), "j", F.lit(False), F.col("doc_id")))
+    dealt = pairs.join(sizes, "hub").select("hub", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("j"))
+    zero, one = F.lit(0), F.lit(1).cast("long")
+    own = dealt.select("hub", "j").distinct().select("hub", zero.alias("i"), "j", F.lit(QUERY).alias("role"), F.col("hub").alias("part"), F.col("hub").alias("doc_id"), one.alias("copies"))
+    asked = own.union(dealt.select("hub", zero, "j", F.lit(ENTRY), F.col("doc_id"), F.col("doc_id"), one))
     return search_blocks(materialize(asked, "jaccard-asked"), docs, k, percent)
 
 
-def search_blocks(asked: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (hub, doc_id) between the asking and the other documents of each block (hub, i, j), for unequal parts."""
-    rows = docs.join(broadcast_if_small(asked, CLASS_BROADCAST_ROWS), "doc_id").select("hub", "i", "j", "asks", "part", "doc_id", "text")
+def dealt_blocks(rows: DataFrame) -> DataFrame:
+    """Rows (hub, doc_id, part, copies, m: documents of the hub) dealt into blocks of about ``CHUNK``; each meets every block of its hub."""
+    n = F.ceil(F.col("m") / CHUNK).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    role = F.when(F.col("own") == F.col("other"), BOTH).when(F.col("own") < F.col("other"), QUERY).otherwise(ENTRY)
+    return rows.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), role.alias("role"), "part", "doc_id", "copies")
+
+
+def search_blocks(asked: DataFrame, docs: DataFrame, k: int, percent: int, count: bool = False) -> DataFrame:
+    """Searches the queries of each block (hub, i, j) among its entries.
+
+    Returns links (hub, doc_id) enough to join the parts that meet; with ``count`` every link is found, and rows
+    are (doc_id, links): the copies of the documents linked with it in the block."""
+    rows = docs.join(broadcast_if_small(asked, CLASS_BROADCAST_ROWS), "doc_id").select("hub", "i", "j", "role", "part", "doc_id", "copies", "text")
     rows = rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-    schema = StructType([StructField("hub", LongType()), StructField("doc_id", LongType())])
+    schema = StructType([StructField("doc_id" if count else "hub", LongType()), StructField("links" if count else "doc_id", LongType())])
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         at, queries, entries = None, [], []
+        near = lambda s, t: 100 * min(len(s), len(t)) >= percent * max(len(s), len(t))
 
         def links() -> dict[str, list]:
             found: dict[str, list] = {"hub": [], "doc_id": []}
@@ -183,38 +200,65 @@ def search_blocks(asked: DataFrame, docs: DataFrame, k: int, percent: int) -> Da
                     x = up
                 return x
 
-            for part, doc_id, s in queries:
-                others = [e for e in entries if root(e[0]) != root(part) and 100 * min(len(s), len(e[2])) >= percent * max(len(s), len(e[2]))]
+            for part, doc_id, s, _ in queries:
+                others = [e for e in entries if root(e[0]) != root(part) and near(s, e[2])]
                 for hit in divide_skip(s, [e[2] for e in others], percent):
                     found["hub"].append(doc_id)
                     found["doc_id"].append(others[hit][1])
                     joined[root(part)] = root(others[hit][0])
             return found
 
+        def counts() -> dict[str, list]:
+            held: dict[int, int] = {}
+            for _, doc_id, s, copies in queries:
+                # where a block meets itself each pair comes up twice and counts for the query alone
+                others = [e for e in entries if e[1] != doc_id and near(s, e[2])]
+                for hit in divide_skip(s, [e[2] for e in others], percent):
+                    held[doc_id] = held.get(doc_id, 0) + others[hit][3]
+                    if at[1] != at[2]:
+                        held[others[hit][1]] = held.get(others[hit][1], 0) + copies
+            return {"doc_id": list(held), "links": list(held.values())}
+
         for batch in batches:
-            names = ("hub", "i", "j", "asks", "part", "doc_id")
-            for (*head, asks, part, doc_id), value in zip(zip(*(batch[n].to_pylist() for n in names)), batch["text"]):
+            names = ("hub", "i", "j", "role", "part", "doc_id", "copies")
+            for (*head, role, part, doc_id, copies), value in zip(zip(*(batch[n].to_pylist() for n in names)), batch["text"]):
                 if head != at:
-                    yield links()
+                    if at is not None:
+                        yield counts() if count else links()
                     at, queries, entries = head, [], []
-                (queries if asks else entries).append((part, doc_id, shingle_hashes(ascii_words(value.as_py()), k)))
-        yield links()
+                entry = (part, doc_id, shingle_hashes(ascii_words(value.as_py()), k), copies)
+                if role & QUERY:
+                    queries.append(entry)
+                if role & ENTRY:
+                    entries.append(entry)
+        if at is not None:
+            yield counts() if count else links()
 
     return map_arrow(rows, run, schema)
 
 
+def link_counts(classes: DataFrame, parts: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """rep, links: for each class with a linked one, the documents of other classes linked with each of its own."""
+    placed = classes.join(parts.select(F.col("doc_id").alias("rep"), F.col("component").alias("hub")), "rep")
+    sizes = placed.groupBy("hub").agg(F.count("*").alias("m"))
+    rows = placed.join(sizes, "hub").select("hub", F.col("rep").alias("doc_id"), F.col("rep").alias("part"), "copies", "m")
+    found = search_blocks(materialize(dealt_blocks(rows), "jaccard-blocks"), docs, k, percent, count=True)
+    return found.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("links"))
+
+
 def plausible(n: str, rank: str, hub_n: str, hub_rank: str, percent: int):
     """Length and position filters of a shared shingle; a linked pair passes both at the first shingle that it shares."""
     need = F.ceil(percent * (F.col(n) + F.col(hub_n)) / (100 + percent))
     return (100 * F.least(n, hub_n) >= percent * F.greatest(n, hub_n)) & (F.least(F.col(n) - F.col(rank), F.col(hub_n) - F.col(hub_rank)) >= need)
 
 
-def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links) for every document."""
+def jaccard_components(docs: DataFrame, k: int, percent: int, with_links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable by links) for every document; ``with_links`` adds n_links."""
     facts = materialize(set_facts(docs, k), "shingle-facts")
     hot = docs.sparkSession.sparkContext.broadcast(hot_order(facts))
     facts = facts.filter("token is null").select("doc_id", "n", "key")
-    classes = materialize(facts.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "shingle-classes")
+    named = facts.filter("key is not null and doc_id is not null").groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
+    classes = materialize(named.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "shingle-classes")
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
     members = narrow(docs).join(broadcast_if_small(reps, CLASS_BROADCAST_ROWS), "doc_id", "left_semi")
 
@@ -229,18 +273,33 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     parts = materialize(connected_components(links, "hub", "doc_id"), "jaccard-parts").withColumnRenamed("node", "doc_id")
 
     placed = listed.select("token", "doc_id", "n", "rank").join(broadcast_if_small(parts, CLASS_BROADCAST_ROWS), "doc_id", "left")
-    placed = placed.select("token", "doc_id", "n", "rank", F.coalesce("component", "doc_id").alias("part"))
-    other = placed.select("token", *(F.col(c).alias(f"b_{c}") for c in ("doc_id", "n", "rank", "part")))
-    across = placed.join(other, "token").filter((F.col("doc_id") < F.col("b_doc_id")) & (F.col("part") != F.col("b_part")) & plausible("n", "rank", "b_n", "b_rank", percent))
+    placed = materialize(placed.select("token", "doc_id", "n", "rank", F.coalesce("component", "doc_id").alias("part")), "jaccard-placed")
+    discard(listed)
+    lengths = placed.groupBy("token").agg(F.count("*").alias("m"), F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b")
+    open_lists = materialize(lengths.select("token", "m"), "jaccard-open")
+    long = open_lists.filter(F.col("m") > LONG_LIST)
+    short = placed.join(open_lists.filter(F.col("m") <= LONG_LIST).select("token"), "token", "left_semi")
+    other = short.select("token", *(F.col(c).alias(f"b_{c}") for c in ("doc_id", "n", "rank", "part")))
+    across = short.join(other, "token").filter((F.col("doc_id") < F.col("b_doc_id")) & (F.col("part") != F.col("b_part")) & plausible("n", "rank", "b_n", "b_rank", percent))
     known = pairs.select(F.least("hub", "doc_id").alias("hub"), F.greatest("hub", "doc_id").alias("doc_id"))
     across = across.select(F.col("doc_id").alias("hub"), F.col("b_doc_id").alias("doc_id")).distinct().join(known, ["hub", "doc_id"], "left_anti")
-    across = materialize(across, "jaccard-across")
-    discard(listed)
-    more = search(across, members, k, percent)
-    parts = connected_components(links.union(more), "hub", "doc_id")
-
-    found = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
-    return facts.join(found, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    found = links.union(search(materialize(across, "jaccard-across"), members, k, percent))
+    if not long.isEmpty():
+        rows = placed.join(long, "token").select(F.col("token").alias("hub"), "doc_id", "part", F.lit(1).cast("long").alias("copies"), "m")
+        found = found.union(search_blocks(materialize(dealt_blocks(rows), "jaccard-long"), members, k, percent))
+    found = materialize(found, "jaccard-found")
+    discard(placed)
+    parts = materialize(connected_components(found, "hub", "doc_id"), "jaccard-parts").withColumnRenamed("node", "doc_id")
+
+    known = classes.join(parts.withColumnRenamed("doc_id", "rep"), "rep", "left").select("rep", "key", "copies", F.coalesce("component", "rep").alias("component"))
+    out = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")]
+    if with_links:
+        counts = materialize(link_counts(classes, parts, members, k, percent), "jaccard-counts")
+        known = known.join(counts, "rep", "left")
+        out.append(F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).alias("n_links"))
+    known = known.drop("rep")
+    alone = F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")
+    return facts.select("doc_id", "n", alone).join(known, "key", "left").select(*out)
 
 
 def keep_one(docs: DataFrame, k: int, percent: int) -> DataFrame:
