@@ -200,9 +200,43 @@ def test_language_model_normalised_and_better(spark):
     got = pitman_yor.score_corpus(spark.createDataFrame(r, "doc_id long, text string"))
     row = got.filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert row["s"] > row["b"]
-    pairs = spark.createDataFrame([(0 * 8 + 1, 5), (1 * 8 + 2, 3), (1 * 8 + 1, 1), (7 * 8 + 0, 40)], "pair long, c long")
-    p = 10.0 ** pitman_yor.fit_pairs(pairs, 8)
-    assert p.sum(1) == pytest.approx([1.0] * 8, abs=1e-4)
+    assert got.filter("perplexity <= 1 or perplexity is null").count() == 0
+
+
+def test_language_model_normalised():
+    """Over all words of the vocabulary the predictive probabilities of a context sum to one."""
+    import numpy as np
+
+    size = 8
+    parent = pitman_yor.parent_probabilities(np.array([3.0, 9, 1, 1, 4, 1, 2, 30]), np.array([1, 1, 1, 1, 1, 1, 2, 4]))
+    words = np.array([1, 1, 1, 1, 1, 1, 2, 4])
+    assert (parent * words).sum() == pytest.approx(1.0)
+    for counts in ([5, 0, 0, 0, 3, 0, 0, 0], [0] * 8, [40, 1, 1, 1, 1, 1, 1, 1]):
+        owner = np.zeros(size, np.int64)
+        rooms = pitman_yor.Restaurants(owner, np.array(counts), parent * words, 0.7, np.arange(size))
+        for _ in range(4):
+            rooms.sweep()
+            assert rooms.predictive().sum() == pytest.approx(1.0)
+
+
+def test_seating_agrees_with_enumeration():
+    """Tables of many restaurants of one dish against P(t | c), proportional to S(c, t) d-steps of (theta + d i) p^t."""
+    import numpy as np
+
+    d, theta, n = 0.6, pitman_yor.STRENGTH, 6_000
+    for c, p in ((2, 0.3), (5, 0.3), (9, 0.05)):
+        s = [[0.0] * (c + 2) for _ in range(c + 1)]
+        s[1][1] = 1.0
+        for k in range(2, c + 1):
+            for t in range(1, k + 1):
+                s[k][t] = s[k - 1][t - 1] + (k - 1 - d * t) * s[k - 1][t]
+        weight = np.array([s[c][t] * math.prod((theta + d * i) * p for i in range(t)) for t in range(1, c + 1)])
+        want = weight / weight.sum()
+        rooms = pitman_yor.Restaurants(np.arange(n), np.full(n, c), np.full(n, p), d, np.arange(n))
+        for _ in range(12):
+            rooms.sweep()
+        got = np.bincount(rooms.t.astype(int), minlength=c + 1)[1:] / n
+        assert np.abs(got - want).max() < 0.03
 
 
 def test_seating_of_large_groups_is_short_and_bounded():
