@@ -14,7 +14,7 @@ Lines of fewer than ``least`` words stay; the queries take every line with a wor
 3. In each posting list all lines are tried against the first one, so pairs grow with the postings, not with
    their square. Lines still without a match are then tried against the earlier lines of their lists. Length,
    position and signature filter pairs before any is made; the words of the rest are compared. The signature is
-   two times 64 parities of token counts: each token in which two lines differ flips one bit of either half.
+   128 parities of token counts: each token in which two lines differ flips one bit.
 
 Documents are told apart by doc_id and the hash of their text, so texts that share a doc_id lose only lines of
 their own; rows equal in both count as one document, and rows without doc_id come before all others. Null and
@@ -98,9 +98,9 @@ def ordered_facts(tokens: DataFrame, percent: int) -> DataFrame:
     """uid, doc_id, thash, line, n, h (of the token set), sig and sig2, first (the tokens to post, rarest first)."""
     # the level in the high bits, the hash in the others: one number orders and names a token
     ordered = F.expr(f"sort_array(transform(tokens, h -> shiftleft(level[cast(h & {(1 << BUCKET_BITS) - 1} as int)], 56) | shiftrightunsigned(h, 8)))")
-    parity = "aggregate(tokens, 0L, (s, h) -> s ^ shiftleft(1L, cast(shiftrightunsigned(h, {}) & 63 as int)))"
+    parity = "aggregate(tokens, 0L, (s, h) -> if(h & 64 = {}, s ^ shiftleft(1L, cast(h & 63 as int)), s))"
     rows = tokens.withColumn("level", rarity_levels(tokens)).select(
-        "uid", *KEY, F.size("tokens").alias("n"), F.expr(parity.format(0)).alias("sig"), F.expr(parity.format(20)).alias("sig2"), once(ordered).alias("ordered"))
+        "uid", *KEY, F.size("tokens").alias("n"), F.expr(parity.format(0)).alias("sig"), F.expr(parity.format(64)).alias("sig2"), once(ordered).alias("ordered"))
     n = F.col("n")
     # a set that no set of another size can reach has met all its matches by hash
     alone = (least_overlap(n, percent) == n) & (F.floor(n * 100 / percent) == n)
@@ -130,7 +130,7 @@ def plausible(a: str, b: str, percent: int) -> Column:
     differ = [F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in ("sig", "sig2")]
     most = n[0] + n[1] - 2 * need
     # lengths beyond 16 bits are not told apart: such lines go on to be compared
-    return (F.greatest(*n) >= CAPPED) | ((100 * F.least(*n) >= percent * F.greatest(*n)) & (differ[0] + differ[1] <= 2 * most) & (F.greatest(*differ) <= most) & (F.least(*left) >= need))
+    return (F.greatest(*n) >= CAPPED) | ((100 * F.least(*n) >= percent * F.greatest(*n)) & (differ[0] + differ[1] <= most) & (F.least(*left) >= need))
 
 
 def renamed(rows: DataFrame, prefix: str) -> DataFrame:
