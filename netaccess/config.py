@@ -7,7 +7,7 @@ KM_PER_DEG = 111.0
 BLOCK_PROBABILITY = 0.5
 MAX_BLOCK = 0.99
 EFFICIENCY_SAMPLE, DIAMETER_SAMPLE = 300, 150
-PERCOLATION_STEPS, PERCOLATION_ALPHA, PERCOLATION_SAMPLE = 50, 0.6, 200
+PERCOLATION_STEPS, PERCOLATION_ALPHA, PERCOLATION_SAMPLE, PERCOLATION_EFFICIENCY_STEPS = 50, 0.6, 200, 51
 SEVERE_INCREASE_PCT = 50.0
 BORDER_BAND_DEG, BORDER_LINK_DEG, BORDER_SPEED = 0.5, 0.20, 40.0
 PLACE_SNAP_DEG = 0.5

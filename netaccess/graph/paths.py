@@ -20,8 +20,9 @@ def shortest_paths(adjacency: DataFrame, sources: DataFrame) -> DataFrame:
         front = best.filter("new")
         reached = front.join(adjacency, front["node"] == adjacency["a"]).select("src", F.col("b").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.lit(True).alias("new"))
         both = best.withColumn("new", F.lit(False)).union(reached)
-        # of equal distances the old state wins, so that it does not count as improved
-        best = materialize(both.groupBy("src", "node").agg(F.min(F.struct("dist", "new")).alias("s")).select("src", "node", "s.dist", "s.new"), "path-round")
+        # two minima of doubles keep the aggregation hashed; of equal distances the old state wins, so that it does not count as improved
+        least = both.groupBy("src", "node").agg(F.min("dist").alias("dist"), F.min(F.when(~F.col("new"), F.col("dist"))).alias("old"))
+        best = materialize(least.select("src", "node", "dist", (F.col("old").isNull() | (F.col("dist") < F.col("old"))).alias("new")), "path-round")
         if best.filter("new").limit(1).count() == 0:
             return best.select("src", "node", "dist")
 
@@ -75,3 +76,25 @@ def forced_cost(tree: DataFrame, adjacency: DataFrame, roots: DataFrame) -> Data
         if level.limit(1).count() == 0:
             return done
         done = done.union(level)
+
+
+def shortest_steps(dist: DataFrame, adjacency: DataFrame) -> DataFrame:
+    """(src, a, b): every step that lies on a shortest path from src; weights of 0 are no steps, so there is no cycle."""
+    up = dist.select("src", F.col("node").alias("a"), F.col("dist").alias("pd"))
+    steps = up.join(adjacency, "a").join(dist.select("src", F.col("node").alias("b"), "dist"), ["src", "b"])
+    return steps.filter((F.col("w") > 0) & (F.col("pd") + F.col("w") == F.col("dist"))).select("src", "a", "b").distinct()
+
+
+def flow(steps: DataFrame, start: DataFrame) -> DataFrame:
+    """(src, node, v): ``start`` (src, node, v) carried along ``steps`` (src, a, b) and summed wherever it passes.
+
+    One round a hop; a round moves only what the round before it brought. ``steps`` has no cycle.
+    """
+    front = materialize(start.select("src", "node", "v"), "flow-front")
+    passed = front
+    while True:
+        moved = steps.join(front.withColumnRenamed("node", "a"), ["src", "a"]).groupBy("src", F.col("b").alias("node")).agg(F.sum("v").alias("v"))
+        front = materialize(moved, "flow-front")
+        if front.limit(1).count() == 0:
+            return passed.groupBy("src", "node").agg(F.sum("v").alias("v"))
+        passed = passed.union(front)

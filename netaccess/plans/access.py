@@ -12,12 +12,9 @@ from netaccess.graph.build import both_ways
 from netaccess.operators import access as A
 from netaccess.operators import measures as M
 from netaccess.plans.filters import OD_SQL, od_pairs
-from netaccess.plans.graphs import FACILITY_START, paths_sql
+from netaccess.plans.graphs import CITY, FACILITY_START, place_nodes, three_nets
 from netaccess.plans.registry import query
 
-CITY = "SELECT v AS src, v AS node, CAST(0.0 AS DOUBLE) AS dist FROM (SELECT DISTINCT v FROM edges WHERE (v - 1000000) % 10 = 0 AND v <= 1000100) c"
-
-
 def two_path_sql(sources: str) -> str:
     """Distances in both weights as d0 and d1, from one recursive statement over (scenario, src)."""
     return f"""WITH RECURSIVE adj AS (SELECT u AS a, v AS b, 0 AS k, w0 AS w FROM edges UNION ALL SELECT v, u, 0, w0 FROM edges UNION ALL SELECT u, v, 1, w1 FROM edges UNION ALL SELECT v, u, 1, w1 FROM edges),
@@ -26,15 +23,15 @@ def two_path_sql(sources: str) -> str:
 
 
 def city_pairs(edges: DataFrame) -> DataFrame:
-    """city_a < city_b with t0 and t1 over the twin graphs, from a bounded set of cities."""
-    cities = edges.filter("(v - 1000000) % 10 = 0 AND v <= 1000100").select(F.col("v").alias("node")).distinct()
-    starts = cities.select(F.col("node").alias("src"), "node")
-    found = None
-    for name, w in (("t0", "w0"), ("t1", "w1")):
-        d = P.shortest_paths(both_ways(edges, w), starts).join(cities, "node", "left_semi").filter("src < node").select(F.col("src").alias("city_a"), F.col("node").alias("city_b"), F.col("dist").alias(name))
-        found = d if found is None else found.join(d, ["city_a", "city_b"], "full")
-    names = cities.select(F.col("node").alias("city_a"))
-    every = names.join(cities.select(F.col("node").alias("city_b")), F.col("city_a") < F.col("city_b"))
+    """city_a < city_b with t0 and t1 of every pair of places; both weathers are one graph, whose nodes carry theirs."""
+    node = lambda c: F.struct("kind", F.col(c).alias("id"))
+    rows = edges.select("u", "v", F.posexplode(F.array("w0", "w1")).alias("kind", "w")).select(node("u").alias("u"), node("v").alias("v"), "w")
+    cities = place_nodes(edges)
+    starts = place_nodes(rows).select(F.col("node.id").alias("src"), "node")
+    ends = P.shortest_paths(both_ways(rows, "w"), starts).select("src", F.col("node.id").alias("node"), "node.kind", "dist").filter("src < node").join(cities, "node", "left_semi")
+    time = lambda k: F.min(F.when(F.col("kind") == k, F.col("dist")))
+    found = ends.groupBy(F.col("src").alias("city_a"), F.col("node").alias("city_b")).agg(time(0).alias("t0"), time(1).alias("t1"))
+    every = cities.select(F.col("node").alias("city_a")).join(cities.select(F.col("node").alias("city_b")), F.col("city_a") < F.col("city_b"))
     return every.join(found, ["city_a", "city_b"], "left")
 
 
@@ -43,17 +40,19 @@ def city_od(edges: DataFrame) -> DataFrame:
     return od_pairs(city_pairs(edges)).select("city_a", "city_b", F.round("t0", 6).alias("t0"), F.round("t1", 6).alias("t1"), "severe_increase", "conn_type")
 
 
-@query("od3_scenario_od", "edges")
+@query("od3_scenario_od", "edges", sql=f"""WITH RECURSIVE rows AS (SELECT f, u, v, w0 * (1 + (w1 / w0 - 1) * f) AS w FROM edges, (VALUES (0.5::DOUBLE), (1.0), (2.0)) x(f)), adj AS (SELECT f, u AS a, v AS b, w FROM rows UNION ALL SELECT f, v, u, w FROM rows),
+    d(f, src, node, dist) USING KEY (f, src, node) AS (SELECT x.f, s.* FROM ({CITY}) s, (VALUES (0.5::DOUBLE), (1.0), (2.0)) x(f) UNION SELECT d.f, d.src, adj.b, min(d.dist + adj.w) FROM d JOIN adj ON d.node = adj.a AND d.f = adj.f
+    LEFT JOIN recurring.d AS r ON r.f = d.f AND r.src = d.src AND r.node = adj.b WHERE d.dist + adj.w < coalesce(r.dist, 1e300) GROUP BY d.f, d.src, adj.b)
+    SELECT f AS factor, count(*) AS n, round(avg(dist), 6) AS mean FROM d WHERE src < node AND node IN (SELECT v FROM edges) GROUP BY f""")
 def scenario_od(edges: DataFrame) -> DataFrame:
-    """Pairs under three severities of the extreme weights, solved together: the scenario is part of the source."""
+    """All pairs of places under three severities of the extreme weights, solved together: nodes carry their scenario."""
     factor = F.explode(F.array(*map(F.lit, (0.5, 1.0, 2.0))))
     rows = edges.withColumn("f", factor).withColumn("w", F.col("w0") * (1 + (F.col("w1") / F.col("w0") - 1) * F.col("f")))
     node = lambda c: F.struct("f", F.col(c).alias("id"))
-    adj = rows.select(node("u").alias("a"), node("v").alias("b"), "w")
-    adj = adj.union(adj.select("b", "a", "w"))
-    cities = rows.filter("(v - 1000000) % 10 = 0 AND v <= 1000050").select(node("v").alias("node")).distinct()
-    d = P.shortest_paths(adj, cities.select(F.col("node").alias("src"), "node")).join(cities, "node", "left_semi").filter("src.id < node.id")
-    return d.groupBy(F.col("src.f").alias("factor")).agg(F.count("*").alias("n"), F.round(F.avg("dist"), 6).alias("mean"))
+    rows = rows.select(node("u").alias("u"), node("v").alias("v"), "w")
+    cities = place_nodes(rows)
+    d = P.shortest_paths(both_ways(rows, "w"), cities.select(F.col("node.id").alias("src"), "node")).filter("src < node.id").join(cities, "node", "left_semi")
+    return d.groupBy(F.col("node.f").alias("factor")).agg(F.count("*").alias("n"), F.round(F.avg("dist"), 6).alias("mean"))
 
 
 @query("od5_gravity_access", "od", "places", sql="SELECT round(sum(CASE WHEN t0 > 0 AND t0 < 1e8 THEN CAST(a.pop_max AS DOUBLE) * b.pop_max / t0 END) / 1e9, 4) AS a_normal, round(sum(CASE WHEN t1 > 0 AND t1 < 1e8 THEN CAST(a.pop_max AS DOUBLE) * b.pop_max / t1 END) / 1e9, 4) AS a_extreme FROM od JOIN places a ON city_a = a.place_id JOIN places b ON city_b = b.place_id")
@@ -189,23 +188,25 @@ def scaled_metrics(od: DataFrame) -> DataFrame:
 
 @query("od6_district_metrics", "edges")
 def district_metrics(edges: DataFrame) -> DataFrame:
-    """Nodes, edges, parts, efficiency in both weathers and road drop of every district, all districts in one graph."""
-    from netaccess.graph.components import connected_components
-
-    d = edges.filter("u % 50 = 0").select(F.col("country_id").alias("district"), "u", "v", "w0", "w1")
+    """Size, parts, efficiency, diameter, bridges, road drop and amplification of every country as a district, all in one graph."""
+    from netaccess.graph.structure import bridges, network_metrics
+
+    d = edges.select(F.col("country_id").alias("district"), "u", "v", "w0", "w1", "p_block")
+    metrics = network_metrics(three_nets(d, "district")).filter("net.kind < 2")
+    of = lambda c, k: F.max(F.when(F.col("net.kind") == k, F.col(c)))
+    wide = metrics.groupBy(F.col("net.district").alias("district")).agg(
+        of("n_nodes", 0).alias("n_nodes"), of("lcc_ratio", 0).alias("lcc_ratio"), *(of(c, k).alias(f"{n}{k}") for c, n in (("efficiency", "e"), ("diameter", "d"), ("n_components", "c")) for k in (0, 1))
+    )
     node = lambda c: F.struct("district", F.col(c).alias("id"))
-    d = d.select("district", node("u").alias("u"), node("v").alias("v"), "w0", "w1")
-    n = d.select("district", F.explode(F.array("u", "v")).alias("x")).distinct().groupBy("district").agg(F.count("*").alias("n_nodes"))
-    sizes = connected_components(d).groupBy(F.col("node.district").alias("district"), "component").agg(F.count("*").alias("k"))
-    out = n.join(d.groupBy("district").agg(F.count("*").alias("n_edges"), F.avg((1 - F.col("w0") / F.col("w1")) * 100).alias("road_drop")), "district")
-    out = out.join(sizes.groupBy("district").agg(F.count("*").alias("n_parts"), F.max("k").alias("largest")), "district")
-    starts = d.select("v").distinct().select(F.col("v").alias("src"), F.col("v").alias("node"))
-    for name, w in (("e0", "w0"), ("e1", "w1")):
-        dist = P.shortest_paths(both_ways(d, w), starts).filter("dist > 0")
-        out = out.join(dist.groupBy(F.col("src.district").alias("district")).agg(F.sum(1 / F.col("dist")).alias(name), F.countDistinct("src").alias(f"{name}_n")), "district")
-        out = out.withColumn(name, F.col(name) / (F.col(f"{name}_n") * (F.col("n_nodes") - 1))).drop(f"{name}_n")
-    loss = F.try_divide(F.col("e0") - F.col("e1"), "e0") * 100
-    return out.select("district", "n_nodes", "n_edges", "n_parts", F.round(F.col("largest") / F.col("n_nodes"), 6).alias("largest_ratio"), F.round("e0", 6).alias("e0"), F.round("e1", 6).alias("e1"), F.round(loss, 5).alias("efficiency_loss_pct"), F.round(F.try_divide(loss, F.col("road_drop")), 5).alias("amplification"))
+    cut = bridges(d.select(node("u").alias("u"), node("v").alias("v"))).groupBy(F.col("u.district").alias("district")).agg(F.count("*").alias("n_bridges"))
+    roads = d.groupBy("district").agg(F.count("*").alias("n_edges"), F.avg((1 - F.col("w0") / F.col("w1")) * 100).alias("road_drop"), F.avg("p_block").alias("p_block"))
+    out = wide.join(roads, "district").join(cut, "district", "left")
+    loss = F.when(F.col("e0") > 0, (F.col("e0") - F.col("e1")) / F.col("e0") * 100)
+    return out.select(
+        "district", "n_nodes", "n_edges", F.round("lcc_ratio", 6).alias("lcc_ratio"), F.round(F.coalesce("n_bridges", F.lit(0)) / F.col("n_edges"), 6).alias("bridge_ratio"), F.round("road_drop", 5).alias("mean_road_degradation_pct"),
+        F.round("p_block", 6).alias("mean_p_block"), *(F.round(c, 6).alias(k) for c, k in (("e0", "e_normal"), ("e1", "e_extreme"), ("d0", "d_normal"), ("d1", "d_extreme"))), F.round(loss, 5).alias("efficiency_loss_pct"),
+        F.col("c0").alias("n_comp_normal"), F.col("c1").alias("n_comp_extreme"), (F.col("c1") - F.col("c0")).alias("delta_components"), F.round(F.when(F.col("road_drop") > 0, loss / F.col("road_drop")), 5).alias("amplification"),
+    )
 
 
 @query("ac7_population_snap_audit", "pixels", "places", sql=" UNION ALL ".join(f"SELECT {r} AS radius, round(sum(pop), 2) AS total, round(sum(CASE WHEN d2 <= {r * r} THEN pop ELSE 0 END) / sum(pop) * 100, 5) AS snapped_pct FROM pixels p LEFT JOIN (SELECT a.pixel_id, min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d2 FROM pixels a JOIN places b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 3600 GROUP BY a.pixel_id) n ON p.pixel_id = n.pixel_id" for r in (15, 30, 60)))

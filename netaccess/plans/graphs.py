@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netaccess import config as C
@@ -61,17 +61,19 @@ def multi_source(edges: DataFrame, facilities: DataFrame) -> DataFrame:
     return facility_times(edges, facilities, "w0").select("node", F.round("dist", 6).alias("dist"))
 
 
-FEW = "SELECT node AS src, node, CAST(0.0 AS DOUBLE) AS dist FROM (SELECT DISTINCT v AS node FROM edges WHERE v <= 1000008) s"
+CITY = "SELECT v AS src, v AS node, CAST(0.0 AS DOUBLE) AS dist FROM (SELECT DISTINCT v FROM edges) c"
 
 
-def few_sources(edges: DataFrame) -> DataFrame:
-    return edges.filter("v <= 1000008").select(F.col("v").alias("node")).distinct()
+def place_nodes(edges: DataFrame) -> DataFrame:
+    """Every place on the network, as node."""
+    return edges.select(F.col("v").alias("node")).distinct()
 
 
-@query("gr7_many_to_many", "edges", sql=paths_sql(FEW) + " SELECT src, node, round(dist, 6) AS dist FROM d WHERE node <= 1000")
+@query("gr7_many_to_many", "edges", sql=paths_sql(CITY) + " SELECT src, node, round(dist, 6) AS dist FROM d")
 def many_to_many(edges: DataFrame) -> DataFrame:
-    s = few_sources(edges)
-    return P.shortest_paths(B.both_ways(edges, "w0"), s.select(F.col("node").alias("src"), "node")).filter("node <= 1000").select("src", "node", F.round("dist", 6).alias("dist"))
+    """Times from every place to every node."""
+    starts = place_nodes(edges).select(F.col("node").alias("src"), "node")
+    return P.shortest_paths(B.both_ways(edges, "w0"), starts).select("src", "node", F.round("dist", 6).alias("dist"))
 
 
 @query("gr8_forced_path", "edges", "facilities")
@@ -82,18 +84,40 @@ def forced_path(edges: DataFrame, facilities: DataFrame) -> DataFrame:
     return forced_degradation(edges, facilities).select("node", F.round("t_normal", 6).alias("t_normal"), F.round("direct_degradation", 6).alias("direct_degradation"))
 
 
-@query("gr9_sampled_efficiency", "edges", sql=paths_sql(FEW) + ", n AS (SELECT count(*) AS n FROM (SELECT u FROM edges UNION SELECT v FROM edges) x) SELECT round(sum(1 / dist) / (count(DISTINCT src) * (max(n) - 1)), 6) AS efficiency FROM d, n WHERE dist > 0")
+def metrics_sql(nets: str) -> str:
+    """CTEs that end in m, the metrics of every net of ``nets`` (net, u, v, w)."""
+    return f"""WITH RECURSIVE nets AS ({nets}), adj AS (SELECT net, u AS a, v AS b, w FROM nets UNION ALL SELECT net, v, u, w FROM nets),
+    lab(net, node, label) USING KEY (net, node) AS (SELECT net, a, min(least(a, b)) FROM adj GROUP BY net, a UNION SELECT adj.net, adj.b, min(lab.label) FROM lab JOIN adj ON lab.net = adj.net AND lab.node = adj.a
+    JOIN recurring.lab AS r ON r.net = adj.net AND r.node = adj.b WHERE lab.label < r.label GROUP BY adj.net, adj.b),
+    sizes AS (SELECT net, label, count(*) AS n FROM lab GROUP BY net, label), shape AS (SELECT net, CAST(sum(n) AS BIGINT) AS n_nodes, count(*) AS n_components, max(n) AS n, first(label ORDER BY n DESC, label) AS best FROM sizes GROUP BY net),
+    starts AS (SELECT lab.net, row_number() OVER (PARTITION BY lab.net ORDER BY node) AS src, node FROM lab JOIN shape ON lab.net = shape.net AND lab.label = shape.best),
+    d(net, src, node, dist) USING KEY (net, src, node) AS (SELECT net, src, node, CAST(0.0 AS DOUBLE) FROM starts WHERE src <= {C.EFFICIENCY_SAMPLE} UNION SELECT d.net, d.src, adj.b, min(d.dist + adj.w) FROM d JOIN adj ON d.net = adj.net AND d.node = adj.a
+    LEFT JOIN recurring.d AS r ON r.net = d.net AND r.src = d.src AND r.node = adj.b WHERE d.dist + adj.w < coalesce(r.dist, 1e300) GROUP BY d.net, d.src, adj.b),
+    m AS (SELECT shape.net, n_nodes, n_components, CAST(n AS DOUBLE) / n_nodes AS lcc_ratio, coalesce(sum(CASE WHEN dist > 0 THEN 1 / dist END) / nullif(least(n, {C.EFFICIENCY_SAMPLE}) * (n - 1), 0), 0) AS efficiency,
+    max(CASE WHEN n <= {C.EFFICIENCY_SAMPLE} OR src <= {C.DIAMETER_SAMPLE} THEN dist END) AS diameter FROM shape JOIN d ON shape.net = d.net GROUP BY shape.net, n_nodes, n_components, n)"""
+
+
+def one_net(edges: DataFrame, weight: str) -> DataFrame:
+    return edges.select(F.lit(0).alias("net"), "u", "v", F.col(weight).alias("w"))
+
+
+def three_nets(edges: DataFrame, *keys: str) -> DataFrame:
+    """Edges as the nets 0 (normal), 1 (extreme) and 2 (hops), beside ``keys``."""
+    weights = F.posexplode(F.array(F.col("w0"), F.col("w1"), F.lit(1.0))).alias("kind", "w")
+    rows = edges.select(*keys, "u", "v", weights)
+    return rows.withColumn("net", F.struct(*keys, "kind") if keys else F.col("kind")).select("net", "u", "v", "w")
+
+
+@query("gr9_sampled_efficiency", "edges", sql=metrics_sql("SELECT 0 AS net, u, v, w0 AS w FROM edges") + " SELECT round(efficiency, 6) AS efficiency FROM m")
 def efficiency(edges: DataFrame) -> DataFrame:
-    s = few_sources(edges)
-    d = P.shortest_paths(B.both_ways(edges, "w0"), s.select(F.col("node").alias("src"), "node")).filter("dist > 0")
-    n = F.broadcast(edges.select(F.explode(F.array("u", "v")).alias("k")).distinct().agg(F.count("*").alias("n")))
-    return d.crossJoin(n).agg(F.round(F.sum(1 / F.col("dist")) / (F.countDistinct("src") * (F.max("n") - 1)), 6).alias("efficiency"))
+    """From the 300 least nodes of the largest part."""
+    return G.network_metrics(one_net(edges, "w0")).select(F.round("efficiency", 6).alias("efficiency"))
 
 
-@query("gr10_diameter", "edges", sql=paths_sql(FEW, "w1") + " SELECT round(max(dist), 6) AS diameter FROM d")
+@query("gr10_diameter", "edges", sql=metrics_sql("SELECT 0 AS net, u, v, w1 AS w FROM edges") + " SELECT round(diameter, 6) AS diameter FROM m")
 def diameter(edges: DataFrame) -> DataFrame:
-    s = few_sources(edges)
-    return P.shortest_paths(B.both_ways(edges, "w1"), s.select(F.col("node").alias("src"), "node")).agg(F.round(F.max("dist"), 6).alias("diameter"))
+    """Of the largest part: exact up to 300 nodes, else from its 150 least nodes."""
+    return G.network_metrics(one_net(edges, "w1")).select(F.round("diameter", 6).alias("diameter"))
 
 
 @query("gr12_bridges", "edges_s")
@@ -103,17 +127,27 @@ def find_bridges(edges: DataFrame) -> DataFrame:
 
 @query("gr13_edge_betweenness", "edges_s")
 def betweenness(edges: DataFrame) -> DataFrame:
-    """Loads of single shortest paths from the component roots, a fixed sample of sources."""
-    roots = connected_components(edges).filter("node = component").select("node")
-    return G.edge_loads(edges, roots, "w0", F.lit(1.0)).select("u", "v", F.round("load", 6).alias("load"))
+    """From the 300 least nodes, ties split over all shortest paths, normalised."""
+    return G.edge_betweenness(edges, "w0").select("u", "v", F.round("load", 9).alias("load"))
 
 
-@query("gr15_percolation", "edges", sql=None)
-def percolate(edges: DataFrame) -> DataFrame:
-    district = edges.filter("u % 25 = 0").select(F.col("country_id").alias("district"), "u", "v", "p_block", (F.col("w1") - F.col("w0")).alias("dv"))
-    most = district.withColumn("most", F.max("dv").over(Window.partitionBy("district")))
+def percolation_curve(edges: DataFrame) -> DataFrame:
+    """Every country is a district; its worst edges, by block probability and time lost, go first."""
+    district = edges.select(F.col("country_id").alias("district"), "u", "v", "p_block", (F.col("w1") - F.col("w0")).alias("dv"))
+    most = district.join(district.groupBy("district").agg(F.max("dv").alias("most")), "district")
     score = C.PERCOLATION_ALPHA * F.col("p_block") + (1 - C.PERCOLATION_ALPHA) * F.coalesce(F.try_divide("dv", "most"), F.lit(0.0))
-    return G.percolation(most, score, 10).select("district", "step", F.round("share", 6).alias("share"))
+    return G.percolation(most, score)
+
+
+@query("gr15_percolation", "edges")
+def percolate(edges: DataFrame) -> DataFrame:
+    return percolation_curve(edges).select("district", "step", F.round("share", 6).alias("share"), F.round("efficiency", 6).alias("efficiency"))
+
+
+@query("gr15_tipping_point", "edges")
+def tipping(edges: DataFrame) -> DataFrame:
+    names = ("q_c", "share", "efficiency_drop", "amplification")
+    return G.tipping_point(materialize(percolation_curve(edges), "percolation-curve")).select("district", *(F.round(c, 6).alias(c) for c in names))
 
 
 @query("gr16_degree", "edges", sql="SELECT node, count(*) AS degree FROM (SELECT u AS node FROM edges UNION ALL SELECT v FROM edges) t GROUP BY node")
@@ -121,11 +155,11 @@ def degree(edges: DataFrame) -> DataFrame:
     return B.degrees(edges)
 
 
-@query("gr17_gravity_betweenness", "edges_s", "customer")
-def gravity(edges: DataFrame, customer: DataFrame) -> DataFrame:
-    """Each target adds its population over the squared distance to the edges of one shortest path."""
-    roots = connected_components(edges).filter("node = component").select("node")
-    return G.edge_loads(edges, roots, "w0", 1.0 / F.pow("dist", F.lit(C.NI_ALPHA))).select("u", "v", F.round("load", 6).alias("load"))
+@query("gr17_gravity_betweenness", "edges", "places")
+def gravity(edges: DataFrame, places: DataFrame) -> DataFrame:
+    """Every pair of places adds the product of their populations over the squared time to the edges of one shortest path."""
+    people = places.select((1_000_000 + F.col("place_id")).alias("node"), (F.col("pop_max") / 1000).alias("pop"))
+    return G.gravity_loads(edges, people, "w0").select("u", "v", F.round("load", 4).alias("load"))
 
 
 @query("gr18_edge_scores", "scores", sql="""WITH s AS (SELECT edge_id, ni, greatest(CASE WHEN w0 > 1e-9 THEN w1 / w0 - 1 ELSE 0 END, 0) AS c FROM scores), m AS (SELECT max(ni) AS mn, max(c) AS mc FROM s)
@@ -161,12 +195,20 @@ def border_links(pixels: DataFrame) -> DataFrame:
     return near.select(F.col("l.pixel_id").alias("u"), F.col("r.pixel_id").alias("v"), F.round(hours, 6).alias("w0"), F.round(hours, 6).alias("w1"))
 
 
-@query("gr11_metric_deltas", "edges", sql=paths_sql(FEW) + """, n AS (SELECT count(*) AS n FROM (SELECT u FROM edges UNION SELECT v FROM edges) x) SELECT round(sum(1 / dist) / (count(DISTINCT src) * (max(n) - 1)), 6) AS e0, round(max(dist), 6) AS d0 FROM d, n WHERE dist > 0""")
+@query("gr11_metric_deltas", "edges", sql=metrics_sql("SELECT 0 AS net, u, v, w0 AS w FROM edges UNION ALL SELECT 1, u, v, w1 FROM edges UNION ALL SELECT 2, u, v, CAST(1.0 AS DOUBLE) FROM edges") + """,
+    s AS (SELECT *, max(CASE WHEN net = 0 THEN efficiency END) OVER () AS e0, max(CASE WHEN net = 0 THEN diameter END) OVER () AS d0, max(CASE WHEN net = 0 THEN n_components END) OVER () AS c0 FROM m)
+    SELECT net, n_nodes, n_components, round(lcc_ratio, 6) AS lcc_ratio, round(efficiency, 6) AS efficiency, round(diameter, 6) AS diameter,
+    CASE WHEN net = 1 AND e0 > 0 THEN round((e0 - efficiency) / e0 * 100, 5) END AS efficiency_loss_pct, CASE WHEN net = 1 THEN round(diameter - d0, 6) END AS diameter_delta, CASE WHEN net = 1 THEN n_components - c0 END AS new_components FROM s""")
 def metric_deltas(edges: DataFrame) -> DataFrame:
-    s = few_sources(edges)
-    d = P.shortest_paths(B.both_ways(edges, "w0"), s.select(F.col("node").alias("src"), "node")).filter("dist > 0")
-    n = F.broadcast(edges.select(F.explode(F.array("u", "v")).alias("k")).distinct().agg(F.count("*").alias("n")))
-    return d.crossJoin(n).agg(F.round(F.sum(1 / F.col("dist")) / (F.countDistinct("src") * (F.max("n") - 1)), 6).alias("e0"), F.round(F.max("dist"), 6).alias("d0"))
+    """Metrics of the nets 0 (normal), 1 (extreme) and 2 (hops), and what extreme weather changes."""
+    rows = materialize(G.network_metrics(three_nets(edges)), "metrics")
+    normal = F.broadcast(rows.filter("net = 0").select(F.col("efficiency").alias("e0"), F.col("diameter").alias("d0"), F.col("n_components").alias("c0")))
+    extreme = lambda c, k: F.when(F.col("net") == 1, c).alias(k)
+    return rows.crossJoin(normal).select(
+        "net", "n_nodes", "n_components", *(F.round(c, 6).alias(c) for c in ("lcc_ratio", "efficiency", "diameter")),
+        extreme(F.when(F.col("e0") > 0, F.round((F.col("e0") - F.col("efficiency")) / F.col("e0") * 100, 5)), "efficiency_loss_pct"),
+        extreme(F.round(F.col("diameter") - F.col("d0"), 6), "diameter_delta"), extreme(F.col("n_components") - F.col("c0"), "new_components"),
+    )
 
 
 @query("gr14_critical_tiers", "scores", sql="""WITH q AS (SELECT quantile_cont(ni, 0.8) AS a, quantile_cont(ni, 0.9) AS b, quantile_cont(ni, 0.95) AS c FROM scores) SELECT edge_id, CASE WHEN cv >= 0.05 AND ni >= b THEN 'L1' WHEN cv >= 0.05 OR ni >= c THEN 'L2' ELSE 'L3' END AS tier FROM scores, q WHERE cv >= 0.05 OR ni >= a""")

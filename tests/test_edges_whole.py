@@ -52,9 +52,14 @@ def test_loads_and_semi_nodes_of_all_lines(spark, small):
     ends = [x for e in edges for x in e]
     want = {(u, v) for u, v in edges if ends.count(u) >= 2 and ends.count(v) >= 2}
     assert {(r["u"], r["v"]) for r in registry.QUERIES["jn18_semi_nodes"](spark, path).collect()} == want
-    # the tree of one root a component has an edge for every other node
-    spark.createDataFrame([], "c_custkey long").write.parquet(f"{path}/customer.parquet")
-    nodes, roots = set(ends), set(components(edges).values())
-    for name in ("gr13_edge_betweenness", "gr17_gravity_betweenness"):
-        loads = {(r["u"], r["v"]) for r in registry.QUERIES[name](spark, path).collect()}
-        assert loads <= edges and len(loads) == len(nodes) - len(roots)
+    # every node is a source, so that the loads sum to the distances in steps of all pairs, and a bridge carries all pairs it parts
+    loads = {(r["u"], r["v"]): r["load"] for r in registry.QUERIES["gr13_edge_betweenness"](spark, path).collect()}
+    label, nodes = components(edges), set(ends)
+    n = len(nodes)
+    assert set(loads) <= edges
+    for bridge in registry.QUERIES["gr12_bridges"](spark, path).collect():
+        e = (bridge["u"], bridge["v"])
+        cut = components(edges - {e})
+        side = sum(1 for x in nodes if label[x] == label[e[0]] and cut.get(x, x) == cut.get(e[0], e[0]))
+        other = sum(1 for x in nodes if label[x] == label[e[0]]) - side
+        assert loads[e] == pytest.approx(2 * side * other / (n * (n - 1)), abs=1e-8)
