@@ -192,7 +192,7 @@ def district_metrics(edges: DataFrame) -> DataFrame:
     from netaccess.graph.structure import bridges, network_metrics
 
     d = edges.select(F.col("country_id").alias("district"), "u", "v", "w0", "w1", "p_block")
-    metrics = network_metrics(three_nets(d, "district")).filter("net.kind < 2")
+    metrics = network_metrics(three_nets(d, "district").filter("net.kind < 2"))
     of = lambda c, k: F.max(F.when(F.col("net.kind") == k, F.col(c)))
     wide = metrics.groupBy(F.col("net.district").alias("district")).agg(
         of("n_nodes", 0).alias("n_nodes"), of("lcc_ratio", 0).alias("lcc_ratio"), *(of(c, k).alias(f"{n}{k}") for c, n in (("efficiency", "e"), ("diameter", "d"), ("n_components", "c")) for k in (0, 1))
