@@ -45,3 +45,24 @@ def value_ranks(df: DataFrame, column: str, descending: bool = False) -> DataFra
     ranked = running_sum(counts, order, F.col("_c"), "_upto")
     ranked = ranked.select("_v", (F.col("_upto") - F.col("_c") + 1).alias("min_rank"), (F.col("_upto") - (F.col("_c") - 1) / 2).alias("avg_rank"))
     return df.join(ranked, df[column] == ranked["_v"], "left").drop("_v")
+
+
+def quantiles(df: DataFrame, values: dict[str, tuple[Column, tuple[float, ...]]]) -> DataFrame:
+    """One row: for each name and its (value, shares), the interpolated quantiles of the whole table as <name>_<position>; null without values.
+
+    Equal values are counted first and ordered in ranges, so that no task or buffer holds the distinct values of the table.
+    """
+    rows = df.select(F.explode(F.array(*(F.struct(F.lit(n).alias("_name"), v.cast("double").alias("_v")) for n, (v, _) in values.items()))).alias("e")).select("e._name", "e._v")
+    counts = rows.filter(F.col("_v").isNotNull()).groupBy("_name", "_v").agg(F.count("*").alias("_c"))
+    upto = materialize(running_sum(counts, [F.asc("_name"), F.asc("_v")], F.col("_c"), "_upto"), "quantile-counts")
+    ends = upto.groupBy("_name").agg(F.sum("_c").alias("_n"), F.min(F.col("_upto") - F.col("_c")).alias("_from"))
+    placed = upto.join(F.broadcast(ends), "_name")  # a row for each name
+    reach = F.col("_upto") - F.col("_from")
+    out = []
+    for name, (_, shares) in values.items():
+        for i, q in enumerate(shares):
+            place = (F.col("_n") - 1) * F.lit(q)
+            at = lambda k: F.min(F.when((F.col("_name") == name) & (reach > k), F.col("_v")))  # noqa: B023, E731
+            share = F.max(F.when(F.col("_name") == name, place - F.floor(place)))
+            out.append((at(F.floor(place)) + (at(F.ceil(place)) - at(F.floor(place))) * share).alias(f"{name}_{i}"))
+    return placed.agg(*out)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netaccess import config as C
 from netaccess.operators.ranking import value_ranks
 
 
@@ -34,6 +35,13 @@ def future_slowdown(v0: Column, v1: Column, p: Column) -> Column:
     return F.greatest(F.greatest(v0, F.lit(0.5)) / (F.greatest(v1, F.lit(0.5)) * (1 - F.least(F.greatest(p, F.lit(0.0)), F.lit(0.99)))) - 1, F.lit(0.0))
 
 
+def bottleneck_load(df: DataFrame, ni: str, cv: str, name: str) -> DataFrame:
+    """``df`` with the product of importance and slow-down, each divided by its largest value that counts and kept in 0 to 1."""
+    most = F.broadcast(df.agg(F.max(F.when(F.col(ni) > 0, F.col(ni))).alias("_ni"), F.max(F.when(F.col(cv) > C.CV_MIN, F.col(cv))).alias("_cv")))
+    share = lambda c, m: F.coalesce(F.least(F.greatest(F.try_divide(F.col(c), F.col(m)), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+    return df.crossJoin(most).withColumn(name, share(ni, "_ni") * share(cv, "_cv")).drop("_ni", "_cv")
+
+
 def capture_share(df: DataFrame, order: Column, value: str, k: int) -> DataFrame:
     """Share of the total of ``value`` held by the first k rows in an order, beside k / n."""
     top = df.orderBy(order, "edge_id").limit(k).agg(F.sum(value).alias("_top"))

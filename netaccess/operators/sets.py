@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netaccess.operators.ranking import quantiles
+
 
 def top_k(df: DataFrame, value: str, tie: str, k: int) -> DataFrame:
     """The k rows of largest value, ties to the lesser id."""
@@ -25,7 +27,7 @@ def retention(df: DataFrame, before: Column, after: Column) -> DataFrame:
 
 def road_tiers(df: DataFrame, bridge: Column, value: str) -> DataFrame:
     """L1: bridges in the top tenth; L2: other bridges and the top twentieth; L3: the rest of the top fifth."""
-    q = F.broadcast(df.agg(*(F.percentile(value, p / 100).alias(f"_q{p}") for p in (80, 90, 95))))
+    q = F.broadcast(quantiles(df, {"_q": (F.col(value), (0.8, 0.9, 0.95))}))
     x = F.col(value)
-    tier = F.when(bridge & (x >= F.col("_q90")), "L1").when(bridge | (x >= F.col("_q95")), "L2").when(x >= F.col("_q80"), "L3")
-    return df.crossJoin(q).withColumn("tier", tier).filter("tier IS NOT NULL").drop("_q80", "_q90", "_q95")
+    tier = F.when(bridge & (x >= F.col("_q_1")), "L1").when(bridge | (x >= F.col("_q_2")), "L2").when(x >= F.col("_q_0"), "L3")
+    return df.crossJoin(q).withColumn("tier", tier).filter("tier IS NOT NULL").drop("_q_0", "_q_1", "_q_2")

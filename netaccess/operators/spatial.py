@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netaccess.runtime import materialize
+
 
 def around(reach: int = 1) -> Column:
     return F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1))))
@@ -23,22 +27,37 @@ def within(left: DataFrame, right: DataFrame, x: str, y: str, eps: float) -> Dat
     return near.filter(F.col("d2") <= eps * eps)
 
 
-def nearest(left: DataFrame, left_id: str, right: DataFrame, right_id: str, x: str, y: str, limit: float, step: float | None = None) -> DataFrame:
-    """Nearest right row of every left row within ``limit``: (left id, right id, d2); ties to the lesser id.
+def span(left: DataFrame, right: DataFrame, x: str, y: str) -> float:
+    """A distance that no left and right row exceed: the diagonal of the box around both; 0 without rows."""
+    box = [f(c).cast("double").alias(f"{n}{c}") for c in (x, y) for n, f in (("lo", F.min), ("hi", F.max))]
+    low_high = left.select(x, y).union(right.select(x, y)).agg(*box).first()
+    sides = [(low_high[f"hi{c}"] or 0.0) - (low_high[f"lo{c}"] or 0.0) for c in (x, y)]
+    return 1.01 * math.hypot(*sides)
+
+
+def nearest(left: DataFrame, left_id: str, right: DataFrame, right_id: str, x: str, y: str, limit: float | None = None, step: float | None = None) -> DataFrame:
+    """Nearest right row of every left row within ``limit`` (none: at any distance): (left id, right id, d2); ties to the lesser id.
 
     Rings grow by doubling from ``step``: only left rows without a match that no farther row could beat go on,
-    so dense places are settled with small buckets.
+    so dense places are settled with small buckets. Each ring is written, so that no later one makes it again.
     """
+    if limit is None:
+        limit = max(span(left, right, x, y), 1e-9)
+        step = step or limit / 64
     pending, found, eps = left.select(left_id, x, y), None, step or limit
     while True:
         eps = min(eps, limit)
         best = F.min(F.struct("d2", F.col(f"r.{right_id}").alias("id"))).alias("b")
         hits = within(pending, right.select(right_id, x, y), x, y, eps).groupBy(F.col(f"l.{left_id}").alias(left_id)).agg(best)
         hits = hits.select(left_id, F.col("b.id").alias(right_id), F.col("b.d2").alias("d2"))
+        if eps < limit:
+            hits = materialize(hits, "ring")
         found = hits if found is None else found.union(hits)
         if eps >= limit:
             return found
-        pending = pending.join(hits.select(left_id), left_id, "left_anti")
+        pending = materialize(pending.join(hits.select(left_id), left_id, "left_anti"), "ring-pending")
+        if pending.isEmpty():
+            return found
         eps *= 2
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from netaccess import config as C
 from netaccess.functions import rules as R
 from netaccess.operators import measures as M
+from netaccess.operators.ranking import quantiles
 from netaccess.plans.filters import OD_SQL, od_pairs
 from netaccess.plans.registry import query
 
@@ -160,8 +161,8 @@ def quadrants(access: DataFrame, country: DataFrame) -> DataFrame:
 @query("ag19_two_by_two", "scores", sql="""WITH u AS (SELECT * FROM scores WHERE cv > 0.02), m AS (SELECT median(ni) AS a, median(cv) AS b FROM u) SELECT ni > a AS high_ni, cv > b AS high_cv, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM u), 5) AS pct, round(avg(ni), 4) AS mean_ni, round(avg(cv), 6) AS mean_cv FROM u, m GROUP BY 1, 2""")
 def two_by_two(scores: DataFrame) -> DataFrame:
     u = scores.filter(F.col("cv") > C.CV_MIN)
-    m = F.broadcast(u.agg(F.median("ni").alias("a"), F.median("cv").alias("b"), F.count("*").alias("total")))
-    rows = u.crossJoin(m).groupBy((F.col("ni") > F.col("a")).alias("high_ni"), (F.col("cv") > F.col("b")).alias("high_cv"))
+    m = F.broadcast(quantiles(u, {"a": (F.col("ni"), (0.5,)), "b": (F.col("cv"), (0.5,))}))
+    rows = u.crossJoin(m).crossJoin(F.broadcast(u.agg(F.count("*").alias("total")))).groupBy((F.col("ni") > F.col("a_0")).alias("high_ni"), (F.col("cv") > F.col("b_0")).alias("high_cv"))
     return rows.agg(F.count("*").alias("n"), F.round(100.0 * F.count("*") / F.max("total"), 5).alias("pct"), F.round(F.avg("ni"), 4).alias("mean_ni"), F.round(F.avg("cv"), 6).alias("mean_cv"))
 
 
@@ -215,8 +216,10 @@ def distinct_counts(od: DataFrame) -> DataFrame:
 @query("ag29_positive_summary", "pixels", sql="SELECT count(*) AS n, round(min(pop), 4) AS low, round(max(pop), 4) AS high, round(avg(pop), 4) AS mean, count(*) FILTER (WHERE pop = 0) AS n_zero, " + ", ".join(f"round(quantile_cont(CASE WHEN pop > 0 THEN pop END, {q}), 4) AS p{int(q * 100)}" for q in (0.5, 0.9, 0.95, 0.99)) + " FROM pixels")
 def positive_summary(pixels: DataFrame) -> DataFrame:
     p, pos = F.col("pop"), F.when(F.col("pop") > 0, F.col("pop"))
-    cuts = [F.round(F.percentile(pos, q), 4).alias(f"p{int(q * 100)}") for q in (0.5, 0.9, 0.95, 0.99)]
-    return pixels.agg(F.count("*").alias("n"), F.round(F.min(p), 4).alias("low"), F.round(F.max(p), 4).alias("high"), F.round(F.avg(p), 4).alias("mean"), F.count_if(p == 0).alias("n_zero"), *cuts)
+    shares = (0.5, 0.9, 0.95, 0.99)
+    cuts = quantiles(pixels, {"p": (pos, shares)}).select(*(F.round(f"p_{i}", 4).alias(f"p{int(q * 100)}") for i, q in enumerate(shares)))
+    rest = pixels.agg(F.count("*").alias("n"), F.round(F.min(p), 4).alias("low"), F.round(F.max(p), 4).alias("high"), F.round(F.avg(p), 4).alias("mean"), F.count_if(p == 0).alias("n_zero"))
+    return rest.crossJoin(F.broadcast(cuts))
 
 
 @query("ag32_monthly_sum", "events", sql="SELECT CAST(date_trunc('month', ts) AS DATE) AS month, event_type, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from netaccess import config as C
 from netaccess.functions import rules as R
+from netaccess.operators.ranking import quantiles
 from netaccess.plans.registry import query
 
 BOXES = [("north", 0.0, 10.0, 12.0, 20.0), ("west", 0.0, 8.0, 0.0, 14.0), ("centre", 6.0, 14.0, 4.0, 12.0), ("east", 12.0, 20.0, 0.0, 16.0)]
@@ -129,10 +130,10 @@ def neutral(edges: DataFrame) -> DataFrame:
     WHERE t_normal <= a AND t_extreme <= b AND population <= c""")
 def trim(access: DataFrame, q: float = 0.99) -> DataFrame:
     names = ("t_normal", "t_extreme", "population")
-    cut = access.agg(*(F.percentile(n, q).alias(f"{n}_cut") for n in names))
+    cut = quantiles(access, {n: (F.col(n), (q,)) for n in names})
     kept = access.crossJoin(F.broadcast(cut))
     for n in names:
-        kept = kept.filter(F.col(n) <= F.col(f"{n}_cut"))
+        kept = kept.filter(F.col(n) <= F.col(f"{n}_0"))
     return kept.select("node_id")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from netaccess import config as C
 from netaccess.operators import sets as S
+from netaccess.operators.ranking import quantiles
 from netaccess.plans.registry import query
 
 
@@ -80,5 +81,5 @@ def difference(places: DataFrame, facilities: DataFrame) -> DataFrame:
 
 @query("st7_retention", "scores", sql="WITH m AS (SELECT median(ni) AS a, median(cv) AS b FROM scores) SELECT round(CAST(count(*) FILTER (WHERE ni >= a AND cv >= b) AS DOUBLE) / nullif(count(*) FILTER (WHERE ni >= a), 0), 6) AS retention FROM scores, m")
 def retention(scores: DataFrame) -> DataFrame:
-    m = F.broadcast(scores.agg(F.median("ni").alias("a"), F.median("cv").alias("b")))
-    return S.retention(scores.crossJoin(m), F.col("ni") >= F.col("a"), F.col("cv") >= F.col("b"))
+    m = F.broadcast(quantiles(scores, {"a": (F.col("ni"), (0.5,)), "b": (F.col("cv"), (0.5,))}))
+    return S.retention(scores.crossJoin(m), F.col("ni") >= F.col("a_0"), F.col("cv") >= F.col("b_0"))

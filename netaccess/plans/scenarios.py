@@ -9,6 +9,7 @@ from netaccess import config as C
 from netaccess.functions import rules as R
 from netaccess.operators import scenarios as S
 from netaccess.operators import sets as K
+from netaccess.operators.ranking import quantiles
 from netaccess.plans.registry import query
 
 
@@ -84,8 +85,8 @@ def report(scores: DataFrame) -> DataFrame:
 @query("sm8_strategic_mask", "scores", sql="WITH m AS (SELECT median(CASE WHEN ni * cv > 0 THEN ni * cv END) AS b FROM scores) SELECT edge_id, ni * cv >= b AS strategic FROM scores, m")
 def strategic(scores: DataFrame) -> DataFrame:
     s = F.col("ni") * F.col("cv")
-    m = F.broadcast(scores.agg(F.median(F.when(s > 0, s)).alias("b")))
-    return scores.crossJoin(m).select("edge_id", (s >= F.col("b")).alias("strategic"))
+    m = F.broadcast(quantiles(scores, {"b": (F.when(s > 0, s), (0.5,))}))
+    return scores.crossJoin(m).select("edge_id", (s >= F.col("b_0")).alias("strategic"))
 
 
 @query("sm9_capture_share", "scores", sql="WITH t AS (SELECT ni * cv AS s FROM scores ORDER BY ni DESC, edge_id LIMIT 500) SELECT round((SELECT sum(s) FROM t) / sum(ni * cv), 6) AS share, round(500.0::DOUBLE / count(*), 6) AS expected FROM scores")
@@ -104,8 +105,8 @@ def hotspots(scores: DataFrame) -> DataFrame:
 
 @query("sm12_paved_weights", "edges", sql="SELECT road_id, round(CASE WHEN abs(w0 - w1) <= 1e-12 + 1e-10 * abs(w1) THEN w0 * (SELECT median(length_km / w0) FROM edges) / 80 ELSE w0 END, 6) AS w0, round(CASE WHEN abs(w0 - w1) <= 1e-12 + 1e-10 * abs(w1) THEN w0 * (SELECT median(length_km / w0) FROM edges) / 80 * 1.1 ELSE w1 END, 6) AS w1 FROM edges")
 def paved(edges: DataFrame) -> DataFrame:
-    m = F.broadcast(edges.agg(F.median(F.col("length_km") / F.col("w0")).alias("m")))
-    flat, new = R.neutral(F.col("w0"), F.col("w1")), F.col("w0") * F.col("m") / C.PAVED_SPEEDS[0]
+    m = F.broadcast(quantiles(edges, {"m": (F.col("length_km") / F.col("w0"), (0.5,))}))
+    flat, new = R.neutral(F.col("w0"), F.col("w1")), F.col("w0") * F.col("m_0") / C.PAVED_SPEEDS[0]
     return edges.crossJoin(m).select("road_id", F.round(F.when(flat, new).otherwise(F.col("w0")), 6).alias("w0"), F.round(F.when(flat, new * 1.1).otherwise(F.col("w1")), 6).alias("w1"))
 
 

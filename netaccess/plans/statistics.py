@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netaccess.operators import statistics as T
+from netaccess.operators.ranking import quantiles
 from netaccess.plans.registry import query
 
 RANKED = """WITH r AS (SELECT rank() OVER (ORDER BY t_normal) + (count(*) OVER (PARTITION BY t_normal) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY population) + (count(*) OVER (PARTITION BY population) - 1) / 2.0::DOUBLE AS b FROM access WHERE t_normal IS NOT NULL AND population IS NOT NULL)"""
@@ -57,7 +58,8 @@ def weighted_line(access: DataFrame) -> DataFrame:
 
 @query("sti_percentiles", "od", sql="SELECT " + ", ".join(f"round(quantile_cont(t0, {q}), 6) AS p{int(q * 100)}" for q in (0.05, 0.25, 0.5, 0.75, 0.95)) + " FROM od")
 def percentiles(od: DataFrame) -> DataFrame:
-    return od.agg(*(F.round(F.percentile("t0", q), 6).alias(f"p{int(q * 100)}") for q in (0.05, 0.25, 0.5, 0.75, 0.95)))
+    shares = (0.05, 0.25, 0.5, 0.75, 0.95)
+    return quantiles(od, {"p": (F.col("t0"), shares)}).select(*(F.round(f"p_{i}", 6).alias(f"p{int(q * 100)}") for i, q in enumerate(shares)))
 
 
 @query("stg_kmeans", "embeddings")
