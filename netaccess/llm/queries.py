@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from netaccess.llm import bpe, decontaminate, html_consensus, jaccard_join, line_dedup, pairwise_quality, pitman_yor, quality_rules, secrets, toxicity
+from netaccess.llm import bpe, decontaminate, html_consensus, jaccard_join, line_dedup, pairwise_quality, pitman_yor, quality_rules, secrets, toxicity, twins
 from netaccess.runtime import table
 
 
@@ -63,4 +63,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_pairwise_quality": op10_pairwise_quality,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_jaccard_join": twins.JACCARD_JOIN, "op9_line_dedup": twins.LINE_DEDUP}
