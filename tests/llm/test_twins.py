@@ -13,7 +13,7 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+@pytest.mark.parametrize("name", ["op6_jaccard_join", "op9_line_dedup"])
 def test_twin_gives_the_same_rows(spark, name):
     documents = pa.table({"doc_id": pa.array([i for i, _ in TEXTS], pa.int64()), "text": pa.array([t for _, t in TEXTS], pa.string())})  # noqa: F841 - the twin reads it by name
     docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
@@ -24,5 +24,12 @@ def test_twin_gives_the_same_rows(spark, name):
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).fetchall()))
 
 
+def test_hard_negatives_twin(spark):
+    sf = "/root/testdata/sf0.001"
+    duckdb.sql(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    got, want = queries.QUERIES["op11_hard_negatives"](spark, sf), duckdb.sql(queries.ORACLE_SQL["op11_hard_negatives"])
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.fetchall()))
+
+
 def test_twins_name_registered_queries():
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and twins.LINE_DEDUP in queries.ORACLE_SQL.values()
