@@ -31,6 +31,30 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     return parts.withColumn("_own", own).join(offsets(parts, F.lit(1)), "_part").withColumn(name, F.col("_before") + F.col("_own")).drop("_own", "_before", "_part")
 
 
+def grouped_rank(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """Row numbers from 1 within ``keys`` over an order that should be total; one key may hold all rows, as its ranges are ranked apart."""
+    parts = ordered_ranges(df, [*map(F.col, keys), *order])
+    own = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order))
+    sizes = parts.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))  # ranges lie side by side: as many rows as ranges and keys
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = sizes.select(*keys, "_part", before.alias("_before"))
+    return parts.withColumn("_own", own).join(shifts, [*keys, "_part"]).withColumn(name, F.col("_before") + F.col("_own")).drop("_own", "_before", "_part")
+
+
+def grouped_value_ranks(df: DataFrame, keys: list[str], column: str, descending: bool = False) -> DataFrame:
+    """``df`` with min_rank and avg_rank of a column within ``keys``: equal values are counted first, so that ties meet before any order."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
+    order = [F.desc("_v") if descending else F.asc("_v")]
+    parts = ordered_ranges(counts, [*map(F.col, keys), *order])
+    own = F.sum("_c").over(Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    sizes = parts.groupBy(*keys, "_part").agg(F.sum("_c").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    upto = F.col("_before") + F.col("_own")
+    ranked = parts.withColumn("_own", own).join(sizes.select(*keys, "_part", before.alias("_before")), [*keys, "_part"])
+    ranked = ranked.select(*keys, F.col("_v").alias(column), (upto - F.col("_c") + 1).alias("min_rank"), (upto - (F.col("_c") - 1) / 2).alias("avg_rank"))
+    return df.join(ranked, [*keys, column], "left")
+
+
 def running_sum(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
     """Sum of ``value`` up to and with each row in the whole order."""
     parts = ordered_ranges(df.withColumn("_value", value), order)
