@@ -25,4 +25,7 @@ PAVED_PASS = (1.0, 0.8125)
 SHARES = (0.01, 0.03, 0.05, 0.10)
 SCORE_ALPHAS = (1.5, 2.0, 2.5)
 PAVING_FRACTIONS = (0.0, 0.001, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5)
+PAVING_LEVELS = (0.0, 0.001, 0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.075, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5)
+PAVING_TRIALS, RECOVERY_LEVELS, RECOVERY_ALPHAS = 5, (0.0, 0.001, 0.002, 0.005, 0.01), (1.0, 2.0)
+ISOLATION_SHARE, SEVERE_CV, EXTREME_CV, REACH_HOURS = 0.05, 0.5, 1.0, 1.0
 SEED = 42

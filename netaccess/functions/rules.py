@@ -70,12 +70,14 @@ def place_level(featurecla: Column, pop: Column, threshold: int) -> Column:
     return F.when(featurecla.startswith("Admin-0"), "capital").when(featurecla.startswith("Admin-1"), "regional").when(pop >= threshold, "city")
 
 
-def roughness(kcv: Column, slope_pct: Column, mmp: Column, months: int = 12) -> Column:
+def roughness(
+    kcv: Column, slope_pct: Column, mmp: Column, months: int = 12, *, light: Column | float = C.ADL, heavy: Column | float = C.ADH, total: Column | float = C.ADT, depth: Column | float = C.MGD, floor: Column | float = C.IRI_FLOOR, start: Column | float = C.IRI0,
+) -> Column:
     """Unpaved roughness after monthly steps r <- M - p (M - r), in its closed form."""
     # fixed values: coefficients of the published unpaved-road deterioration model
-    limit = F.greatest(21.4 - 32.4 * (0.5 - C.MGD) ** 2 + 0.97 * kcv - 7.64 * slope_pct * mmp, F.lit(C.IRI_FLOOR))
-    keep = F.exp(-0.001 * (0.461 + 0.0174 * C.ADL + 0.0114 * C.ADH - 0.0287 * C.ADT * mmp) * C.DT_YEARS)
-    return limit - F.pow(keep, F.lit(months)) * (limit - C.IRI0)
+    limit = F.greatest(21.4 - 32.4 * (0.5 - depth) ** 2 + 0.97 * kcv - 7.64 * slope_pct * mmp, floor if isinstance(floor, Column) else F.lit(floor))
+    keep = F.exp(-0.001 * (0.461 + 0.0174 * light + 0.0114 * heavy - 0.0287 * total * mmp) * C.DT_YEARS)
+    return limit - F.pow(keep, F.lit(months)) * (limit - start)
 
 
 def interpolate(x: Column, nodes: tuple[tuple[float, float], ...]) -> Column:

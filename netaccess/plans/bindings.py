@@ -60,6 +60,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT l_partkey * 100000 + l_suppkey AS edge_id, l_partkey AS u, 1000000 + l_suppkey AS v, CAST(max(s_nationkey) AS BIGINT) AS country_id,
                sum(l_extendedprice) AS ni, max(l_tax) AS cv, max(l_quantity) AS w0, max(l_quantity) * (1 + max(l_tax)) AS w1
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_partkey, l_suppkey"""),
+    "net": (("lineitem", "supplier"), """
+        SELECT l_partkey * 100000 + l_suppkey AS edge_id, l_partkey AS u, 1000000 + l_suppkey AS v, CAST(max(s_nationkey) AS BIGINT) AS country_id, sum(l_extendedprice) AS ni,
+               max(l_tax) * CAST(max(l_linenumber) AS DOUBLE) * 2 AS cv, max(l_quantity) / 5 AS w0, max(l_quantity) / 5 * (1 + max(l_tax) * CAST(max(l_linenumber) AS DOUBLE) * 2) AS w1
+        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_partkey, l_suppkey"""),
     "od": (("lineitem", "supplier"), """
         SELECT a.city_a, a.city_b, CAST(p.s_nationkey AS BIGINT) AS country_a, CAST(q.s_nationkey AS BIGINT) AS country_b, a.t0, a.t1
         FROM (SELECT least(l_suppkey, 1 + l_partkey % 10) AS city_a, greatest(l_suppkey, 1 + l_partkey % 10) AS city_b,

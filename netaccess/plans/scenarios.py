@@ -124,11 +124,6 @@ def proxy(access: DataFrame) -> DataFrame:
     return c.select("country_id", F.round(clip(F.try_divide(F.col("b") - F.col("a"), F.col("a")) * 10, 0.0, 20.0), 6).alias("proxy"), F.round(clip(F.try_divide("b", "a"), 0.25, 4.0), 6).alias("tail"))
 
 
-@query("sm17_elementary_effects", "climate", sql="WITH e AS (SELECT cell_id, (mrso - lag(mrso) OVER w) / nullif(pr - lag(pr) OVER w, 0) AS e FROM climate WINDOW w AS (PARTITION BY cell_id ORDER BY month)) SELECT cell_id, round(avg(abs(e)), 6) AS mu_star, round(stddev_samp(e), 6) AS sigma FROM e GROUP BY cell_id")
-def morris(climate: DataFrame) -> DataFrame:
-    return S.elementary_effects(climate, ["cell_id"], "month", "pr", "mrso")
-
-
 @query("sm18_pivot", "scores", sql="SELECT country_id, round(avg(CASE WHEN edge_id % 3 = 0 THEN ni END), 4) AS g0, round(avg(CASE WHEN edge_id % 3 = 1 THEN ni END), 4) AS g1, round(avg(CASE WHEN edge_id % 3 = 2 THEN ni END), 4) AS g2 FROM scores GROUP BY country_id")
 def pivot(scores: DataFrame) -> DataFrame:
     g = F.concat(F.lit("g"), (F.col("edge_id") % 3).cast("string"))
