@@ -70,18 +70,6 @@ def future(roads: DataFrame) -> DataFrame:
     return roads.select("road_id", F.round(S.future_slowdown(F.col("v_normal"), F.col("v_extreme") * 0.9, 1 - F.col("pass_extreme")), 6).alias("cv"))
 
 
-@query("sm7_stability_report", "scores", sql="""WITH k AS (SELECT * FROM (VALUES (45, 1.1::DOUBLE), (65, 1.3), (85, 1.6)) x(period, f)), s AS (SELECT period, edge_id, ni * cv AS b0, ni * cv * (1 + (f - 1) * CAST(edge_id % 10 AS DOUBLE) / 10) AS b1, cv, cv * (1 + (f - 1) * CAST(edge_id % 10 AS DOUBLE) / 10) AS cv1 FROM scores, k)
-    SELECT period, count(*) AS n_matched, round(avg(cv), 6) AS mean_cv_baseline, round(avg(cv1), 6) AS mean_cv_future, round((avg(cv1) - avg(cv)) / avg(cv) * 100, 4) AS cv_change_pct, round(corr(b0, b1), 6) AS r FROM s GROUP BY period""")
-def report(scores: DataFrame) -> DataFrame:
-    """All periods in one job: the period is a column, not a loop."""
-    period = F.explode(F.array(*(F.struct(F.lit(p).alias("period"), F.lit(f).alias("f")) for p, f in ((45, 1.1), (65, 1.3), (85, 1.6))))).alias("k")
-    grow = 1 + (F.col("k.f") - 1) * (F.col("edge_id") % 10).cast("double") / 10
-    rows = scores.select("edge_id", "ni", "cv", period)
-    rows = rows.select("k.period", "cv", (F.col("ni") * F.col("cv")).alias("b0"), (F.col("cv") * grow).alias("cv1"), (F.col("ni") * F.col("cv") * grow).alias("b1"))
-    m0, m1 = F.avg("cv"), F.avg("cv1")
-    return rows.groupBy("period").agg(F.count("*").alias("n_matched"), F.round(m0, 6).alias("mean_cv_baseline"), F.round(m1, 6).alias("mean_cv_future"), F.round((m1 - m0) / m0 * 100, 4).alias("cv_change_pct"), F.round(F.corr("b0", "b1"), 6).alias("r"))
-
-
 @query("sm8_strategic_mask", "scores", sql="WITH m AS (SELECT median(CASE WHEN ni * cv > 0 THEN ni * cv END) AS b FROM scores) SELECT edge_id, ni * cv >= b AS strategic FROM scores, m")
 def strategic(scores: DataFrame) -> DataFrame:
     s = F.col("ni") * F.col("cv")
@@ -218,13 +206,6 @@ def leverage(scores: DataFrame) -> DataFrame:
     return pool.agg(F.count("*").alias("n_unpaved"), F.sum("s").alias("total")).crossJoin(F.broadcast(top)).select("n_unpaved", F.round(share * 100, 5).alias("guided_pct"), F.round(share / (k / n), 4).alias("leverage"))
 
 
-@query("sm22_stability_curve", "scores", sql="SELECT k, p AS period, round(avg(cv * (1 + p / 100.0::DOUBLE)), 6) AS mean_cv FROM scores, (VALUES (100), (500)) x(k), (VALUES (45), (65), (85)) y(p) WHERE edge_id % 1000 < k GROUP BY k, p")
-def stability_curve(scores: DataFrame) -> DataFrame:
-    grid = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(p).alias("period")) for k in (100, 500) for p in (45, 65, 85)))).alias("g")
-    rows = scores.select("edge_id", "cv", grid).select("edge_id", "cv", "g.*").filter(F.col("edge_id") % 1000 < F.col("k"))
-    return rows.groupBy("k", "period").agg(F.round(F.avg(F.col("cv") * (1 + F.col("period") / 100)), 6).alias("mean_cv"))
-
-
 @query("sm23_mirror_table", "access", "country", sql="WITH a AS (SELECT country_id, quantile_cont(t_extreme - t_normal, 0.5) AS p50, quantile_cont(t_extreme - t_normal, 0.9) AS p90 FROM access GROUP BY country_id) SELECT country, round(p50 * 60, 4) AS p50_min, round(p90 * 60, 4) AS p90_min, round((p90 - p50) * 60, 4) AS gap_min, p90 > 1 AS capped FROM a JOIN country c ON a.country_id = c.country_id")
 def mirror(access: DataFrame, country: DataFrame) -> DataFrame:
     d = F.col("t_extreme") - F.col("t_normal")
