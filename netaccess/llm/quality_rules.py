@@ -1,10 +1,13 @@
 """Quality rules as weak supervision, in DataFrame functions only.
 
 Every rule votes good (2), bad (1) or abstains (0) on a document. Votes of the documents that pass the base rule are
-counted by pattern over the whole corpus (at most 3^rules patterns, whatever its size). The label model gives each
-rule a rate for each of its three outcomes in either class, so that abstaining is evidence as well;
-expectation-maximisation on the counts estimates these rates and the share of good documents. A document is kept
-when its posterior probability of being good is at least ``KEEP_AT``.
+counted by pattern over the whole corpus (at most 3^rules patterns, whatever its size), and these counts alone reach the
+driver. The label model gives each rule a rate for each of its three outcomes in either class, so that abstaining is
+evidence as well; expectation-maximisation on the counts estimates these rates and the share of good documents. It starts
+once from "any bad vote is a bad sign" and once from each rule taken as the sign alone, and the likeliest end stays, of those
+whose bad class earns at least ``LEAST_BAD_VOTES`` bad votes a document; if none does, the start is the model. Rules that vary
+together within the classes share their weight: each counts by one over one plus its squared associations with the others.
+A document is kept when its posterior probability of being good is at least ``KEEP_AT``. Labels are never read.
 
 Null and empty texts have 0 words and fail the base rule. Long texts are counted whole. Each row is judged on its
 own, so repeated rows get equal verdicts and a tie at the cut keeps both; an empty table gives an empty result;
@@ -15,17 +18,23 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netaccess.runtime import materialize
 
 KEEP_AT = 0.5
-ROUNDS = 15
+ROUNDS = 40
 #: Where estimation starts: the share of good documents, and rates of (abstaining, bad, good) in the bad and the good class.
 START_GOOD, START_RATES = 0.8, ((0.30, 0.40, 0.30), (0.25, 0.05, 0.70))
 #: So many imagined documents of each class hold a rule that seldom speaks near its start.
-IMAGINED = 20
+IMAGINED = 1.0
+#: What a document with the sign of a start is first taken to be good with, and one without it.
+SIGNED, UNSIGNED = 0.05, 0.95
+LEAST_BAD_VOTES = 1.0
+#: Documents that an association of two rules needs to count by half.
+FEW = 5.0
 #: Word separators other than the space itself.
 BLANKS = "\t\n\x0b\f\r"
 
@@ -97,28 +106,75 @@ def rule_votes() -> dict[str, Column]:
     }
 
 
-def fit_votes(patterns: DataFrame, rules: list[str], rounds: int = ROUNDS) -> tuple[float, dict[str, tuple]]:
-    """EM over pattern counts: the share of good documents and, by rule, the rates of votes 0, 1, 2 in the bad and the good class."""
-    share, rates = START_GOOD, {r: START_RATES for r in rules}
-    for _ in range(rounds):
-        good = F.col("n") * posterior(share, rates)
-        bad = F.col("n") - good
-        sums = [F.sum("n").alias("n"), F.sum(good).alias("good")]
-        sums += [F.sum(F.when(F.col(r) == v, x)).alias(f"{r}_{k}{v}") for r in rules for k, x in ((0, bad), (1, good)) for v in range(3)]
-        row = patterns.agg(*sums).first()
-        if not row["n"]:
-            break
-        total = (row["n"] - row["good"], row["good"])
-        share = min(0.99, max(0.01, row["good"] / row["n"]))
-        rates = {r: tuple(tuple(((row[f"{r}_{k}{v}"] or 0.0) + IMAGINED * START_RATES[k][v]) / (total[k] + IMAGINED) for v in range(3)) for k in (0, 1)) for r in rules}
-    return share, rates
-
-
-def posterior(share: float, rates: dict[str, tuple]) -> Column:
-    """P(good | votes), rules taken as independent given the class."""
+def class_rates(votes: np.ndarray, counts: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """(class, rule, outcome) rates from counts split by P(good), held near the start by the imagined documents."""
+    out = np.empty((2, votes.shape[1], 3))
+    for k, weight in ((0, counts * (1 - good)), (1, counts * good)):
+        for v in range(3):
+            out[k, :, v] = (weight @ (votes == v) + IMAGINED * START_RATES[k][v]) / (weight.sum() + IMAGINED)
+    return out
+
+
+def shared_weights(votes: np.ndarray, counts: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """A weight for each rule: one over one plus the squared associations (Cramer's V) with the others inside the classes."""
+    rules = votes.shape[1]
+    total, v2 = counts.sum(), np.zeros((rules, rules))
+    hot = np.stack([(votes == v).astype(float) for v in range(3)], axis=2)
+    for weight in (counts * (1 - good), counts * good):
+        n = weight.sum()
+        if n < 1:
+            continue
+        single = np.einsum("p,prv->rv", weight, hot) / n
+        both = np.einsum("p,prv,psw->rsvw", weight, hot, hot) / n
+        expected = single[:, None, :, None] * single[None, :, None, :]
+        chi = np.where(expected > 0, (both - expected) ** 2 / np.where(expected > 0, expected, 1), 0.0).sum((2, 3))
+        kinds = (single > 0).sum(1)
+        # documents off the usual outcome of both rules are what tells them apart; a few prove little
+        off = 1 - hot[:, np.arange(rules), single.argmax(1)]
+        seen = np.einsum("p,pr,ps->rs", weight, off, off)
+        v2 += n / total * seen / (seen + FEW) * np.clip(chi / np.maximum(1, np.minimum(kinds[:, None], kinds[None, :]) - 1), 0, 1)
+    np.fill_diagonal(v2, 0.0)
+    return 1 / (1 + v2.sum(1))
+
+
+def fit_votes(patterns: list[tuple], rules: list[str], rounds: int = ROUNDS) -> tuple[float, dict[str, tuple], dict[str, float]]:
+    """The share of good documents; by rule the rates of votes 0, 1, 2 in the bad and the good class; and each rule's weight.
+
+    ``patterns``: the votes of all rules and the number of documents with them.
+    """
+    start = np.array([[r] * len(rules) for r in START_RATES])
+    best = (START_GOOD, start, np.ones(len(rules)))
+    if patterns:
+        table = np.array(patterns, float)
+        votes, counts = table[:, :-1].astype(int), table[:, -1]
+        at = np.arange(len(rules))
+        signs = [(votes == 1).any(1), *(votes[:, r] == 1 for r in at)]
+        most = -np.inf
+        for sign in signs:
+            if not sign.any() or sign.all():
+                continue
+            good, weights = np.where(sign, SIGNED, UNSIGNED), np.ones(len(rules))
+            for turn in range(2 * rounds):
+                if turn == rounds:  # associations are those that the classes leave, so they wait for classes
+                    weights = shared_weights(votes, counts, good)
+                rates = class_rates(votes, counts, good)
+                share = min(1 - 1e-6, max(1e-6, float(counts @ good / counts.sum())))
+                logs = np.log([[1 - share], [share]]) + np.stack([(np.log(rates[k])[at, votes] * weights).sum(1) for k in (0, 1)])
+                good = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
+                if turn == rounds - 1:
+                    likelihood = float(counts @ np.logaddexp(logs[0], logs[1]))
+            bad = counts * (1 - good)
+            if bad.sum() >= 1 and bad @ (votes == 1).sum(1) >= LEAST_BAD_VOTES * bad.sum() and likelihood > most:
+                most, best = likelihood, (share, rates, weights)
+    share, rates, weights = best
+    return share, {r: tuple(tuple(map(float, rates[k, i])) for k in (0, 1)) for i, r in enumerate(rules)}, dict(zip(rules, map(float, weights)))
+
+
+def posterior(share: float, rates: dict[str, tuple], weights: dict[str, float]) -> Column:
+    """P(good | votes), rules taken as independent given the class but for their weights."""
     logit = F.lit(math.log(share / (1 - share)))
     for r, (bad, good) in rates.items():
-        odds = [math.log(g / b) for b, g in zip(bad, good)]
+        odds = [weights[r] * math.log(g / b) for b, g in zip(bad, good)]
         logit = logit + F.when(F.col(r) == 2, odds[2]).when(F.col(r) == 1, odds[1]).otherwise(odds[0])
     return 1 / (1 + F.exp(-logit))
 
@@ -129,11 +185,9 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
     facts = materialize(document_facts(docs), "quality-facts").withColumns(votes)
     rules = list(votes)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    patterns = materialize(facts.filter(~failed).groupBy(*rules).agg(F.count("*").alias("n")).coalesce(1), "quality-patterns")
-    share, rates = fit_votes(patterns, rules)
+    patterns = [tuple(r) for r in facts.filter(~failed).groupBy(*rules).agg(F.count("*").alias("n")).collect()]  # at most 3^rules
+    p_good = posterior(*fit_votes(sorted(patterns), rules))
     return facts.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"),
-        posterior(share, rates).alias("p_good"),
-        (~failed & (posterior(share, rates) >= KEEP_AT)).alias("kept"),
-    )
+        failed.alias("base_failed"), p_good.alias("p_good"), (~failed & (p_good >= KEEP_AT)).alias("kept"),
+    )
