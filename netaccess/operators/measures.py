@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netaccess.operators.ranking import running_sum
+from netaccess.operators.ranking import grouped_upto, grouped_value_ranks, running_sum
 
 
 def weighted_mean(value: str, weight: str) -> Column:
@@ -78,6 +80,33 @@ def replicated_gini(df: DataFrame, keys: list[str], value: str, weight: str) ->
     return c.withColumn("_upto", upto).groupBy(*keys).agg(F.round(g, 6).alias("gini"), n.cast("bigint").alias("n")).filter("n >= 10")
 
 
+def inequality_bundle(df: DataFrame, key: str, t0: str, t1: str, weight: str, least: int = 10) -> DataFrame:
+    """By ``key``: both Ginis, their difference, the rank correlation of t0 with the delay, its weighted P50 and P90, and their ratio.
+
+    Rows need both times and a weight above 0; Ginis and correlation count each round(weight / least weight) times, 1 to 500. Groups of
+    under ``least`` rows have null figures. Ranks come from counted values in ranges, so that a group may hold most rows.
+    """
+    rows = df.filter(F.col(t0).isNotNull() & F.col(t1).isNotNull() & (F.col(weight) > 0)).select(F.col(key), F.col(t0).alias("a"), F.col(t1).alias("b"), (F.col(t1) - F.col(t0)).alias("d"), F.col(weight).alias("w"))
+    lightest = rows.groupBy(key).agg(F.min("w").alias("_m"), F.sum("w").alias("_all"), F.count("*").alias("_rows"))  # a row for each group
+    rows = rows.join(F.broadcast(lightest), key).withColumn("k", F.least(F.greatest(F.bround(F.col("w") / F.col("_m")), F.lit(1)), F.lit(500)).cast("bigint"))
+    for c in ("a", "b", "d"):
+        rows = grouped_value_ranks(rows, [key], c, times=F.col("k")).withColumnRenamed("avg_rank", f"r{c}").drop("min_rank")
+    k, n = F.col("k"), F.sum("k")
+    total = lambda *c: F.sum(reduce(lambda x, y: x * F.col(y), c, k.cast("double")))
+    gini = lambda c: 2 * total(c, f"r{c}") / (n * total(c)) - (n + 1) / n
+    spread = lambda x, y: total(x, y) - total(x) * total(y) / n
+    rho = F.try_divide(spread("ra", "rd"), F.sqrt(spread("ra", "ra") * spread("rd", "rd")))
+    figures = rows.groupBy(key).agg(F.first("_rows").alias("n"), gini("a").alias("gini_normal"), gini("b").alias("gini_extreme"), rho.alias("spearman_rho"))
+    reach = grouped_upto(rows, [key], "d", F.col("w")).join(F.broadcast(lightest.select(key, "_all")), key)
+    at = lambda q: F.min(F.when(F.col("_upto") >= q * F.col("_all"), F.col("d")))
+    out = figures.join(reach.groupBy(key).agg(at(0.5).alias("p50_delta"), at(0.9).alias("p90_delta")), key)
+    enough = lambda c: F.when(F.col("n") >= least, c)
+    return out.select(
+        key, "n", *(enough(F.col(c)).alias(c) for c in ("gini_normal", "gini_extreme")), enough(F.col("gini_extreme") - F.col("gini_normal")).alias("delta_gini"), *(enough(F.col(c)).alias(c) for c in ("spearman_rho", "p50_delta", "p90_delta")),
+        enough(F.when(F.col("p50_delta") > 0, F.col("p90_delta") / F.col("p50_delta"))).alias("tail_ratio"),
+    )
+
+
 def quadrants(df: DataFrame, name: str, x: str, y: str) -> DataFrame:
     """Groups above and below the medians of two measures, with their sorted members."""
     mid = F.broadcast(df.agg(F.median(x).alias("_mx"), F.median(y).alias("_my")))

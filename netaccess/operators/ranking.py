@@ -41,17 +41,23 @@ def grouped_rank(df: DataFrame, keys: list[str], order: list[Column], name: str
     return parts.withColumn("_own", own).join(shifts, [*keys, "_part"]).withColumn(name, F.col("_before") + F.col("_own")).drop("_own", "_before", "_part")
 
 
-def grouped_value_ranks(df: DataFrame, keys: list[str], column: str, descending: bool = False) -> DataFrame:
-    """``df`` with min_rank and avg_rank of a column within ``keys``: equal values are counted first, so that ties meet before any order."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
-    order = [F.desc("_v") if descending else F.asc("_v")]
+def grouped_upto(df: DataFrame, keys: list[str], column: str, weight: Column, descending: bool = False) -> DataFrame:
+    """(keys, column, _c, _upto): for each distinct value within ``keys`` its weight and the weight up to and with it."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.sum(weight).alias("_c"))
+    order = [F.desc(column) if descending else F.asc(column)]
     parts = ordered_ranges(counts, [*map(F.col, keys), *order])
     own = F.sum("_c").over(Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     sizes = parts.groupBy(*keys, "_part").agg(F.sum("_c").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    upto = F.col("_before") + F.col("_own")
-    ranked = parts.withColumn("_own", own).join(sizes.select(*keys, "_part", before.alias("_before")), [*keys, "_part"])
-    ranked = ranked.select(*keys, F.col("_v").alias(column), (upto - F.col("_c") + 1).alias("min_rank"), (upto - (F.col("_c") - 1) / 2).alias("avg_rank"))
+    placed = parts.withColumn("_own", own).join(sizes.select(*keys, "_part", before.alias("_before")), [*keys, "_part"])
+    return placed.select(*keys, column, "_c", (F.col("_before") + F.col("_own")).alias("_upto"))
+
+
+def grouped_value_ranks(df: DataFrame, keys: list[str], column: str, descending: bool = False, times: Column | None = None) -> DataFrame:
+    """``df`` with min_rank and avg_rank of a column within ``keys``, each row counted ``times`` (default: once): equal values
+    are counted first, so that ties meet before any order."""
+    upto = grouped_upto(df, keys, column, F.lit(1) if times is None else times, descending)
+    ranked = upto.select(*keys, column, (F.col("_upto") - F.col("_c") + 1).alias("min_rank"), (F.col("_upto") - (F.col("_c") - 1) / 2).alias("avg_rank"))
     return df.join(ranked, [*keys, column], "left")
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netaccess.operators.ranking import ordered_ranges
 from netaccess.runtime import materialize
 
 
@@ -61,6 +62,71 @@ def nearest(left: DataFrame, left_id: str, right: DataFrame, right_id: str, x: s
         eps *= 2
 
 
+def k_nearest(left: DataFrame, left_id: str, right: DataFrame, right_id: str, x: str, y: str, k: int, itself: bool = True) -> DataFrame:
+    """The k nearest right rows of every left row at any distance: (left id, right id, d2, rank); ties to the lesser id.
+
+    A right id of the left's name is called neighbour. ``itself``: whether a right row of the same id counts. Rings start where k rows are to be expected and double; a left row is
+    done once k rows lie within its ring, as no other can be nearer. Ranks keep k rows a key on either side of the shuffle.
+    """
+    limit = max(span(left, right, x, y), 1e-9)
+    eps = min(limit, limit * math.sqrt(2 * (k + 1) / max(1, right.count())))
+    pending, found = left.select(left_id, x, y), None
+    name = right_id if right_id != left_id else "neighbour"
+    order = Window.partitionBy(left_id).orderBy("d2", name)
+    while True:
+        hits = within(pending, right.select(right_id, x, y), x, y, eps).select(F.col(f"l.{left_id}").alias(left_id), F.col(f"r.{right_id}").alias(name), "d2")
+        if not itself:
+            hits = hits.filter(F.col(left_id) != F.col(name))
+        near = materialize(hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "k-ring")
+        if eps >= limit:
+            return near if found is None else found.union(near)
+        done = near.filter(F.col("rank") == k).select(left_id)
+        settled = near.join(done, left_id, "left_semi")
+        found = settled if found is None else found.union(settled)
+        pending = materialize(pending.join(done, left_id, "left_anti"), "k-pending")
+        if pending.isEmpty():
+            return found
+        eps = min(2 * eps, limit)
+
+
+def boxes_meet(left: DataFrame, right: DataFrame, tile: float) -> DataFrame:
+    """Pairs (aliases l and r) of boxes x0 <= x1, y0 <= y1 that share a point, each pair once.
+
+    Boxes are copied to the tiles that they cover and meet there; the tile that holds the least corner of what two boxes share owns
+    the pair, so nothing has to be made distinct.
+    """
+
+    def covered(df: DataFrame) -> DataFrame:
+        cells = lambda c: F.explode(F.sequence(F.floor(F.col(f"{c}0") / tile), F.floor(F.col(f"{c}1") / tile)))
+        return df.filter("x0 <= x1 AND y0 <= y1").withColumn("_tx", cells("x")).withColumn("_ty", cells("y"))
+
+    l, r = covered(left).alias("l"), covered(right).alias("r")
+    met = l.join(r, (F.col("l._tx") == F.col("r._tx")) & (F.col("l._ty") == F.col("r._ty")))
+    corner = lambda c: F.greatest(f"l.{c}0", f"r.{c}0")
+    share = (corner("x") <= F.least("l.x1", "r.x1")) & (corner("y") <= F.least("l.y1", "r.y1"))
+    return met.filter(share & (F.floor(corner("x") / tile) == F.col("l._tx")) & (F.floor(corner("y") / tile) == F.col("l._ty")))
+
+
+def nearest_on_axis(df: DataFrame, value: str, axis: DataFrame, point: str, name: str) -> DataFrame:
+    """``df`` with the point of an irregular axis nearest to ``value``, ties to the lesser; null where the value or the axis is.
+
+    Values and points are ordered in ranges together; each range looks to the last point before a value and the first one behind
+    it, in itself or in the ranges beside it, of which one number each is known.
+    """
+    points = axis.filter(F.col(point).isNotNull()).select(F.col(point).cast("double").alias("_v"), F.lit(True).alias("_point")).distinct()
+    values = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"), F.lit(False).alias("_point")).distinct()
+    parts = ordered_ranges(points.union(values), [F.asc("_v"), F.desc("_point")])
+    at = F.when(F.col("_point"), F.col("_v"))
+    order = Window.partitionBy("_part").orderBy(F.asc("_v"), F.desc("_point"))
+    parts = parts.withColumn("_lo", F.last(at, True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_hi", F.first(at, True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    ends = parts.groupBy("_part").agg(F.min(at).alias("_least"), F.max(at).alias("_most"))  # a row for each range
+    beside = Window.orderBy("_part")
+    ends = ends.select("_part", F.max("_most").over(beside.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("_least").over(beside.rowsBetween(1, Window.unboundedFollowing)).alias("_behind"))
+    placed = parts.filter("NOT _point").join(F.broadcast(ends), "_part").select("_v", F.coalesce("_lo", "_before").alias("_lo"), F.coalesce("_hi", "_behind").alias("_hi"))
+    best = F.when(F.col("_lo").isNull(), F.col("_hi")).when(F.col("_hi").isNull(), F.col("_lo")).when(F.col("_v") - F.col("_lo") <= F.col("_hi") - F.col("_v"), F.col("_lo")).otherwise(F.col("_hi"))
+    return df.join(placed.select("_v", best.alias(name)), df[value].cast("double") == F.col("_v"), "left").drop("_v")
+
+
 def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
     """Even-odd rule for a closed ring, an array of (x, y) structs."""
     crossed = lambda i: (

@@ -124,6 +124,37 @@ def replicated_gini(access: DataFrame) -> DataFrame:
     return M.replicated_gini(access, ["country_id"], "t_normal", "population")
 
 
+def side(c: str) -> str:
+    """A ranked side of the bundle's twin."""
+    return f"sum(k) OVER (PARTITION BY country_id ORDER BY {c}) - (sum(k) OVER (PARTITION BY country_id, {c}) - 1) / 2.0::DOUBLE AS r{c}"
+
+
+BUNDLE = f"""rows AS (SELECT country_id, t_normal AS a, t_extreme AS b, t_extreme - t_normal AS d, population AS w, CAST(least(greatest(round_even(population / min(population) OVER (PARTITION BY country_id), 0), 1), 500) AS BIGINT) AS k FROM access WHERE t_normal IS NOT NULL AND t_extreme IS NOT NULL AND population > 0),
+    x AS (SELECT *, {side('a')}, {side('b')}, {side('d')}, sum(w) OVER (PARTITION BY country_id ORDER BY d) AS upto, sum(w) OVER (PARTITION BY country_id) AS total FROM rows),
+    f AS (SELECT country_id, count(*) AS n, 2 * sum(k * a * ra) / (sum(k) * sum(k * a)) - (sum(k) + 1) / CAST(sum(k) AS DOUBLE) AS ga, 2 * sum(k * b * rb) / (sum(k) * sum(k * b)) - (sum(k) + 1) / CAST(sum(k) AS DOUBLE) AS gb,
+        (sum(k * ra * rd) - sum(k * ra) * sum(k * rd) / sum(k)) / sqrt((sum(k * ra * ra) - sum(k * ra) * sum(k * ra) / sum(k)) * (sum(k * rd * rd) - sum(k * rd) * sum(k * rd) / sum(k))) AS rho, min(CASE WHEN upto >= 0.5 * total THEN d END) AS p50, min(CASE WHEN upto >= 0.9 * total THEN d END) AS p90 FROM x GROUP BY country_id)"""
+
+
+@query("ag12_inequality_bundle", "access", sql=f"WITH {BUNDLE} SELECT country_id, n, round(CASE WHEN n >= 10 THEN ga END, 6) AS gini_normal, round(CASE WHEN n >= 10 THEN gb END, 6) AS gini_extreme, round(CASE WHEN n >= 10 THEN gb - ga END, 6) AS delta_gini, round(CASE WHEN n >= 10 THEN rho END, 6) AS spearman_rho, round(CASE WHEN n >= 10 THEN p50 END, 6) AS p50_delta, round(CASE WHEN n >= 10 THEN p90 END, 6) AS p90_delta, round(CASE WHEN n >= 10 AND p50 > 0 THEN p90 / p50 END, 5) AS tail_ratio FROM f")
+def inequality_bundle(access: DataFrame) -> DataFrame:
+    out = M.inequality_bundle(access, "country_id", "t_normal", "t_extreme", "population")
+    return out.select("country_id", "n", *(F.round(c, 5 if c == "tail_ratio" else 6).alias(c) for c in out.columns[2:]))
+
+
+@query("ag13_inequality_summary", "access", "country", sql=f"WITH {BUNDLE}, p AS (SELECT country_id, sum(population) AS pop, sum(t_normal * population) / sum(population) AS t0, sum(t_extreme * population) / sum(population) AS t1 FROM access WHERE t_normal IS NOT NULL AND t_extreme IS NOT NULL AND population > 0 GROUP BY country_id) SELECT region, count(*) AS n_countries, round(sum(pop), 2) AS population, round(sum(t0 * pop) / sum(pop), 5) AS t_normal, round(sum(t1 * pop) / sum(pop), 5) AS t_extreme, round(sum(ga * pop) / sum(pop), 5) AS gini_normal, round(sum(gb * pop) / sum(pop), 5) AS gini_extreme, round(median(rho), 5) AS median_rho, round(avg(CASE WHEN p50 > 0 THEN p90 / p50 END), 5) AS tail_ratio FROM f JOIN p ON f.country_id = p.country_id JOIN country ON f.country_id = country.country_id WHERE n >= 10 GROUP BY region")
+def inequality_summary(access: DataFrame, country: DataFrame) -> DataFrame:
+    """The countries' bundles by region, weighted by population."""
+    bundle = M.inequality_bundle(access, "country_id", "t_normal", "t_extreme", "population").filter("n >= 10")
+    rows = access.filter("t_normal IS NOT NULL AND t_extreme IS NOT NULL AND population > 0")
+    mean = lambda c: (F.sum(F.col(c) * F.col("population")) / F.sum("population")).alias(c)
+    means = rows.groupBy("country_id").agg(F.sum("population").alias("pop"), mean("t_normal"), mean("t_extreme"))
+    c = bundle.join(means, "country_id").join(country.select("country_id", "region"), "country_id")
+    weighted = lambda x: F.round(F.sum(F.col(x) * F.col("pop")) / F.sum("pop"), 5).alias(x)
+    return c.groupBy("region").agg(
+        F.count("*").alias("n_countries"), F.round(F.sum("pop"), 2).alias("population"), *map(weighted, ("t_normal", "t_extreme", "gini_normal", "gini_extreme")), F.round(F.median("spearman_rho"), 5).alias("median_rho"), F.round(F.avg("tail_ratio"), 5).alias("tail_ratio"),
+    )
+
+
 @query("ag13_weighted_summary", "access", "country", sql="WITH c AS (SELECT country_id, avg(t_normal) AS t, sum(population) AS pop, corr(t_normal, population) AS r FROM access GROUP BY country_id) SELECT region, round(sum(t * pop) / sum(pop), 5) AS t, round(median(r), 5) AS r FROM c JOIN country ON c.country_id = country.country_id GROUP BY region")
 def weighted_summary(access: DataFrame, country: DataFrame) -> DataFrame:
     c = access.groupBy("country_id").agg(F.avg("t_normal").alias("t"), F.sum("population").alias("pop"), F.corr("t_normal", "population").alias("r"))

@@ -81,14 +81,37 @@ def cell_area(pixels: DataFrame) -> DataFrame:
     return pixels.select("pixel_id", F.round(S.cell_area_km2(F.col("lat"), C.POP_CELL_DEG, C.KM_PER_DEG), 5).alias("area"))
 
 
-@query("sp13_knn_midpoints", "places", sql=f"SELECT DISTINCT round((ax + bx) / 2.0, 5) AS mx, round((ay + b_y) / 2.0, 5) AS my FROM (SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y, row_number() OVER (PARTITION BY a.place_id ORDER BY {D2}, b.place_id) AS r FROM places a JOIN places b ON a.place_id <> b.place_id AND {D2} <= 40000) t WHERE r <= 4")
-def knn(places: DataFrame, k: int = 4, limit: float = 200.0) -> DataFrame:
-    p = places.select("place_id", "x", "y")
-    near = S.within(p, p, "x", "y", limit).filter("l.place_id <> r.place_id")
-    row = F.struct("d2", F.col("r.place_id").alias("id"), F.col("r.x").alias("bx"), F.col("r.y").alias("by"))
-    best = near.groupBy(F.col("l.place_id").alias("a"), F.col("l.x").alias("ax"), F.col("l.y").alias("ay")).agg(F.slice(F.array_sort(F.collect_list(row)), 1, k).alias("n"))
-    pairs = best.select("ax", "ay", F.explode("n").alias("n"))
-    return pairs.select(F.round((F.col("ax") + F.col("n.bx")) / 2, 5).alias("mx"), F.round((F.col("ay") + F.col("n.by")) / 2, 5).alias("my")).distinct()
+@query("sp13_knn_midpoints", "places", sql=f"SELECT DISTINCT round((ax + bx) / 2.0, 5) AS mx, round((ay + b_y) / 2.0, 5) AS my FROM (SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y, row_number() OVER (PARTITION BY a.place_id ORDER BY {D2}, b.place_id) AS r FROM places a JOIN places b ON a.place_id <> b.place_id) t WHERE r <= 4")
+def knn(places: DataFrame, k: int = 4) -> DataFrame:
+    """Middles between every place and its four nearest, however far."""
+    near = S.k_nearest(places, "place_id", places, "place_id", "x", "y", k, itself=False)
+    at = lambda i, n: places.select(F.col("place_id").alias(i), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y"))
+    pairs = near.join(at("place_id", "a"), "place_id").join(at("neighbour", "b"), "neighbour")
+    return pairs.select(F.round((F.col("ax") + F.col("bx")) / 2, 5).alias("mx"), F.round((F.col("ay") + F.col("by")) / 2, 5).alias("my")).distinct()
+
+
+@query("sp1_irregular_axes", "pixels", "facilities", sql="""WITH ax AS (SELECT DISTINCT x FROM facilities), ay AS (SELECT DISTINCT y FROM facilities), px AS (SELECT DISTINCT x FROM pixels), py AS (SELECT DISTINCT y FROM pixels),
+    nx AS (SELECT px.x, arg_min(ax.x, abs(px.x - ax.x) * 100000 + ax.x) AS cx FROM px, ax GROUP BY px.x), ny AS (SELECT py.y, arg_min(ay.y, abs(py.y - ay.y) * 100000 + ay.y) AS cy FROM py, ay GROUP BY py.y)
+    SELECT pixel_id, CAST(cx AS DOUBLE) AS cell_x, CAST(cy AS DOUBLE) AS cell_y FROM pixels JOIN nx ON pixels.x = nx.x JOIN ny ON pixels.y = ny.y""")
+def irregular(pixels: DataFrame, facilities: DataFrame) -> DataFrame:
+    """The cell of a grid with unequal steps, whose axes are the facilities' coordinates, nearest to each pixel."""
+    out = pixels.select("pixel_id", "x", "y")
+    for axis in ("x", "y"):
+        out = S.nearest_on_axis(out, axis, facilities, axis, f"cell_{axis}")
+    return out.select("pixel_id", "cell_x", "cell_y")
+
+
+ROAD_BOX = "SELECT road_id, (u * 53) % 1000 AS x0, (u * 53) % 1000 + CAST(length_km AS BIGINT) AS x1, (v * 91) % 1000 AS y0, (v * 91) % 1000 + CAST(length_km AS BIGINT) % 17 AS y1 FROM roads"
+PLACE_BOX = "SELECT place_id, x - pop_max % 40 AS x0, x + pop_max % 60 AS x1, y - pop_max % 30 AS y0, y + pop_max % 50 AS y1 FROM places"
+
+
+@query("sc21_box_join", "roads", "places", sql=f"SELECT place_id, count(*) AS n_roads, min(road_id) AS first_road FROM ({ROAD_BOX}) r JOIN ({PLACE_BOX}) p ON r.x0 <= p.x1 AND p.x0 <= r.x1 AND r.y0 <= p.y1 AND p.y0 <= r.y1 GROUP BY place_id")
+def box_join(roads: DataFrame, places: DataFrame) -> DataFrame:
+    """Roads whose extent meets the extent of a place."""
+    spark = roads.sparkSession
+    r, p = spark.sql(ROAD_BOX.replace("FROM roads", "FROM {roads}"), roads=roads), spark.sql(PLACE_BOX.replace("FROM places", "FROM {places}"), places=places)
+    met = S.boxes_meet(r, p, 64.0)
+    return met.groupBy(F.col("r.place_id").alias("place_id")).agg(F.count("*").alias("n_roads"), F.min("l.road_id").alias("first_road"))
 
 
 @query("sp14_anchor_distance", "places", "facilities", sql=f"SELECT p.place_id, round(sqrt(d2) / 50 * 111, 5) AS km FROM places p LEFT JOIN ({nearest_sql('places', 'place_id', 'facilities', 'facility_id', 250)}) n ON p.place_id = n.place_id")
