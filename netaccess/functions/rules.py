@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,3 +106,14 @@ def degree_label(x: Column, positive: str, negative: str) -> Column:
 def normal_name(name: Column) -> Column:
     """Lower-case without apostrophes, hyphens as spaces, single spaces, trimmed."""
     return F.trim(F.regexp_replace(F.replace(F.replace(F.lower(name), F.lit("'"), F.lit("")), F.lit("-"), F.lit(" ")), r"\s+", " "))
+
+
+def plain_letters() -> tuple[str, str]:
+    """Letters with marks and their plain ASCII letters, side by side: by the rule of compatibility decomposition, over the Latin blocks."""
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode()) for block in ((0xA0, 0x250), (0x1E00, 0x1F00), (0xFF01, 0xFF5F)) for c in range(*block)]
+    return "".join(a for a, b in pairs if len(b) == 1), "".join(b for a, b in pairs if len(b) == 1)
+
+
+def folded_name(name: Column) -> Column:
+    """``normal_name`` after letters have lost their marks and what is not ASCII then has gone."""
+    return normal_name(F.regexp_replace(F.translate(name, *plain_letters()), r"[^\x00-\x7F]", ""))

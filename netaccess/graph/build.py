@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netaccess import config as C
 from netaccess.graph.components import connected_components
+from netaccess.operators.ranking import grouped_rank
 from netaccess.operators.spatial import within
+from netaccess.runtime import materialize
 
 
 def both_ways(edges: DataFrame, weight: str) -> DataFrame:
@@ -59,3 +63,25 @@ def weighted_sample(df: DataFrame, key: str, weight: Column, n: int, seed: int =
     """n rows without replacement, likelier with weight: the least of -ln(u) / weight, u hashed from the key."""
     u = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     return df.filter(weight > 0).withColumn("_k", -F.log(u) / weight).orderBy("_k", key).limit(n).drop("_k")
+
+
+def merge_countries(edges: DataFrame, nodes: DataFrame, band: float, eps: float, hours_per_unit: float) -> tuple[DataFrame, DataFrame]:
+    """Country nets as one: (numbered, merged), numbered (country, node, id, x, y) and merged (u, v, w0, w1, is_border).
+
+    ``edges``: country, u, v, w0, w1 with ids of their own in every country. ``nodes``: country, node, x, y. A node's id is its place
+    in its country plus the number of nodes in the countries before it. Nodes within ``band`` of their country's extent that lie within
+    ``eps`` of one of another country are linked, at the same time in both weathers, unless an edge links them already.
+    """
+    local = grouped_rank(nodes.select("country", "node", "x", "y").distinct(), ["country"], [F.asc("node")], "_place")
+    sizes = local.groupBy("country").agg(F.count("*").alias("_n"), *(f(c).alias(f"_{n}{c}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("country").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each country
+    numbered = materialize(local.join(F.broadcast(sizes.withColumn("_before", before)), "country").withColumn("id", F.col("_before") + F.col("_place") - 1), "merged-nodes")
+    end = lambda c: numbered.select("country", F.col("node").alias(c), F.col("id").alias(f"_{c}"))
+    inside = edges.join(end("u"), ["country", "u"]).join(end("v"), ["country", "v"])
+    inside = inside.select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v"), "w0", "w1").groupBy("u", "v").agg(F.min(F.struct("w0", "w1")).alias("w"))
+    inside = materialize(inside.select("u", "v", "w.w0", "w.w1", F.lit(False).alias("is_border")), "merged-inside")
+    near_edge = [F.col(c) - F.col(f"_lo{c}") <= band for c in ("x", "y")] + [F.col(f"_hi{c}") - F.col(c) <= band for c in ("x", "y")]
+    border = numbered.filter(reduce(lambda a, b: a | b, near_edge)).select("id", "country", "x", "y")
+    links = within(border, border, "x", "y", eps).filter("l.id < r.id AND l.country <> r.country").select(F.col("l.id").alias("u"), F.col("r.id").alias("v"), (F.sqrt("d2") * hours_per_unit).alias("w0"))
+    links = links.join(inside.select("u", "v"), ["u", "v"], "left_anti").select("u", "v", "w0", F.col("w0").alias("w1"), F.lit(True).alias("is_border"))
+    return numbered.select("country", "node", "id", "x", "y"), inside.union(links)

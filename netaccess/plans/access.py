@@ -15,6 +15,9 @@ from netaccess.plans.filters import OD_SQL, od_pairs
 from netaccess.plans.graphs import CITY, FACILITY_START, place_nodes, three_nets
 from netaccess.plans.registry import query
 
+PAIR_BLOCKS = 64
+
+
 def two_path_sql(sources: str) -> str:
     """Distances in both weights as d0 and d1, from one recursive statement over (scenario, src)."""
     return f"""WITH RECURSIVE adj AS (SELECT u AS a, v AS b, 0 AS k, w0 AS w FROM edges UNION ALL SELECT v, u, 0, w0 FROM edges UNION ALL SELECT u, v, 1, w1 FROM edges UNION ALL SELECT v, u, 1, w1 FROM edges),
@@ -31,7 +34,10 @@ def city_pairs(edges: DataFrame) -> DataFrame:
     ends = P.shortest_paths(both_ways(rows, "w"), starts).select("src", F.col("node.id").alias("node"), "node.kind", "dist").filter("src < node").join(cities, "node", "left_semi")
     time = lambda k: F.min(F.when(F.col("kind") == k, F.col("dist")))
     found = ends.groupBy(F.col("src").alias("city_a"), F.col("node").alias("city_b")).agg(time(0).alias("t0"), time(1).alias("t1"))
-    every = cities.select(F.col("node").alias("city_a")).join(cities.select(F.col("node").alias("city_b")), F.col("city_a") < F.col("city_b"))
+    # all pairs as a join of equal blocks: each city meets those of a block in one task, however many there are
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PAIR_BLOCKS - 1).cast("long")))
+    left = cities.select(F.col("node").alias("city_a"), F.pmod(F.xxhash64("node"), F.lit(PAIR_BLOCKS)).alias("block"))
+    every = left.join(cities.select(F.col("node").alias("city_b"), blocks.alias("block")), "block").filter("city_a < city_b").drop("block")
     return every.join(found, ["city_a", "city_b"], "left")
 
 

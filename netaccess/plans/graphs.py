@@ -185,7 +185,7 @@ def demand(pixels: DataFrame, places: DataFrame) -> DataFrame:
 
 @query("gr4_border_links", "pixels")
 def border_links(pixels: DataFrame) -> DataFrame:
-    """Edges between nodes of different countries near their borders, timed at the border speed, where none was."""
+    """Edges between nodes of different countries near their borders, timed at the border speed."""
     from netaccess.operators.spatial import within
 
     box = pixels.groupBy("country_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
@@ -195,6 +195,35 @@ def border_links(pixels: DataFrame) -> DataFrame:
     return near.select(F.col("l.pixel_id").alias("u"), F.col("r.pixel_id").alias("v"), F.round(hours, 6).alias("w0"), F.round(hours, 6).alias("w1"))
 
 
+NODE_XY = "(node * 53 + country * 101) % 1000 AS x, (node * 71 + country * 37) % 997 AS y"
+MERGED_SQL = f"""WITH RECURSIVE nodes AS (SELECT country, node, {NODE_XY} FROM (SELECT country_id AS country, u AS node FROM edges UNION SELECT country_id, v FROM edges) t), k AS (SELECT country, count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM nodes GROUP BY country),
+    num AS (SELECT nodes.*, row_number() OVER (ORDER BY country, node) - 1 AS id FROM nodes), raw AS (SELECT least(a.id, b.id) AS u, greatest(a.id, b.id) AS v, w0, w1 FROM edges e JOIN num a ON e.country_id = a.country AND e.u = a.node JOIN num b ON e.country_id = b.country AND e.v = b.node),
+    inside AS (SELECT u, v, w0, w1 FROM (SELECT *, row_number() OVER (PARTITION BY u, v ORDER BY w0, w1) AS r FROM raw) t WHERE r = 1), band AS (SELECT num.* FROM num JOIN k ON num.country = k.country WHERE x - x0 <= 25 OR x1 - x <= 25 OR y - y0 <= 25 OR y1 - y <= 25),
+    link AS (SELECT a.id AS u, b.id AS v, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) * {C.KM_PER_DEG / 50 / C.BORDER_SPEED!r}::DOUBLE AS w FROM (SELECT *, x // 10 + i AS bx, y // 10 + j AS b_y FROM band, (VALUES (-1), (0), (1)) p(i), (VALUES (-1), (0), (1)) q(j)) a JOIN band b ON a.bx = b.x // 10 AND a.b_y = b.y // 10 WHERE a.id < b.id AND a.country <> b.country AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 100),
+    m AS (SELECT u, v, w0, w1, false AS is_border FROM inside UNION ALL SELECT u, v, w, w, true FROM link l WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.u = l.u AND i.v = l.v)), adj AS (SELECT u AS a, v AS b FROM m UNION ALL SELECT v, u FROM m),
+    lab(node, label) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM adj GROUP BY a UNION SELECT adj.b, min(lab.label) FROM lab JOIN adj ON lab.node = adj.a JOIN recurring.lab AS r ON r.node = adj.b WHERE lab.label < r.label GROUP BY adj.b)
+    SELECT u, v, round(w0, 6) AS w0, round(w1, 6) AS w1, is_border, label AS component FROM m JOIN lab ON m.u = lab.node"""
+
+
+@query("gr4_continent_merge", "edges", sql=MERGED_SQL)
+def continent_merge(edges: DataFrame) -> DataFrame:
+    """All country nets with their border links as one net, each edge with the part that it lies in."""
+    own = edges.select(F.col("country_id").alias("country"), "u", "v", "w0", "w1")
+    nodes = own.select("country", F.explode(F.array("u", "v")).alias("node")).distinct().selectExpr("country", "node", *NODE_XY.split(", "))
+    _, merged = B.merge_countries(own, nodes, 25.0, 10.0, C.KM_PER_DEG / 50 / C.BORDER_SPEED)
+    merged = materialize(merged, "merged-edges")
+    parts = connected_components(merged)
+    return merged.join(parts.withColumnRenamed("node", "u"), "u").select("u", "v", F.round("w0", 6).alias("w0"), F.round("w1", 6).alias("w1"), "is_border", "component")
+
+
+@query("gr12_country_bridges", "edges")
+def country_bridges(edges: DataFrame) -> DataFrame:
+    """Edges whose loss parts a country's own net; nodes carry their country."""
+    own = lambda c: (F.col("country_id") * 10_000_000 + F.col(c)).alias(c)
+    found = G.bridges(edges.select(own("u"), own("v")))
+    return found.select(F.floor(F.col("u") / 10_000_000).alias("country_id"), (F.col("u") % 10_000_000).alias("u"), (F.col("v") % 10_000_000).alias("v"))
+
+
 @query("gr11_metric_deltas", "edges", sql=metrics_sql("SELECT 0 AS net, u, v, w0 AS w FROM edges UNION ALL SELECT 1, u, v, w1 FROM edges UNION ALL SELECT 2, u, v, CAST(1.0 AS DOUBLE) FROM edges") + """,
     s AS (SELECT *, max(CASE WHEN net = 0 THEN efficiency END) OVER () AS e0, max(CASE WHEN net = 0 THEN diameter END) OVER () AS d0, max(CASE WHEN net = 0 THEN n_components END) OVER () AS c0 FROM m)
     SELECT net, n_nodes, n_components, round(lcc_ratio, 6) AS lcc_ratio, round(efficiency, 6) AS efficiency, round(diameter, 6) AS diameter,

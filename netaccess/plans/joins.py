@@ -159,6 +159,29 @@ def name_match(places: DataFrame, customer: DataFrame) -> DataFrame:
     return left.join(right, ["country_id", "key"]).groupBy("place_id").agg(best.alias("custkey"))
 
 
+CITY_NAMES = "SELECT place_id, country_id AS iso, concat('Città-', CAST(place_id % 60 AS STRING)) AS name FROM places"
+POINT_NAMES = """SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS iso, concat(CASE c_custkey % 3 WHEN 0 THEN 'CITTÀ  ' WHEN 1 THEN 'Ville ' ELSE concat(chr(39), 'Cittá ') END, CAST(c_custkey % 50 AS STRING)) AS name,
+    CASE WHEN c_custkey % 4 = 0 THEN concat('citta ', CAST(c_custkey % 50 AS STRING)) END AS ascii_name, greatest(c_acctbal, 0) AS pop_max, c_custkey % 2 AS megacity, c_custkey % 5 AS worldcity, c_mktsegment AS feature, CAST((c_custkey * 53) % 997 AS DOUBLE) / 50 AS lon, CAST((c_custkey * 71) % 991 AS DOUBLE) / 50 AS lat FROM customer"""
+OVERRIDES = {"Città-55": (1.5, 2.5), "Città-7": (3.0, 4.0)}
+
+
+def folded_sql(c: str) -> str:
+    return rf"trim(regexp_replace(replace(replace(lower(regexp_replace(strip_accents({c}), '[^\x00-\x7F]', '', 'g')), chr(39), ''), '-', ' '), '\s+', ' ', 'g'))"
+
+
+@query("jn22_ranked_names", "places", "customer", sql=f"""WITH l AS ({CITY_NAMES.replace('AS STRING', 'AS VARCHAR')}), r AS ({POINT_NAMES.replace('AS STRING', 'AS VARCHAR')}), n AS (SELECT *, {folded_sql("name")} AS a, {folded_sql("coalesce(ascii_name, '')")} AS b FROM r),
+    m AS (SELECT l.place_id, n.id, n.lon, n.lat, row_number() OVER (PARTITION BY l.place_id ORDER BY pop_max DESC, megacity DESC, worldcity DESC, feature, n.id) AS r FROM l JOIN n ON l.iso = n.iso AND {folded_sql("l.name")} IN (a, b)),
+    o AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {x}::DOUBLE, {y}::DOUBLE)" for k, (x, y) in OVERRIDES.items())}) v(name, lon, lat))
+    SELECT l.place_id, CASE WHEN m.id IS NOT NULL THEN 'name' WHEN o.name IS NOT NULL THEN 'override' ELSE 'missing' END AS matched_by, m.id, coalesce(m.lon, o.lon) AS lon, coalesce(m.lat, o.lat) AS lat FROM l LEFT JOIN m ON l.place_id = m.place_id AND m.r = 1 LEFT JOIN o ON l.name = o.name""")
+def ranked_names(places: DataFrame, customer: DataFrame) -> DataFrame:
+    """Names without marks in either of two columns, the best of several by four keys, an override map, and what stays missing."""
+    spark = places.sparkSession
+    left, right = spark.sql(CITY_NAMES.replace("FROM places", "FROM {places}"), places=places), spark.sql(POINT_NAMES.replace("FROM customer", "FROM {customer}"), customer=customer)
+    # the feature counts upwards: its letters, turned, make a descending key
+    best = [F.col("pop_max"), F.col("megacity"), F.col("worldcity"), F.transform(F.split("feature", ""), lambda c: -F.ascii(c))]
+    return J.name_matches(left, right, "place_id", best, OVERRIDES)
+
+
 @query("jn23_two_coordinates", "od", "places", sql="SELECT city_a, city_b, p.lon AS lon_a, p.lat AS lat_a, q.lon AS lon_b, q.lat AS lat_b FROM od JOIN places p ON city_a = p.place_id JOIN places q ON city_b = q.place_id")
 def two_coordinates(od: DataFrame, places: DataFrame) -> DataFrame:
     at = lambda k: places.select(F.col("place_id").alias(f"city_{k}"), F.col("lon").alias(f"lon_{k}"), F.col("lat").alias(f"lat_{k}"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netaccess.operators import statistics as T
@@ -62,18 +62,72 @@ def percentiles(od: DataFrame) -> DataFrame:
     return quantiles(od, {"p": (F.col("t0"), shares)}).select(*(F.round(f"p_{i}", 6).alias(f"p{int(q * 100)}") for i, q in enumerate(shares)))
 
 
+def plane_sql(keys: str) -> str:
+    """The closed form of a fit on two predictors, over rows p (keys, x, z, y)."""
+    return f"""s AS (SELECT {keys}, count(*) AS n, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, var_pop(x) AS xx, var_pop(z) AS zz, var_pop(y) AS yy, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy, var_pop(x) * var_pop(z) - covar_pop(x, z) * covar_pop(x, z) AS det FROM p WHERE x IS NOT NULL AND z IS NOT NULL AND y IS NOT NULL GROUP BY {keys}),
+    b AS (SELECT *, (zz * xy - xz * zy) / det AS b1, (xx * zy - xz * xy) / det AS b2 FROM s WHERE n >= 4 AND det > 1e-12 * xx * zz), f AS (SELECT *, my - b1 * mx - b2 * mz AS b0, greatest(yy - b1 * xy - b2 * zy, 0) / (n - 3) AS s2, (b1 * xy + b2 * zy) / yy AS r2 FROM b)"""
+
+
+SLOWED = "access JOIN country ON access.country_id = country.country_id"
+
+
+def slowed(access: DataFrame, country: DataFrame) -> DataFrame:
+    """region, x, z, y: log population, time and delay of every place of access."""
+    return access.join(country.select("country_id", "region"), "country_id").select("region", F.log1p("population").alias("x"), F.col("t_normal").alias("z"), (F.col("t_extreme") - F.col("t_normal")).alias("y"))
+
+
+@query("stc_two_predictors", "access", "country", sql=f"""WITH p AS (SELECT region, ln(1 + population) AS x, t_normal AS z, t_extreme - t_normal AS y FROM {SLOWED}), {plane_sql("region")}
+    SELECT region, n, round(b0, 6) AS b0, round(b1, 6) AS b1, round(b2, 6) AS b2, round(sqrt(s2 * (1 + (mx * mx * zz - 2 * mx * mz * xz + mz * mz * xx) / det)), 6) AS se0, round(sqrt(s2 * zz / det), 6) AS se1, round(sqrt(s2 * xx / det), 6) AS se2, round(b2 / sqrt(s2 * xx / det), 4) AS t2, round(r2, 6) AS r2 FROM f""")
+def two_predictors(access: DataFrame, country: DataFrame) -> DataFrame:
+    """The delay by population and time in every region: coefficients with standard errors."""
+    fits = T.plane_fits(slowed(access, country), ["region"], "x", "z", "y")
+    return fits.select("region", "n", *(F.round(c, 6).alias(c) for c in ("b0", "b1", "b2", "se0", "se1", "se2")), F.round("t2", 4).alias("t2"), F.round("r2", 6).alias("r2"))
+
+
+@query("stc_significance", "access", "country")
+def significance(access: DataFrame, country: DataFrame) -> DataFrame:
+    """A row for each region and term: coefficient, standard error, p and stars."""
+    from netaccess.functions.rules import stars
+
+    terms = F.explode(F.array(*(F.struct(F.lit(name).alias("term"), F.col(f"b{k}").alias("b"), F.col(f"se{k}").alias("se"), F.col(f"t{k}").alias("t")) for k, name in enumerate(("const", "log_population", "t_normal"))))).alias("e")
+    long = T.plane_fits(slowed(access, country), ["region"], "x", "z", "y").select("region", "n", "r2", terms).select("region", "n", "r2", "e.*")
+    long = long.withColumn("p", T.two_sided_p("t", (F.col("n") - 3).cast("double")))
+    return long.select("region", "term", "n", F.round("b", 6).alias("coefficient"), F.round("se", 6).alias("standard_error"), F.round("p", 6).alias("p"), stars(F.col("p")).alias("stars"), F.round("r2", 6).alias("r2"))
+
+
+#: Coefficients that candidates are compared with: constant, first and second predictor, r2.
+PUBLISHED = (0.2, 0.01, 0.1, 0.3)
+FORMS = {"log1p": ("ln(1 + {c})", "{c} IS NOT NULL"), "log": ("ln({c})", "{c} > 0"), "identity": ("CAST({c} AS DOUBLE)", "{c} IS NOT NULL")}
+
+
+def candidates_sql(table: str) -> str:
+    """Rows of every candidate: a transform for each of two predictors; rows that a transform does not take leave that candidate alone."""
+    parts = [
+        f"SELECT '{f}' AS x_form, '{zc}' AS z_field, '{g}' AS z_form, CASE WHEN {FORMS[f][1].format(c='population')} THEN {FORMS[f][0].format(c='population')} END AS x, CASE WHEN {FORMS[g][1].format(c=zc)} THEN {FORMS[g][0].format(c=zc)} END AS z, t_extreme - t_normal AS y FROM {table}"
+        for f in ("log1p", "log") for zc in ("t_normal", "lon") for g in ("log", "log1p", "identity")
+    ]
+    return " UNION ALL ".join(parts)
+
+
+DISTANCE = " + ".join(f"abs({c} - CAST({x} AS DOUBLE))" for c, x in zip(("b0", "b1", "b2", "r2"), PUBLISHED))
+
+
+@query("std_model_grid", "access", sql=f"""WITH p AS ({candidates_sql('access')}), {plane_sql("x_form, z_field, z_form")}, d AS (SELECT *, {DISTANCE} AS distance FROM f) SELECT x_form, z_field, z_form, n, round(b0, 6) AS b0, round(b1, 6) AS b1, round(b2, 6) AS b2, round(r2, 6) AS r2, round(distance, 6) AS distance, row_number() OVER (ORDER BY round(distance, 9), x_form, z_field, z_form) AS place FROM d""")
+def model_grid(access: DataFrame) -> DataFrame:
+    """Every candidate of transforms and predictors, solved together, by its distance from given coefficients."""
+    rows = access.sparkSession.sql(candidates_sql("{t}"), t=access)
+    fits = T.plane_fits(rows, ["x_form", "z_field", "z_form"], "x", "z", "y").withColumn("distance", F.expr(DISTANCE))
+    place = F.row_number().over(Window.orderBy(F.round("distance", 9), "x_form", "z_field", "z_form"))  # a row for each candidate
+    return fits.select("x_form", "z_field", "z_form", "n", *(F.round(c, 6).alias(c) for c in ("b0", "b1", "b2", "r2", "distance")), place.cast("bigint").alias("place"))
+
+
 @query("stg_kmeans", "embeddings")
 def kmeans(embeddings: DataFrame) -> DataFrame:
-    """Cluster sizes of standardised features; labels are ordered by size."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
-    rows = embeddings.select("vec_id", *(F.element_at("embedding", k + 1).cast("double").alias(f"f{k}") for k in range(4)))
-    vectors = VectorAssembler(inputCols=[f"f{k}" for k in range(4)], outputCol="raw").transform(rows)
-    scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(vectors).transform(vectors)
+    """vec_id, cluster: labels from all dimensions, standardised; the cheapest of ten starts, clusters numbered by falling size."""
+    dims = embeddings.agg(F.max(F.size("embedding")).alias("d")).first()["d"] or 0
+    rows = embeddings.filter(F.size("embedding") == dims)
     k = min(5, max(2, rows.count() // 20))
-    found = KMeans(k=k, seed=42).fit(scaled).transform(scaled)
-    return found.groupBy("prediction").agg(F.count("*").alias("n")).orderBy(F.desc("n")).select("n")
+    return T.clusters(T.standardised(rows.select("vec_id", "embedding"), "embedding", dims), "vec_id", "embedding", k)[0]
 
 
 @query("sth_cluster_tags", "scores", sql="SELECT country_id, CASE WHEN avg(cv) > 0.045 AND avg(ni) > (SELECT avg(ni) FROM scores) THEN 'critical' WHEN avg(cv) > 0.045 THEN 'vulnerable' WHEN avg(ni) > (SELECT avg(ni) FROM scores) THEN 'important' ELSE 'stable' END AS tag FROM scores GROUP BY country_id")
