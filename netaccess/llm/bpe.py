@@ -25,6 +25,7 @@ from netaccess.llm.common import map_arrow
 
 LEAF_BYTES = 12
 CACHE_WORDS = 400_000
+ROWS_AT_ONCE = 512
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -122,15 +123,18 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
         split, packed = encoder(ranks_path, pattern)
         bpe = packed.bpe
         for batch in batches:
-            out: dict[str, list] = {f.name: [] for f in fields}
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                ids = b"".join(map(packed.__getitem__, split(text.as_py() or "")))
-                out["doc_id"].append(doc_id)
-                out["n_tokens"].append(len(ids) // 4)
-                out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(bpe.decode(np.frombuffer(ids, "<u4").tolist())).hexdigest())
-                if with_ids:
-                    out["ids"].append(ids)
-            yield out
+            ids_of, texts = batch["doc_id"].to_pylist(), batch["text"]
+            # a piece of a batch at a time, so that the ids of a whole batch are never held at once
+            for k in range(0, len(ids_of), ROWS_AT_ONCE):
+                out: dict[str, list] = {f.name: [] for f in fields}
+                for doc_id, text in zip(ids_of[k : k + ROWS_AT_ONCE], texts[k : k + ROWS_AT_ONCE]):
+                    ids = b"".join(map(packed.__getitem__, split(text.as_py() or "")))
+                    out["doc_id"].append(doc_id)
+                    out["n_tokens"].append(len(ids) // 4)
+                    out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
+                    out["decoded_sha256"].append(hashlib.sha256(bpe.decode(np.frombuffer(ids, "<u4").tolist())).hexdigest())
+                    if with_ids:
+                        out["ids"].append(ids)
+                yield out
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, StructType(fields))
