@@ -6,7 +6,8 @@ pair's bytes, so a join re-encodes a window around the boundary and widens it on
 the window's two edges hold. Everything outside the window then provably stays.
 
 Null texts are taken as empty: 0 tokens, hashes of the empty string. Empty tables give empty results,
-repeated rows give repeated results, and columns other than the named two are ignored.
+repeated rows give repeated results, and columns other than the named two are ignored. A piece of n bytes
+without a break takes time in the order of n log^2 n, whatever it holds.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,6 +26,9 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from netaccess.llm.common import map_arrow
 
 LEAF_BYTES = 12
+#: windows beyond this many bytes are merged by a heap
+SCAN_BYTES = 64
+LEAF_IDS = 256
 CACHE_WORDS = 400_000
 ROWS_AT_ONCE = 512
 
@@ -40,7 +45,9 @@ class TreeBPE:
         self.pair_holds: dict[tuple[int, int], bool] = {}
 
     def leaf(self, piece: bytes) -> list[int]:
-        """Repeatedly merge the adjacent pair of lowest rank; for short pieces."""
+        """Repeatedly merge the adjacent pair of lowest rank, the leftmost of equal ones."""
+        if len(piece) > SCAN_BYTES:
+            return self.merged(piece)
         parts = [piece[i : i + 1] for i in range(len(piece))]
         ranks = self.ranks
         while len(parts) > 1:
@@ -54,6 +61,30 @@ class TreeBPE:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [ranks[p] for p in parts]
 
+    def merged(self, piece: bytes) -> list[int]:
+        """The same by a heap of ranked pairs over linked parts; a pair that is gone is skipped when it comes up."""
+        n, rank = len(piece), self.ranks.get
+        end_of, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, i, end = heappop(heap)
+            middle = end_of[i]  # 0: the part at i has gone into an earlier one
+            if not middle or middle >= n or end_of[middle] != end:
+                continue
+            end_of[i], end_of[middle] = end, 0
+            if end < n:
+                before[end] = i
+                if (r := rank(piece[i : end_of[end]])) is not None:
+                    heappush(heap, (r, i, end_of[end]))
+            if i and (r := rank(piece[before[i] : end])) is not None:
+                heappush(heap, (r, before[i], end))
+        ids, i = [], 0
+        while i < n:
+            ids.append(self.ranks[piece[i : end_of[i]]])
+            i = end_of[i]
+        return ids
+
     def holds(self, a: int, b: int) -> bool:
         """Whether the bytes of a and b together are encoded as just a, b."""
         known = self.pair_holds.get((a, b))
@@ -86,8 +117,11 @@ class TreeBPE:
         return self.join(self.piece(piece[:half]), self.piece(piece[half:]))
 
     def decode(self, ids: list[int]) -> bytes:
-        """Concatenation up the tree; ``bytes.join`` is its flattened form."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        """The bytes of runs of ids, joined with their neighbours level by level up the tree."""
+        parts = [b"".join(map(self.bytes_of.__getitem__, ids[k : k + LEAF_IDS])) for k in range(0, len(ids), LEAF_IDS)]
+        while len(parts) > 1:
+            parts = [b"".join(parts[k : k + 2]) for k in range(0, len(parts), 2)]
+        return parts[0] if parts else b""
 
 
 class PackedPieces(dict):
