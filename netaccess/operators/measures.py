@@ -21,6 +21,26 @@ def five_numbers(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), *(F.round(c, 5).alias(k) for k, c in out.items()))
 
 
+def district_rollup(districts: DataFrame, key: str) -> DataFrame:
+    """By country the 25 figures of its districts: counts, medians, means, sums, sample deviations, quartiles, most and the share of amplified ones.
+
+    Loss of efficiency and amplification come from the district's own figures, null where they are not defined; such a
+    district does not count in their means, but in the share of amplified ones. A group has one row a district.
+    """
+    loss = F.when(F.col("e_normal") > 0, (F.col("e_normal") - F.col("e_extreme")) / F.col("e_normal") * 100)
+    rows = districts.withColumn("loss", loss).withColumn("amp", F.when(F.col("road_drop") > 0, F.col("loss") / F.col("road_drop")))
+    q75 = lambda c: F.percentile(c, 0.75)
+    mean = {"lcc_ratio": "lcc_ratio", "bridge_ratio": "bridge_ratio", "road_deg": "road_drop", "p_block": "p_block", "e_normal": "e_normal", "e_extreme": "e_extreme", "loss_pct": "loss", "d_normal": "d_normal", "d_extreme": "d_extreme", "new_parts": "new_parts", "amp": "amp", "q_c": "q_c", "fall_at_q_c": "fall_at_q_c"}
+    more = {
+        "nodes_median": F.median("n_nodes"), "edges_median": F.median("n_edges"), "road_deg_std": F.stddev_samp("road_drop"), "loss_pct_std": F.stddev_samp("loss"), "loss_pct_q75": q75("loss"),
+        "amp_median": F.median("amp"), "amp_q75": q75("amp"), "amp_over_1_pct": F.avg(F.when(F.col("amp") > 1, 1.0).otherwise(0.0)) * 100, "q_c_median": F.median("q_c"),
+    }
+    return rows.groupBy(key).agg(
+        F.count("district_id").alias("n_districts"), F.sum("n_critical").cast("bigint").alias("critical_total"), F.max("new_parts").cast("bigint").alias("new_parts_max"),
+        *(F.round(F.avg(c), 5).alias(f"{k}_mean") for k, c in mean.items()), *(F.round(c, 5).alias(k) for k, c in more.items()),
+    )
+
+
 def od_summary(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Counts and ratios over all pairs, increases over connected ones, the severe share over all."""
     kind = lambda k: F.count_if(F.col("conn_type") == k)

@@ -61,6 +61,19 @@ def grouped_value_ranks(df: DataFrame, keys: list[str], column: str, descending:
     return df.join(ranked, [*keys, column], "left")
 
 
+def grouped_quantiles(df: DataFrame, keys: list[str], column: str, shares: tuple[float, ...]) -> DataFrame:
+    """keys and q_<position>: interpolated quantiles of a column within ``keys``, from values counted and ordered in ranges, so
+    that a group may hold most rows. Groups without a value have no row."""
+    upto = materialize(grouped_upto(df, keys, column, F.lit(1)), "quantile-groups")
+    placed = upto.join(upto.groupBy(*keys).agg(F.sum("_c").alias("_n")), keys)
+    out = []
+    for i, q in enumerate(shares):
+        place = (F.col("_n") - 1) * F.lit(q)
+        at = lambda k: F.min(F.when(F.col("_upto") > k, F.col(column)))
+        out.append((at(F.floor(place)) + (at(F.ceil(place)) - at(F.floor(place))) * F.max(place - F.floor(place))).alias(f"q_{i}"))
+    return placed.groupBy(*keys).agg(*out)
+
+
 def running_sum(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
     """Sum of ``value`` up to and with each row in the whole order."""
     parts = ordered_ranges(df.withColumn("_value", value), order)

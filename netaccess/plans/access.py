@@ -9,11 +9,13 @@ from netaccess import config as C
 from netaccess.functions import rules as R
 from netaccess.graph import paths as P
 from netaccess.graph.build import both_ways
+from netaccess.graph.components import connected_components
 from netaccess.operators import access as A
 from netaccess.operators import measures as M
 from netaccess.plans.filters import OD_SQL, od_pairs
 from netaccess.plans.graphs import CITY, FACILITY_START, place_nodes, three_nets
 from netaccess.plans.registry import query
+from netaccess.runtime import materialize
 
 PAIR_BLOCKS = 64
 
@@ -41,6 +43,31 @@ def city_pairs(edges: DataFrame) -> DataFrame:
     return every.join(found, ["city_a", "city_b"], "left")
 
 
+def country_city_pairs(edges: DataFrame, least_nodes: int) -> DataFrame:
+    """country_id, city_a < city_b, t0, t1: every pair of places in the largest part of each country's own net, ties to the least
+    label; all nets and both weathers are one graph, whose nodes carry theirs. Nets of under ``least_nodes`` nodes have no pairs."""
+    own = lambda c: F.struct("country_id", F.col(c).alias("id")).alias(c)
+    nets = edges.select(own("u"), own("v"), "w0", "w1")
+    parts = materialize(connected_components(nets.select("u", "v")), "country-parts")
+    sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
+    best = sizes.groupBy("component.country_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "component")).alias("best")).filter(F.col("best.n") <= -least_nodes)
+    kept = parts.join(best.select("best.component"), "component", "left_semi").select(F.col("node").alias("u"))
+    nets = materialize(nets.join(kept, "u", "left_semi"), "country-nets")
+
+    node = lambda c: F.struct("kind", F.col(f"{c}.country_id").alias("country_id"), F.col(f"{c}.id").alias("id")).alias(c)
+    rows = nets.select("u", "v", F.posexplode(F.array("w0", "w1")).alias("kind", "w")).select(node("u"), node("v"), "w")
+    places = place_nodes(rows)
+    # a node carries its country, so that the place's number alone names a source
+    ends = P.shortest_paths(both_ways(rows, "w"), places.select(F.col("node.id").alias("src"), "node")).filter("src < node.id").join(places, "node", "left_semi")
+    time = lambda k: F.min(F.when(F.col("node.kind") == k, F.col("dist")))
+    found = ends.groupBy(F.col("node.country_id").alias("country_id"), F.col("src").alias("city_a"), F.col("node.id").alias("city_b")).agg(time(0).alias("t0"), time(1).alias("t1"))
+    cities = nets.select(F.col("v.country_id").alias("country_id"), F.col("v.id").alias("city")).distinct()
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PAIR_BLOCKS - 1).cast("long"))).alias("block")
+    left = cities.select("country_id", F.col("city").alias("city_a"), F.pmod(F.xxhash64("city"), F.lit(PAIR_BLOCKS)).alias("block"))
+    every = left.join(cities.select("country_id", F.col("city").alias("city_b"), blocks), ["country_id", "block"]).filter("city_a < city_b").drop("block")
+    return every.join(found, ["country_id", "city_a", "city_b"], "left")
+
+
 @query("od1_city_pairs", "edges", sql=two_path_sql(CITY) + " SELECT a.src AS city_a, a.node AS city_b, round(a.dist, 6) AS t0, round(b.dist, 6) AS t1, CASE WHEN (b.dist - a.dist) / a.dist * 100 >= 50 THEN 1 ELSE 0 END AS severe_increase, 'connected' AS conn_type FROM d a JOIN d b ON a.k = 0 AND b.k = 1 AND a.src = b.src AND a.node = b.node WHERE a.src < a.node AND a.node IN (SELECT src FROM d)")
 def city_od(edges: DataFrame) -> DataFrame:
     return od_pairs(city_pairs(edges)).select("city_a", "city_b", F.round("t0", 6).alias("t0"), F.round("t1", 6).alias("t1"), "severe_increase", "conn_type")

@@ -24,6 +24,17 @@ def rollup(roads: DataFrame) -> DataFrame:
     return d.groupBy("country_id").agg(F.count("*").alias("n"), F.round(F.sum("d"), 3).alias("total"), *(F.round(c, 5).alias(k) for k, c in out.items()))
 
 
+MEANS = {"lcc_ratio": "lcc_ratio", "bridge_ratio": "bridge_ratio", "road_deg": "road_drop", "p_block": "p_block", "e_normal": "e_normal", "e_extreme": "e_extreme", "loss_pct": "loss", "d_normal": "d_normal", "d_extreme": "d_extreme", "new_parts": "new_parts", "amp": "amp", "q_c": "q_c", "fall_at_q_c": "fall_at_q_c"}
+
+
+@query("ag1_district_rollup", "districts", sql=f"""WITH d AS (SELECT *, CASE WHEN e_normal > 0 THEN (e_normal - e_extreme) / e_normal * 100 END AS loss FROM districts), a AS (SELECT *, CASE WHEN road_drop > 0 THEN loss / road_drop END AS amp FROM d)
+    SELECT country_id, count(district_id) AS n_districts, CAST(sum(n_critical) AS BIGINT) AS critical_total, CAST(max(new_parts) AS BIGINT) AS new_parts_max, {", ".join(f"round(avg({c}), 5) AS {k}_mean" for k, c in MEANS.items())},
+    round(median(n_nodes), 5) AS nodes_median, round(median(n_edges), 5) AS edges_median, round(stddev_samp(road_drop), 5) AS road_deg_std, round(stddev_samp(loss), 5) AS loss_pct_std, round(quantile_cont(loss, 0.75), 5) AS loss_pct_q75,
+    round(median(amp), 5) AS amp_median, round(quantile_cont(amp, 0.75), 5) AS amp_q75, round(avg(CASE WHEN amp > 1 THEN 1.0::DOUBLE ELSE 0.0 END) * 100, 5) AS amp_over_1_pct, round(median(q_c), 5) AS q_c_median FROM a GROUP BY country_id""")
+def district_rollup(districts: DataFrame) -> DataFrame:
+    return M.district_rollup(districts, "country_id")
+
+
 @query("ag2_od_by_country", "od", sql=f"SELECT country_a AS country_id, count(*) AS n, round(avg(increase_pct), 5) AS mean, round(median(increase_pct), 5) AS med, round(quantile_cont(increase_pct, 0.75), 5) AS q75, round(max(increase_pct), 5) AS most FROM ({OD_SQL}) t WHERE conn_type = 'connected' GROUP BY country_a")
 def od_by_country(od: DataFrame) -> DataFrame:
     return M.five_numbers(od_pairs(od).filter("conn_type = 'connected'").withColumnRenamed("country_a", "country_id"), ["country_id"], "increase_pct")

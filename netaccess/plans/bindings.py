@@ -56,6 +56,13 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN c_custkey % 13 <> 0 AND c_custkey % 11 <> 0 THEN min(o_totalprice) / 100000 * (1 + CAST(c_custkey % 7 AS DOUBLE) / 10) END AS t_extreme,
                greatest(max(c_acctbal), 0) AS population
         FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_nationkey"""),
+    "districts": (("lineitem", "supplier"), """
+        SELECT CAST(s_nationkey AS BIGINT) AS country_id, l_partkey % 25 AS district_id, count(DISTINCT l_partkey) + count(DISTINCT l_suppkey) AS n_nodes, count(*) AS n_edges,
+               1 - avg(l_discount) AS lcc_ratio, avg(l_tax) AS bridge_ratio, sum(CASE WHEN l_tax > 0.07 THEN 1 ELSE 0 END) AS n_critical, avg(l_discount) * 100 AS road_drop, avg(l_discount * l_tax) AS p_block,
+               CASE WHEN min(l_orderkey) % 9 <> 0 THEN avg(l_quantity) / 100 ELSE 0 END AS e_normal, avg(l_quantity * (1 - l_discount) * (1 - l_tax)) / 100 AS e_extreme,
+               max(l_quantity) AS d_normal, max(l_quantity * (1 + l_tax)) AS d_extreme, max(l_linenumber) - min(l_linenumber) AS new_parts,
+               CASE WHEN max(l_orderkey) % 7 <> 0 THEN avg(l_tax) * 10 END AS q_c, avg(l_discount) * 8 AS fall_at_q_c
+        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey, l_partkey % 25"""),
     "scores": (("lineitem", "supplier"), """
         SELECT l_partkey * 100000 + l_suppkey AS edge_id, l_partkey AS u, 1000000 + l_suppkey AS v, CAST(max(s_nationkey) AS BIGINT) AS country_id,
                sum(l_extendedprice) AS ni, max(l_tax) AS cv, max(l_quantity) AS w0, max(l_quantity) * (1 + max(l_tax)) AS w1
