@@ -68,3 +68,8 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[
 def crc_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``: splits rows into folds."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
+
+
+def in_fold(doc_id: Column, modulus: int, remainder: int) -> Column:
+    """Whether the id falls into the fold; a null id falls into none."""
+    return F.coalesce(crc_remainder(doc_id, modulus) == remainder, F.lit(False))

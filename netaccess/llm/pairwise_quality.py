@@ -7,7 +7,7 @@ are scaled so that the cut lies at ``CUT_AT``.
 
 The model is fitted on at most ``LABEL_BOUND`` labelled rows (lowest hash of the id first) and at most
 ``PAIR_BOUND`` pairs; scoring covers every row. Null and empty texts have all features 0 and a score from
-these. Equal texts get equal scores. Without rows of both labels every weight is 0 and every score is
+these. A null doc_id is in no fold: its row is scored and not held out. Equal texts get equal scores. Without rows of both labels every weight is 0 and every score is
 ``CUT_AT``. Empty tables give an empty result. Columns of other names are ignored.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from netaccess.llm.common import crc_remainder, map_arrow
+from netaccess.llm.common import in_fold, map_arrow
 from netaccess.runtime import materialize
 
 FOLDS, HELD_OUT = 4, 2
@@ -96,7 +96,7 @@ def rank_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     features = materialize(feature_table(docs), "rank-features")
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    told = told.filter(F.col("quality").isNotNull() & (crc_remainder(F.col("doc_id"), FOLDS) != HELD_OUT))
+    told = told.filter(F.col("quality").isNotNull() & ~in_fold(F.col("doc_id"), FOLDS, HELD_OUT))
     told = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABEL_BOUND)
     rows = features.join(F.broadcast(told), "doc_id").select("x", "quality").collect()
     x = np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES))
@@ -115,5 +115,5 @@ def rank_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     above = scored.filter(F.col("raw") > cut).agg(F.min("raw").alias("next")).first()["next"]
     cut = cut if above is None else (cut + above) / 2
     score = 1 / (1 + F.exp(-(F.col("raw") - cut + math.log(CUT_AT / (1 - CUT_AT)))))
-    scored = scored.select("doc_id", (crc_remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), score.alias("score"))
+    scored = scored.select("doc_id", in_fold(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= CUT_AT).cast("int"))

@@ -21,7 +21,7 @@ strength is a parameter. For dishes of over ``EXACT`` customers the chance to ha
 
 Null and empty texts have one token, the end. Long texts are scored whole. Ties in frequency do not matter. Repeated
 rows, also of one doc_id, are each scored. Without training rows all counts are 0 and every probability is the
-base's; an empty table gives an empty result. Columns of other names are ignored.
+base's. A text that is certain (where all texts are empty) has score 0 and perplexity 1; an empty table gives an empty result. Columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from netaccess.llm.common import ascii_words, crc_remainder, hash_words, map_arrow, mix64
+from netaccess.llm.common import ascii_words, hash_words, in_fold, map_arrow, mix64
 from netaccess.runtime import discard, materialize
 
 FOLDS, HELD_OUT = 7, 2
@@ -55,7 +55,7 @@ SYMBOLS = FREQUENT + 1 + (1 << TAIL_BITS)
 
 def narrow(docs: DataFrame) -> DataFrame:
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(crc_remainder(doc_id, FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"))
+    return docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), in_fold(doc_id, FOLDS, HELD_OUT).alias("held_out"))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -445,5 +445,5 @@ def score_corpus(docs: DataFrame) -> DataFrame:
     out = facts.join(more, "row", "left").join(summed_scores(scores), "row", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("more_known")).cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("more_base")).alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
+        (F.col("base") + zero("more_base")).alias("base_score"), zero("score").alias("score"), F.pow(F.lit(10.0), -zero("score") / F.col("n_tokens")).alias("perplexity"),
     )

@@ -10,7 +10,7 @@
 
 Bounds: at most ``LABEL_BOUND`` labelled rows (lowest hash of the id first), ``VOTERS`` voters,
 ``FEATURES`` words and beginnings. Null and empty texts hold no evidence and get the score of the
-intercept. Equal texts get equal scores. With no toxic labelled row there is no voter and every score is
+intercept. A null doc_id is in no fold: its row is scored and not held out. Equal texts get equal scores. With no toxic labelled row there is no voter and every score is
 0. Empty tables give an empty result. Columns of other names are ignored.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from netaccess.llm.common import crc_remainder, map_arrow
+from netaccess.llm.common import in_fold, map_arrow
 from netaccess.runtime import broadcast_if_small, materialize
 
 FOLDS, HELD_OUT = 4, 2
@@ -83,7 +83,7 @@ def evidence_ids(docs: DataFrame, ids: dict[str, int]) -> DataFrame:
 
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    told = told.filter(F.col("toxic").isNotNull() & (crc_remainder(F.col("doc_id"), FOLDS) != HELD_OUT))
+    told = told.filter(F.col("toxic").isNotNull() & ~in_fold(F.col("doc_id"), FOLDS, HELD_OUT))
     told = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABEL_BOUND)
     return narrow(docs).join(F.broadcast(told), "doc_id")
 
@@ -200,7 +200,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     told = materialize(labelled_rows(docs, labels), "toxic-labelled")
     mined, n_toxic, n_clean = mine_evidence(told)
-    held = (crc_remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out")
+    held = in_fold(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out")
     if not mined:
         return narrow(docs).select("doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     hits = materialize(evidence_ids(docs, {key: i for i, (key, _, _) in enumerate(mined)}), "toxic-hits")
