@@ -19,12 +19,13 @@ def bucketed(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
     return df.withColumn("_bx", F.floor(F.col(x) / size)).withColumn("_by", F.floor(F.col(y) / size))
 
 
-def within(left: DataFrame, right: DataFrame, x: str, y: str, eps: float) -> DataFrame:
-    """Pairs (aliases l and r) at a distance of at most ``eps``, with d2, its square. The left side probes nine buckets."""
+def within(left: DataFrame, right: DataFrame, x: str, y: str, eps: float, by: str | None = None) -> DataFrame:
+    """Pairs (aliases l and r) at a distance of at most ``eps``, with d2, its square, of equal ``by`` if one is named. The left side probes nine buckets."""
     probes = bucketed(left, x, y, eps).withColumn("_o", around()).withColumn("_bx", F.col("_bx") + F.col("_o.i")).withColumn("_by", F.col("_by") + F.col("_o.j")).drop("_o")
     l, r = probes.alias("l"), bucketed(right, x, y, eps).alias("r")
     d2 = F.pow(F.col(f"l.{x}") - F.col(f"r.{x}"), F.lit(2)) + F.pow(F.col(f"l.{y}") - F.col(f"r.{y}"), F.lit(2))
-    near = l.join(r, (F.col("l._bx") == F.col("r._bx")) & (F.col("l._by") == F.col("r._by"))).withColumn("d2", d2)
+    alike = F.lit(True) if by is None else F.col(f"l.{by}") == F.col(f"r.{by}")
+    near = l.join(r, (F.col("l._bx") == F.col("r._bx")) & (F.col("l._by") == F.col("r._by")) & alike).withColumn("d2", d2)
     return near.filter(F.col("d2") <= eps * eps)
 
 
@@ -36,20 +37,21 @@ def span(left: DataFrame, right: DataFrame, x: str, y: str) -> float:
     return 1.01 * math.hypot(*sides)
 
 
-def nearest(left: DataFrame, left_id: str, right: DataFrame, right_id: str, x: str, y: str, limit: float | None = None, step: float | None = None) -> DataFrame:
+def nearest(left: DataFrame, left_id: str, right: DataFrame, right_id: str, x: str, y: str, limit: float | None = None, step: float | None = None, by: str | None = None) -> DataFrame:
     """Nearest right row of every left row within ``limit`` (none: at any distance): (left id, right id, d2); ties to the lesser id.
 
-    Rings grow by doubling from ``step``: only left rows without a match that no farther row could beat go on,
+    ``by``: a column in which both must be equal. Rings grow by doubling from ``step``: only left rows without a match that no farther row could beat go on,
     so dense places are settled with small buckets. Each ring is written, so that no later one makes it again.
     """
     if limit is None:
         limit = max(span(left, right, x, y), 1e-9)
         step = step or limit / 64
-    pending, found, eps = left.select(left_id, x, y), None, step or limit
+    keys = [] if by is None else [by]
+    pending, found, eps = left.select(left_id, x, y, *keys), None, step or limit
     while True:
         eps = min(eps, limit)
         best = F.min(F.struct("d2", F.col(f"r.{right_id}").alias("id"))).alias("b")
-        hits = within(pending, right.select(right_id, x, y), x, y, eps).groupBy(F.col(f"l.{left_id}").alias(left_id)).agg(best)
+        hits = within(pending, right.select(right_id, x, y, *keys), x, y, eps, by).groupBy(F.col(f"l.{left_id}").alias(left_id)).agg(best)
         hits = hits.select(left_id, F.col("b.id").alias(right_id), F.col("b.d2").alias("d2"))
         if eps < limit:
             hits = materialize(hits, "ring")
@@ -62,19 +64,21 @@ def nearest(left: DataFrame, left_id: str, right: DataFrame, right_id: str, x: s
         eps *= 2
 
 
-def k_nearest(left: DataFrame, left_id: str, right: DataFrame, right_id: str, x: str, y: str, k: int, itself: bool = True) -> DataFrame:
+def k_nearest(left: DataFrame, left_id: str, right: DataFrame, right_id: str, x: str, y: str, k: int, itself: bool = True, by: str | None = None) -> DataFrame:
     """The k nearest right rows of every left row at any distance: (left id, right id, d2, rank); ties to the lesser id.
 
-    A right id of the left's name is called neighbour. ``itself``: whether a right row of the same id counts. Rings start where k rows are to be expected and double; a left row is
+    A right id of the left's name is called neighbour. ``itself``: whether a right row of the same id counts.
+    ``by``: a column in which both must be equal. Rings start where k rows are to be expected and double; a left row is
     done once k rows lie within its ring, as no other can be nearer. Ranks keep k rows a key on either side of the shuffle.
     """
     limit = max(span(left, right, x, y), 1e-9)
     eps = min(limit, limit * math.sqrt(2 * (k + 1) / max(1, right.count())))
-    pending, found = left.select(left_id, x, y), None
+    keys = [] if by is None else [by]
+    pending, found = left.select(left_id, x, y, *keys), None
     name = right_id if right_id != left_id else "neighbour"
     order = Window.partitionBy(left_id).orderBy("d2", name)
     while True:
-        hits = within(pending, right.select(right_id, x, y), x, y, eps).select(F.col(f"l.{left_id}").alias(left_id), F.col(f"r.{right_id}").alias(name), "d2")
+        hits = within(pending, right.select(right_id, x, y, *keys), x, y, eps, by).select(F.col(f"l.{left_id}").alias(left_id), F.col(f"r.{right_id}").alias(name), "d2")
         if not itself:
             hits = hits.filter(F.col(left_id) != F.col(name))
         near = materialize(hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "k-ring")

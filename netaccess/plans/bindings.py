@@ -29,6 +29,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CAST((s_suppkey * 37) % 1000 AS DOUBLE) / 50 AS lon, CAST((s_suppkey * 91) % 1000 AS DOUBLE) / 50 AS lat,
                CASE s_suppkey % 4 WHEN 0 THEN 'Hospital' WHEN 1 THEN 'clinic' WHEN 2 THEN 'Pharmacy' END AS amenity, s_name AS name
         FROM supplier WHERE s_suppkey % 5 = 0"""),
+    "sites": (("part",), """
+        SELECT p_partkey AS site_id, p_partkey % 25 AS country_id, (p_partkey * 37) % 1000 AS x, (p_partkey * 91) % 1000 AS y,
+               CASE p_partkey % 4 WHEN 0 THEN 'Hospital' WHEN 1 THEN 'clinic' WHEN 2 THEN 'Pharmacy' END AS amenity, p_name AS name
+        FROM part"""),
     "pixels": (("customer",), """
         SELECT c_custkey AS pixel_id, CAST(c_nationkey AS BIGINT) AS country_id, (c_custkey * 53) % 997 AS x, (c_custkey * 71) % 991 AS y,
                CAST((c_custkey * 53) % 997 AS DOUBLE) / 50 AS lon, CAST((c_custkey * 71) % 991 AS DOUBLE) / 50 AS lat, greatest(c_acctbal, 0) AS pop
