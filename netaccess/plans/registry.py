@@ -11,7 +11,7 @@ from netaccess.plans.bindings import views, with_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-MODULES = ("filters", "joins", "aggregates", "windows", "ranking", "scalars", "climate", "spatial", "graphs", "access", "networks", "statistics", "scenarios", "paving", "stability", "variants")
+MODULES = ("filters", "joins", "aggregates", "windows", "ranking", "scalars", "climate", "spatial", "graphs", "access", "networks", "statistics", "scenarios", "paving", "stability", "variants", "districts")
 
 
 def query(key: str, *names: str, sql: str | None = None):

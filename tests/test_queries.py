@@ -7,7 +7,7 @@ from netaccess.plans import registry
 from netaccess.plans.bindings import VIEWS, needed, with_sql
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"ac2_buffering", "gr1_endpoint_merge", "gr4_border_links", "gr8_forced_path", "gr12_bridges", "gr13_edge_betweenness", "gr15_percolation", "gr15_tipping_point", "gr17_gravity_betweenness", "gr19_demand_nodes", "od6_district_metrics", "od8_country_driver", "stb_spearman_p", "stc_significance", "stg_kmeans", "gr12_country_bridges", "sm2_recovery_curves"}
+ROWS_ONLY = {"ac2_buffering", "gr1_endpoint_merge", "gr4_border_links", "gr8_forced_path", "gr12_bridges", "gr13_edge_betweenness", "gr15_percolation", "gr15_tipping_point", "gr17_gravity_betweenness", "gr19_demand_nodes", "od6_district_metrics", "od6_district_row", "od7_critical_roads", "od8_country_driver", "stb_spearman_p", "stc_significance", "stg_kmeans", "gr12_country_bridges", "sm2_recovery_curves"}
 
 
 def test_every_query_has_a_twin_or_is_listed():
