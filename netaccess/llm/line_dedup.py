@@ -11,10 +11,13 @@ Lines of fewer than ``least`` words stay; the queries take every line with a wor
    rare first is fast.
 2. Lines with equal sets meet by hash and all but the first go. Of the others each posts its first
    n - ceil(t n) + 1 tokens with the line's length, the token's rank and a signature.
-3. In each posting list all lines are tried against the first one, so pairs grow with the postings, not with
-   their square. Lines still without a match are then tried against the earlier lines of their lists. Length,
-   position and signature filter pairs before any is made; the words of the rest are compared. The signature is
-   128 parities of token counts: each token in which two lines differ flips one bit.
+3. In the lists of every fourth token (by hash, so that near lines share most of theirs) all lines are tried
+   against the line of the least doc_id, so pairs grow with the postings, not with their square, and of a group of
+   near lines nearly all go.
+4. Then whole lists are joined for the lines that still stay: the shorter line of a pair meets the longer one
+   at one of its first n - ceil(2t/(1+t) n) + 1 tokens, and of each pair the later line must be one that stays.
+   Length, position and signature filter pairs before any is made; the words of the rest are compared. The
+   signature is 128 parities of token counts: each token in which two lines differ flips one bit.
 
 Documents are told apart by doc_id and the hash of their text, so texts that share a doc_id lose only lines of
 their own; rows equal in both count as one document, and rows without doc_id come before all others. Null and
@@ -38,10 +41,14 @@ BY_WORD = 1
 BUCKET_BITS = 16
 #: The posting lists are joined in so many rounds, to halve what lies on disk at once.
 SLICES = 2
-CAPPED = (1 << 16) - 1
+#: The first lines of the lists of one token in so many are tried before whole lists are joined.
+SAMPLED = 4
+CAPPED, RANK_CAPPED = (1 << 16) - 1, (1 << 15) - 1
 #: Hashes do not shrink; packing them costs time only.
 AS_THEY_ARE = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
 KEY = ("doc_id", "thash", "line")
+#: Stands for no doc_id where only the order counts.
+FIRST_ID = -(1 << 63)
 BLANKS = "\t\x0b\f\r"
 
 
@@ -58,10 +65,11 @@ def once(value: Column) -> Column:
 
 
 def spaced(text: Column) -> Column:
-    """The text with spaces for its other blanks, but for line ends: plain replacement is faster than a pattern."""
+    """The text with spaces for its other blanks, but for line ends; most texts have none and are only searched, once."""
+    out = text
     for blank in BLANKS:
-        text = F.replace(text, F.lit(blank), F.lit(" "))
-    return text
+        out = F.replace(out, F.lit(blank), F.lit(" "))
+    return F.when(text.rlike(f"[{BLANKS}]"), out).otherwise(text)
 
 
 def words_of(line: Column) -> Column:
@@ -98,9 +106,11 @@ def ordered_facts(tokens: DataFrame, percent: int) -> DataFrame:
     """uid, doc_id, thash, line, n, h (of the token set), sig and sig2, first (the tokens to post, rarest first)."""
     # the level in the high bits, the hash in the others: one number orders and names a token
     ordered = F.expr(f"sort_array(transform(tokens, h -> shiftleft(level[cast(h & {(1 << BUCKET_BITS) - 1} as int)], 56) | shiftrightunsigned(h, 8)))")
-    parity = "aggregate(tokens, 0L, (s, h) -> if(h & 64 = {}, s ^ shiftleft(1L, cast(h & 63 as int)), s))"
+    flips = "aggregate(tokens, 0L, (s, h) -> {})"
+    both, upper = (F.expr(flips.format(x)) for x in ("s ^ shiftleft(1L, cast(h & 63 as int))", "if(h & 64 = 0, s, s ^ shiftleft(1L, cast(h & 63 as int)))"))
     rows = tokens.withColumn("level", rarity_levels(tokens)).select(
-        "uid", *KEY, F.size("tokens").alias("n"), F.expr(parity.format(0)).alias("sig"), F.expr(parity.format(64)).alias("sig2"), once(ordered).alias("ordered"))
+        "uid", *KEY, F.size("tokens").alias("n"), both.alias("both"), upper.alias("sig2"), once(ordered).alias("ordered"))
+    rows = rows.withColumn("sig", F.col("both").bitwiseXOR(F.col("sig2")))
     n = F.col("n")
     # a set that no set of another size can reach has met all its matches by hash
     alone = (least_overlap(n, percent) == n) & (F.floor(n * 100 / percent) == n)
@@ -111,21 +121,34 @@ def line_facts(docs: DataFrame, percent: int, least: int = WORDS, width: int = W
     return ordered_facts(token_table(docs, least, width), percent)
 
 
-def postings(facts: DataFrame) -> DataFrame:
-    """x (32 bits of the token, 16 each of the line's length and the token's rank), uid, sig, sig2."""
-    rows = facts.filter(F.size("first") > 0).select("uid", "n", "sig", "sig2", F.posexplode("first").alias("rank", "token"))
-    part = lambda c: F.least(F.col(c), F.lit(CAPPED)).cast("long")
-    return rows.select(F.shiftleft("token", 32).bitwiseOR(F.shiftleft(part("n"), 16)).bitwiseOR(part("rank")).alias("x"), "uid", "sig", "sig2")
+def postings(facts: DataFrame, percent: int, shorter: bool = False) -> DataFrame:
+    """x (32 bits of the token, 16 of the line's length, 15 of the token's rank, 1 for lines that still stay), doc, uid, sig, sig2.
+
+    ``shorter``: only the tokens at which a line meets lines of its own length or longer ones."""
+    live = F.col("live") if "live" in facts.columns else F.lit(1)
+    doc = F.coalesce("doc_id", F.lit(FIRST_ID))
+    rows = facts.filter(F.size("first") > 0).select("uid", doc.alias("doc"), "n", live.alias("live"), "sig", "sig2", F.posexplode("first").alias("rank", "token"))
+    if shorter:
+        need = F.floor((2 * percent * F.col("n") + 99 + percent) / (100 + percent))
+        # lengths beyond 16 bits are not told apart: such lines meet at all their tokens
+        rows = rows.filter((F.col("n") >= CAPPED) | (F.col("rank") <= F.col("n") - need))
+    n, rank = F.least("n", F.lit(CAPPED)).cast("long"), F.least("rank", F.lit(RANK_CAPPED)).cast("long")
+    x = F.shiftleft("token", 32).bitwiseOR(F.shiftleft(n, 16)).bitwiseOR(F.shiftleft(rank, 1)).bitwiseOR(F.col("live").cast("long"))
+    return rows.select(x.alias("x"), "doc", "uid", "sig", "sig2")
 
 
 def token_of(x: str) -> Column:
     return F.shiftright(x, 32)
 
 
+def length_of(x: str) -> Column:
+    return F.shiftright(x, 16).bitwiseAND(F.lit(CAPPED))
+
+
 def plausible(a: str, b: str, percent: int) -> Column:
     """Length, position and signature filters on two postings of a token; a matching pair passes each at its first shared token."""
-    n = [F.shiftright(f"{c}x", 16).bitwiseAND(F.lit(CAPPED)) for c in (a, b)]
-    left = [m - F.col(f"{c}x").bitwiseAND(F.lit(CAPPED)) for m, c in zip(n, (a, b))]
+    n = [length_of(f"{c}x") for c in (a, b)]
+    left = [m - F.shiftright(f"{c}x", 1).bitwiseAND(F.lit(RANK_CAPPED)) for m, c in zip(n, (a, b))]
     need = F.floor((percent * (n[0] + n[1]) + 99 + percent) / (100 + percent))
     differ = [F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in ("sig", "sig2")]
     most = n[0] + n[1] - 2 * need
@@ -133,6 +156,11 @@ def plausible(a: str, b: str, percent: int) -> Column:
     return (F.greatest(*n) >= CAPPED) | ((100 * F.least(*n) >= percent * F.greatest(*n)) & (differ[0] + differ[1] <= most) & (F.least(*left) >= need))
 
 
+def to_try(a: str, b: str) -> Column:
+    """Of two postings the one of the later document belongs to a line that still stays (within a document: one of them)."""
+    return ((F.col(f"{a}doc") <= F.col(f"{b}doc")) & (F.col(f"{b}x") % 2 != 0)) | ((F.col(f"{b}doc") <= F.col(f"{a}doc")) & (F.col(f"{a}x") % 2 != 0))
+
+
 def renamed(rows: DataFrame, prefix: str) -> DataFrame:
     return rows.select(*(F.col(c).alias(prefix + c) for c in rows.columns))
 
@@ -148,9 +176,10 @@ def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, percent: int,
     places = materialize(places.groupBy("doc_id", "thash").agg(F.collect_list(F.struct("line", "uid")).alias("places")), "line-places")
     near = renamed(broadcast_if_small(places), "p_")
     held = narrow(docs).join(near, F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("thash") == F.col("p_thash")))
-    held = held.select("doc_id", "thash", "p_places", once(F.split(spaced(F.col("text")), "\n")).alias("lines"))
+    held = held.select("doc_id", "thash", "p_places", once(F.split("text", "\n")).alias("lines"))
     held = held.select("doc_id", "thash", "lines", F.explode("p_places").alias("place"))
-    held = held.select(F.col("place.uid").alias("uid"), F.struct("doc_id", "thash", F.col("place.line").alias("line")).alias("key"), once(words_of(F.expr("lines[place.line]"))).alias("words"))
+    held = held.select(F.col("place.uid").alias("uid"), F.struct("doc_id", "thash", F.col("place.line").alias("line")).alias("key"), F.expr("lines[place.line]").alias("raw"))
+    held = held.select("uid", "key", once(words_of(spaced(F.col("raw")))).alias("words"))
     sets = F.array_distinct("words")
     if width > 1:
         run = ", ".join(f"words[i + {k}]" for k in range(width))
@@ -165,40 +194,48 @@ def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, percent: int,
 
 def repeats(facts: DataFrame) -> DataFrame:
     """uid of the lines whose token set an earlier line has as well."""
-    several = facts.groupBy("h", "sig").agg(F.count("*").alias("lines")).filter("lines > 1")
+    doc = F.coalesce("doc_id", F.lit(FIRST_ID))
+    several = facts.groupBy("h", "sig").agg(F.count("*").alias("lines"), F.min(doc).alias("doc")).filter("lines > 1").drop("lines")
     several = renamed(broadcast_if_small(materialize(several, "line-several")), "s_")
-    alike = materialize(facts.join(several, (F.col("h") == F.col("s_h")) & (F.col("sig") == F.col("s_sig"))).select("uid", F.struct(*KEY).alias("key"), "h", "sig"), "line-alike")
-    firsts = materialize(alike.groupBy("h", "sig").agg(F.min("key").alias("key")), "line-firsts")
+    alike = facts.join(several, (F.col("h") == F.col("s_h")) & (F.col("sig") == F.col("s_sig")))
+    alike = materialize(alike.select("uid", F.struct(*KEY).alias("key"), "h", "sig", (doc > F.col("s_doc")).alias("later")), "line-alike")
+    # only lines of the least doc_id (no doc_id, the least number) need the rest of their keys to be told apart
+    ties = alike.filter("not later")
+    firsts = materialize(ties.groupBy("h", "sig").agg(F.min("key").alias("key")), "line-firsts")
     firsts = renamed(broadcast_if_small(firsts), "f_")
-    return alike.join(firsts, (F.col("h") == F.col("f_h")) & (F.col("sig") == F.col("f_sig")) & (F.col("key") > F.col("f_key"))).select("uid")
+    ties = ties.join(firsts, (F.col("h") == F.col("f_h")) & (F.col("sig") == F.col("f_sig")) & (F.col("key") > F.col("f_key")))
+    return alike.filter("later").select("uid").union(ties.select("uid"))
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = WORDS, width: int = WORDS) -> DataFrame:
     """doc_id, thash, line of every line that an earlier line matches."""
     tokens = materialize(token_table(docs, least, width), "line-tokens", **AS_THEY_ARE)
-    facts = materialize(ordered_facts(tokens, percent), "line-facts")
+    facts = materialize(ordered_facts(tokens, percent), "line-facts", **AS_THEY_ARE)
     discard(tokens)
     equal = materialize(repeats(facts), "line-equal")
     single = facts.join(broadcast_if_small(equal), "uid", "left_anti")
 
-    heads = postings(single).groupBy(token_of("x").alias("token")).agg(F.min("uid").alias("head"), F.count("*").alias("length")).filter("length > 1")
-    # the head's rank of the token is not known: as if it were its first
-    head_x = F.shiftleft(F.least(F.col("n"), F.lit(CAPPED)).cast("long"), 16)
-    head_facts = facts.select(F.col("uid").alias("head"), head_x.alias("head_x"), F.col("sig").alias("head_sig"), F.col("sig2").alias("head_sig2"))
-    heads = materialize(heads.drop("length").join(head_facts, "head"), "line-heads")
-    met = postings(single).join(heads, (token_of("x") == F.col("token")) & (F.col("uid") != F.col("head")) & plausible("head_", "", percent))
-    near = materialize(verified(materialize(pairs_of(met, "head"), "line-pairs"), facts, docs, percent, width), "line-near")
+    sampled = postings(single, percent).filter(token_of("x") % SAMPLED == 0)
+    first = [F.min_by(c, "doc").alias(f"head_{c}") for c in ("x", "doc", "uid", "sig", "sig2")]
+    heads = sampled.groupBy(token_of("x").alias("token")).agg(*first, F.count("*").alias("length")).filter("length > 1").drop("length")
+    heads = materialize(heads, "line-heads")
+    met = sampled.join(broadcast_if_small(heads), (token_of("x") == F.col("token")) & (F.col("uid") != F.col("head_uid")) & plausible("head_", "", percent))
+    near = materialize(verified(materialize(pairs_of(met, "head_uid"), "line-pairs"), facts, docs, percent, width), "line-near")
     discard(heads)
 
-    later = single.join(broadcast_if_small(near), "uid", "left_anti")
+    gone = renamed(broadcast_if_small(near), "gone_")
+    single = single.join(gone, F.col("uid") == F.col("gone_uid"), "left").withColumn("live", F.col("gone_uid").isNull().cast("int")).drop("gone_uid")
     more = None
     for k in range(SLICES):
         own = token_of("x").bitwiseAND(F.lit(SLICES - 1)) == k
-        early = renamed(postings(single).filter(own), "early_")
-        met = postings(later).filter(own).join(early, (token_of("x") == token_of("early_x")) & (F.col("early_uid") != F.col("uid")) & plausible("early_", "", percent))
-        met = materialize(pairs_of(met, "early_uid"), "line-more")
+        short, long = renamed(postings(single, percent, shorter=True).filter(own), "short_"), postings(single, percent).filter(own)
+        n, short_n = length_of("x"), length_of("short_x")
+        ordered = (short_n < n) | ((short_n == n) & (F.col("short_uid") < F.col("uid")))
+        met = long.join(short, (token_of("x") == token_of("short_x")) & ordered & to_try("short_", "") & plausible("short_", "", percent))
+        met = materialize(pairs_of(met, "short_uid"), "line-more")
         more = met if more is None else more.union(met)
-    gone = equal.union(near).union(verified(more.distinct(), facts, docs, percent, width)).distinct()
+    more = materialize(more.distinct(), "line-more")
+    gone = equal.union(near).union(verified(more, facts, docs, percent, width)).distinct()
     return facts.select("uid", *KEY).join(gone, "uid").drop("uid")
 
 
@@ -209,8 +246,9 @@ def with_clean_text(docs: DataFrame, percent: int, least: int, width: int) -> Da
     text = docs["text"].cast("string")
     joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__line_dedup_doc_id"]) & (F.xxhash64(text) == gone["__line_dedup_thash"]), "left")
     lines, removed = F.split(text, "\n"), gone["__line_dedup_lines"]
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
-    clean = F.when(removed.isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(lines, i + 1)), "\n"))
+    # the index of filter: a lambda that named the lines would split the text again for every line
+    stay = F.filter(lines, lambda _, i: ~F.array_contains(removed, i))
+    clean = F.when(removed.isNull(), text).otherwise(F.array_join(stay, "\n"))
     return joined.select(*(docs[c] for c in docs.columns), F.size(removed).alias("__line_dedup_n"), once(clean).alias("__line_dedup_clean"))
 
 
