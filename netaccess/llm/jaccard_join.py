@@ -13,7 +13,8 @@ Two sets that reach the threshold share a shingle among the first n - ceil(t n)
    that can still reach the required overlap (DivideSkip), and keeps those that do.
 3. Links give components. Lists that still hold several give their pairs across components, which are
    searched in the same way; long lists are dealt into blocks, and each pair of blocks is searched as a whole,
-   so that no list makes all its pairs. Length and position filters come before any pair is made.
+   so that no list makes all its pairs. Blocks of the list's largest part meet those of other parts only, so a
+   group that is one part already is not met again. Length and position filters come before any pair is made.
 4. Two linked documents share a component. Within each component all classes are searched against all others in
    such blocks for the number of links; tasks return counts by document, not pairs.
 
@@ -178,6 +179,23 @@ def dealt_blocks(rows: DataFrame) -> DataFrame:
     return rows.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), role.alias("role"), "part", "doc_id", "copies")
 
 
+def dealt_by_part(rows: DataFrame) -> DataFrame:
+    """As ``dealt_blocks``, for pairs across parts: documents of a hub's largest part have blocks of their own, which meet only those of the others."""
+    sizes = rows.groupBy("hub", "part").agg(F.count("*").alias("size"))
+    most = sizes.groupBy("hub").agg(F.max(F.struct("size", "part")).alias("top"), F.sum("size").alias("all"))
+    most = most.select("hub", F.col("top.part").alias("main"), F.col("top.size").alias("size"), "all")
+    blocks = lambda n: F.ceil(n / CHUNK).cast("int")
+    rows = rows.join(broadcast_if_small(most), "hub").withColumn("inside", F.col("part") == F.col("main"))
+    # a hub of one part has no pairs across parts; blocks from 0 on are the others', blocks from n_others on the largest part's
+    rows = rows.withColumn("n_others", blocks(F.col("all") - F.col("size"))).filter("n_others > 0").withColumn("n_all", F.col("n_others") + blocks(F.col("size")))
+    hashed = F.xxhash64("doc_id")
+    own = F.when(F.col("inside"), F.col("n_others") + F.pmod(hashed, F.col("n_all") - F.col("n_others"))).otherwise(F.pmod(hashed, F.greatest("n_others", F.lit(1)))).cast("int")
+    meets = F.when(F.col("inside"), F.col("n_others")).otherwise(F.col("n_all"))
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1)))
+    role = F.when(F.col("own") == F.col("other"), BOTH).when(F.col("own") < F.col("other"), QUERY).otherwise(ENTRY)
+    return rows.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), role.alias("role"), "part", "doc_id", "copies")
+
+
 def search_blocks(asked: DataFrame, docs: DataFrame, k: int, percent: int, count: bool = False) -> DataFrame:
     """Searches the queries of each block (hub, i, j) among its entries.
 
@@ -285,8 +303,8 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, with_links: bool =
     across = across.select(F.col("doc_id").alias("hub"), F.col("b_doc_id").alias("doc_id")).distinct().join(known, ["hub", "doc_id"], "left_anti")
     found = links.union(search(materialize(across, "jaccard-across"), members, k, percent))
     if not long.isEmpty():
-        rows = placed.join(long, "token").select(F.col("token").alias("hub"), "doc_id", "part", F.lit(1).cast("long").alias("copies"), "m")
-        found = found.union(search_blocks(materialize(dealt_blocks(rows), "jaccard-long"), members, k, percent))
+        rows = placed.join(long, "token").select(F.col("token").alias("hub"), "doc_id", "part", F.lit(1).cast("long").alias("copies"))
+        found = found.union(search_blocks(materialize(dealt_by_part(materialize(rows, "jaccard-long-lists")), "jaccard-long"), members, k, percent))
     found = materialize(found, "jaccard-found")
     discard(placed)
     parts = materialize(connected_components(found, "hub", "doc_id"), "jaccard-parts").withColumnRenamed("node", "doc_id")

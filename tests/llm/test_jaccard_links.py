@@ -44,3 +44,18 @@ def test_long_list_in_blocks(spark, monkeypatch):
     got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 50, with_links=True).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == components(sets, 50)
     assert {r["doc_id"]: r["n_links"] for r in got} == brute_links(sets, 50)
+
+
+@pytest.mark.parametrize("size", [4, 16])
+def test_parts_in_blocks(spark, monkeypatch, size):
+    """The largest part of a hub meets the others only; every pair of different parts meets once."""
+    monkeypatch.setattr(jaccard_join, "CHUNK", size)
+    parts = [(1, i, 0 if i < 50 else i % 3 + 1) for i in range(60)] + [(2, i, i % 2) for i in range(20)]
+    rows = spark.createDataFrame([(h, i, p, 1) for h, i, p in parts], "hub long, doc_id long, part long, copies long")
+    blocks = {}
+    for r in jaccard_join.dealt_by_part(rows).collect():
+        blocks.setdefault((r["hub"], r["i"], r["j"]), []).append(r)
+    met = {(h, *sorted((a["doc_id"], b["doc_id"]))) for (h, _, _), x in blocks.items() for a in x for b in x if a["role"] & jaccard_join.QUERY and b["role"] & jaccard_join.ENTRY}
+    part = {(h, i): p for h, i, p in parts}
+    assert {(h, i, j) for h, i in part for g, j in part if g == h and i < j and part[h, i] != part[h, j]} <= met
+    assert sum(len(x) for (h, _, _), x in blocks.items() if h == 1) <= 50 * -(-10 // size) + 10 * (-(-50 // size) + -(-10 // size))
