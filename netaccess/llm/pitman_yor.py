@@ -30,9 +30,10 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
@@ -370,18 +371,28 @@ def code_texts(docs: DataFrame, known, n_ends: int, spread: float) -> DataFrame:
         get = index.get
         for batch in batches:
             out: dict[str, list] = {"doc_id": batch["doc_id"].to_pylist(), "held_out": batch["held_out"].to_pylist(), "n_tokens": [], "codes": [], "n_known": [], "base": [], "tail": []}
+            tail, places, coded = [], [], []
             for value in batch["text"]:
                 words = ascii_words(value.as_py())
-                at = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
+                at = np.fromiter(chain(map(get, words, repeat(-1)), (END,)), "<i4", len(words) + 1)
                 rare = np.flatnonzero(at < 0)
-                others = [words[i] for i in rare]
-                frequent = at[at >= 0]
-                at[rare] = tail_codes(others)
+                frequent = at[:-1][at[:-1] >= 0]
                 out["n_tokens"].append(len(words) + 1)
-                out["codes"].append(np.append(at, np.int32(END)).astype("<i4").tobytes())
                 out["n_known"].append(len(frequent) + (n_ends > 0))
                 out["base"].append(float(bases[frequent].sum()) + math.log10((n_ends + 1) / spread))
-                out["tail"].append([{"word": w, "n": n} for w, n in Counter(others).items()])
+                tail.append([words[i] for i in rare.tolist()])
+                places.append(rare)
+                coded.append(at)
+            # hashes and lists of the whole batch at once
+            codes = np.split(tail_codes(list(chain.from_iterable(tail))), np.cumsum([len(x) for x in tail])[:-1])
+            for at, rare, code in zip(coded, places, codes):
+                at[rare] = code
+                out["codes"].append(at.tobytes())
+            counted = [Counter(x) for x in tail]
+            ends = np.cumsum([0, *map(len, counted)])
+            word = pa.array(list(chain.from_iterable(counted)), pa.binary())
+            n = pa.array(list(chain.from_iterable(x.values() for x in counted)), pa.int32())
+            out["tail"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([word, n], ["word", "n"]))
             yield out
 
     return map_arrow(docs.select("doc_id", "text", "held_out"), run, schema).withColumn("row", F.monotonically_increasing_id())
