@@ -12,8 +12,9 @@ Lines of fewer than ``least`` words stay; the queries take every line with a wor
 2. Lines with equal sets meet by hash and all but the first go. Of the others each posts its first
    n - ceil(t n) + 1 tokens with the line's length, the token's rank and a signature.
 3. In the lists of every fourth token (by hash, so that near lines share most of theirs) all lines are tried
-   against the line of the least doc_id, so pairs grow with the postings, not with their square, and of a group of
-   near lines nearly all go.
+   against the line of the least doc_id, in long lists also against those of the least doc_id of a few parts by
+   hash, as the first one may be unlike the rest. So pairs grow with the postings, not with their square, and of
+   a group of near lines nearly all go.
 4. Then whole lists are joined for the lines that still stay: the shorter line of a pair meets the longer one
    at one of its first n - ceil(2t/(1+t) n) + 1 tokens, and of each pair the later line must be one that stays.
    Length, position and signature filter pairs before any is made; the words of the rest are compared. The
@@ -39,10 +40,10 @@ WORDS = 5
 EVERY_LINE = 1
 BY_WORD = 1
 BUCKET_BITS = 16
-#: The posting lists are joined in so many rounds, to halve what lies on disk at once.
-SLICES = 2
 #: The first lines of the lists of one token in so many are tried before whole lists are joined.
 SAMPLED = 4
+#: Lists of more lines than this have a head in each of so many parts besides the first.
+CROWDED, PARTS = 32, 8
 CAPPED, RANK_CAPPED = (1 << 16) - 1, (1 << 15) - 1
 #: Hashes do not shrink; packing them costs time only.
 AS_THEY_ARE = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
@@ -170,7 +171,7 @@ def pairs_of(met: DataFrame, other: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """uid of the later line of each pair (a, b) whose tokens reach the threshold: the words of both are compared."""
+    """Written: uid of the later line of each pair (a, b) whose tokens reach the threshold: the words of both are compared."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
     places = facts.select("uid", *KEY).join(wanted, "uid")
     places = materialize(places.groupBy("doc_id", "thash").agg(F.collect_list(F.struct("line", "uid")).alias("places")), "line-places")
@@ -187,9 +188,12 @@ def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, percent: int,
     held = materialize(held.select("uid", "key", sets.alias("set")), "line-words")
     both = pairs.join(renamed(held, "a_"), F.col("a") == F.col("a_uid")).join(renamed(held, "b_"), F.col("b") == F.col("b_uid"))
     shared, total = F.size(F.array_intersect("a_set", "b_set")), F.size("a_set") + F.size("b_set")
-    # rows alike in doc_id and text are one document: a line is not later than itself
-    match = both.filter((F.col("a_key") != F.col("b_key")) & (100 * shared >= percent * (total - shared)))
-    return match.select(F.when(F.col("a_key") > F.col("b_key"), F.col("a")).otherwise(F.col("b")).alias("uid")).distinct()
+    # rows alike in doc_id and text are one document: a line is not later than itself; a join's condition makes
+    # what it names twice twice, so the overlap stands in it once
+    match = both.filter((F.col("a_key") != F.col("b_key")) & ((100 + percent) * shared >= percent * total))
+    later = materialize(match.select(F.when(F.col("a_key") > F.col("b_key"), F.col("a")).otherwise(F.col("b")).alias("uid")).distinct(), "line-near")
+    discard(held, places)
+    return later
 
 
 def repeats(facts: DataFrame) -> DataFrame:
@@ -207,6 +211,17 @@ def repeats(facts: DataFrame) -> DataFrame:
     return alike.filter("later").select("uid").union(ties.select("uid"))
 
 
+def heads_of(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """token and the columns of a head, written: the posting of the least doc of every list of two or more, and those of each part of a long list."""
+    first = [F.min_by(c, "doc").alias(f"head_{c}") for c in ("x", "doc", "uid", "sig", "sig2")]
+    heads = posted.groupBy(token_of("x").alias("token")).agg(*first, F.count("*").alias("length")).filter("length > 1")
+    heads = materialize(heads, "line-heads")
+    crowded = broadcast_if_small(heads.filter(F.col("length") > CROWDED).select("token"))
+    dealt = posted.join(crowded, token_of("x") == F.col("token"), "left_semi").withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(PARTS)))
+    others = materialize(dealt.groupBy(token_of("x").alias("token"), "part").agg(*first).drop("part"), "line-heads")
+    return heads, others
+
+
 def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = WORDS, width: int = WORDS) -> DataFrame:
     """doc_id, thash, line of every line that an earlier line matches."""
     tokens = materialize(token_table(docs, least, width), "line-tokens", **AS_THEY_ARE)
@@ -216,25 +231,20 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, least: int = WORDS, w
     single = facts.join(broadcast_if_small(equal), "uid", "left_anti")
 
     sampled = postings(single, percent).filter(token_of("x") % SAMPLED == 0)
-    first = [F.min_by(c, "doc").alias(f"head_{c}") for c in ("x", "doc", "uid", "sig", "sig2")]
-    heads = sampled.groupBy(token_of("x").alias("token")).agg(*first, F.count("*").alias("length")).filter("length > 1").drop("length")
-    heads = materialize(heads, "line-heads")
-    met = sampled.join(broadcast_if_small(heads), (token_of("x") == F.col("token")) & (F.col("uid") != F.col("head_uid")) & plausible("head_", "", percent))
-    near = materialize(verified(materialize(pairs_of(met, "head_uid"), "line-pairs"), facts, docs, percent, width), "line-near")
-    discard(heads)
+    heads, others = heads_of(sampled)
+    tried = broadcast_if_small(heads.drop("length").union(others))
+    met = sampled.join(tried, (token_of("x") == F.col("token")) & (F.col("uid") != F.col("head_uid")) & plausible("head_", "", percent))
+    pairs = materialize(pairs_of(met, "head_uid"), "line-pairs")
+    discard(heads, others)
+    near = verified(pairs, facts, docs, percent, width)
 
     gone = renamed(broadcast_if_small(near), "gone_")
     single = single.join(gone, F.col("uid") == F.col("gone_uid"), "left").withColumn("live", F.col("gone_uid").isNull().cast("int")).drop("gone_uid")
-    more = None
-    for k in range(SLICES):
-        own = token_of("x").bitwiseAND(F.lit(SLICES - 1)) == k
-        short, long = renamed(postings(single, percent, shorter=True).filter(own), "short_"), postings(single, percent).filter(own)
-        n, short_n = length_of("x"), length_of("short_x")
-        ordered = (short_n < n) | ((short_n == n) & (F.col("short_uid") < F.col("uid")))
-        met = long.join(short, (token_of("x") == token_of("short_x")) & ordered & to_try("short_", "") & plausible("short_", "", percent))
-        met = materialize(pairs_of(met, "short_uid"), "line-more")
-        more = met if more is None else more.union(met)
-    more = materialize(more.distinct(), "line-more")
+    short, long = renamed(postings(single, percent, shorter=True), "short_"), postings(single, percent)
+    n, short_n = length_of("x"), length_of("short_x")
+    ordered = (short_n < n) | ((short_n == n) & (F.col("short_uid") < F.col("uid")))
+    met = long.join(short, (token_of("x") == token_of("short_x")) & ordered & to_try("short_", "") & plausible("short_", "", percent))
+    more = materialize(pairs_of(met, "short_uid"), "line-more")
     gone = equal.union(near).union(verified(more, facts, docs, percent, width)).distinct()
     return facts.select("uid", *KEY).join(gone, "uid").drop("uid")
 

@@ -29,6 +29,25 @@ def test_pairs_grow_with_the_group(spark, monkeypatch):
     assert sum(made) <= 10 * len(rows)
 
 
+def test_pairs_grow_with_the_group_behind_an_unlike_line(spark, monkeypatch):
+    """The first line has all words of the group and so many others, more frequent ones, that it is near none of it."""
+    made = []
+
+    def counted(df, tag, written=line_dedup.materialize, **options):
+        out = written(df, tag, **options)
+        if tag in ("line-pairs", "line-more"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    base = [f"w{k}" for k in range(40)]
+    rows = [(i, " ".join([*base[: i % 40], f"new{i}", *base[i % 40 + 1 :]])) for i in range(240, 0, -1)]
+    others = [f"other{k}" for k in range(14)]
+    rows += [(0, " ".join([*base, *others]))] + [(1000 + i, " ".join([*others, *(f"own{i}x{k}" for k in range(6))])) for i in range(300)]
+    assert report(spark, rows) == {i: "" if 1 < i < 1000 else t for i, t in rows}
+    assert sum(made) <= 20 * len(rows)
+
+
 def test_shorter_and_longer_lines(spark):
     """Pairs at the edge of the threshold whose shorter line is the earlier or the later one, and lines of one document."""
     r = random.Random(11)
