@@ -38,12 +38,14 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 
 from netaccess.graph.components import connected_components
 from netaccess.llm.common import ascii_words, map_arrow, shingle_hashes
-from netaccess.runtime import broadcast_if_small, discard, materialize
+from netaccess.runtime import broadcast_if_small, discard, materialize, with_conf
 
 HOT_SHINGLES = 1 << 18
 FLUSH_SHINGLES = 8_000_000
 CLASS_BROADCAST_ROWS = 1_000_000
 CHUNK = 128
+#: Texts that a task takes at once: batches lie in the JVM and in Python, whole.
+BATCH_ROWS = 512
 #: Posting lists of more documents than this are searched in blocks.
 LONG_LIST = 256
 QUERY, ENTRY, BOTH = 1, 2, 3
@@ -96,6 +98,12 @@ def hot_order(facts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return token[order], seen[order]
 
 
+def in_batches(df: DataFrame, tag: str) -> DataFrame:
+    """``materialize`` for what runs Python over texts: in batches of ``BATCH_ROWS``."""
+    with with_conf(df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS)):
+        return materialize(df, tag)
+
+
 def least_overlap(n: int, percent: int) -> int:
     """ceil(n percent / 100): the overlap that a set of n needs with any partner."""
     return -(-n * percent // 100)
@@ -272,7 +280,7 @@ def plausible(n: str, rank: str, hub_n: str, hub_rank: str, percent: int):
 
 def jaccard_components(docs: DataFrame, k: int, percent: int, with_links: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) for every document; ``with_links`` adds n_links."""
-    facts = materialize(set_facts(docs, k), "shingle-facts")
+    facts = in_batches(set_facts(docs, k), "shingle-facts")
     hot = docs.sparkSession.sparkContext.broadcast(hot_order(facts))
     facts = facts.filter("token is null").select("doc_id", "n", "key")
     named = facts.filter("key is not null and doc_id is not null").groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
@@ -280,14 +288,14 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, with_links: bool =
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
     members = narrow(docs).join(broadcast_if_small(reps, CLASS_BROADCAST_ROWS), "doc_id", "left_semi")
 
-    posted = materialize(postings(members, k, percent, hot), "shingle-postings")
+    posted = in_batches(postings(members, k, percent, hot), "shingle-postings")
     lists = posted.groupBy("token").agg(F.min(F.struct("rank", "doc_id", "n")).alias("head"), F.count("*").alias("length")).filter("length > 1")
     lists = lists.select("token", F.col("head.doc_id").alias("hub"), F.col("head.n").alias("hub_n"), F.col("head.rank").alias("hub_rank"))
     listed = materialize(posted.join(lists, "token"), "shingle-lists")
     discard(posted)
     pairs = listed.filter((F.col("doc_id") != F.col("hub")) & plausible("n", "rank", "hub_n", "hub_rank", percent)).select("hub", "doc_id").distinct()
     pairs = materialize(pairs, "jaccard-pairs")
-    links = materialize(search(pairs, members, k, percent), "jaccard-links")
+    links = in_batches(search(pairs, members, k, percent), "jaccard-links")
     parts = materialize(connected_components(links, "hub", "doc_id"), "jaccard-parts").withColumnRenamed("node", "doc_id")
 
     placed = listed.select("token", "doc_id", "n", "rank").join(broadcast_if_small(parts, CLASS_BROADCAST_ROWS), "doc_id", "left")
@@ -305,14 +313,14 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, with_links: bool =
     if not long.isEmpty():
         rows = placed.join(long, "token").select(F.col("token").alias("hub"), "doc_id", "part", F.lit(1).cast("long").alias("copies"))
         found = found.union(search_blocks(materialize(dealt_by_part(materialize(rows, "jaccard-long-lists")), "jaccard-long"), members, k, percent))
-    found = materialize(found, "jaccard-found")
+    found = in_batches(found, "jaccard-found")
     discard(placed)
     parts = materialize(connected_components(found, "hub", "doc_id"), "jaccard-parts").withColumnRenamed("node", "doc_id")
 
     known = classes.join(parts.withColumnRenamed("doc_id", "rep"), "rep", "left").select("rep", "key", "copies", F.coalesce("component", "rep").alias("component"))
     out = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")]
     if with_links:
-        counts = materialize(link_counts(classes, parts, members, k, percent), "jaccard-counts")
+        counts = in_batches(link_counts(classes, parts, members, k, percent), "jaccard-counts")
         known = known.join(counts, "rep", "left")
         out.append(F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).alias("n_links"))
     known = known.drop("rep")

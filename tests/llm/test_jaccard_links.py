@@ -59,3 +59,28 @@ def test_parts_in_blocks(spark, monkeypatch, size):
     part = {(h, i): p for h, i, p in parts}
     assert {(h, i, j) for h, i in part for g, j in part if g == h and i < j and part[h, i] != part[h, j]} <= met
     assert sum(len(x) for (h, _, _), x in blocks.items() if h == 1) <= 50 * -(-10 // size) + 10 * (-(-50 // size) + -(-10 // size))
+
+
+def test_texts_come_in_small_batches(spark, monkeypatch):
+    """No task takes a whole partition of texts at once, in any step that runs Python."""
+    built = []
+
+    def watched(df, fn, schema, mapped=jaccard_join.map_arrow):
+        def run(batches):
+            def checked():
+                for batch in batches:
+                    rows = len(batch["text"])
+                    assert rows <= 1024, f"{rows} texts at once"
+                    yield batch
+
+            return fn(checked())
+
+        built.append(schema)
+        return mapped(df, run, schema)
+
+    monkeypatch.setattr(jaccard_join, "map_arrow", watched)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.createDataFrame([(i, f"one two three four five u{i // 2} v{i // 2}") for i in range(3000)], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs, 4, 85).collect()}
+    assert got == {i: i // 2 * 2 for i in range(3000)}
+    assert len(built) >= 3 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
