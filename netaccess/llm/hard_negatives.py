@@ -31,6 +31,8 @@ from netaccess.runtime import discard, materialize
 #: Rows and numbers that a block holds at most.
 BLOCK_ROWS, BLOCK_CELLS = 8_192, 1 << 20
 ANCHOR_ROWS = 1_024
+#: Shards for each shuffle partition: every shard has a copy of all anchors, and no more tasks run than there are partitions.
+SHARDS_A_PARTITION = 4
 SIGN = 1 << 63
 KEY = struct.Struct(">QQQ")
 BLOCK = [StructField("block", LongType()), StructField("dims", IntegerType()), StructField("n", IntegerType()), StructField("ids", BinaryType()), StructField("labels", BinaryType()), StructField("cells", BinaryType())]
@@ -98,6 +100,17 @@ def first_of(ids: np.ndarray, scores: np.ndarray, which: np.ndarray, k: int) ->
     return which[np.lexsort((ids[which], -scores[which]))[:k]]
 
 
+def meetings(blocks: DataFrame, asked: DataFrame, shards: int) -> DataFrame:
+    """Every block of rows beside every block of anchors of its length; they meet by shard, so that neither side is sent whole to anyone.
+
+    The planner counts the blocks of anchors before they are copied to the shards and would broadcast all copies through the driver, so it is told to merge.
+    """
+    dealt = blocks.withColumn("shard", F.pmod(F.xxhash64("block"), F.lit(shards)))
+    named = asked.select(*(F.col(c).alias(c if c == "dims" else f"a_{c}") for c in asked.columns))
+    copies = named.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    return dealt.join(copies.hint("merge"), ["shard", "dims"]).drop("shard", "block", "a_block")
+
+
 def near_positives(meetings: DataFrame, positives: int) -> DataFrame:
     """(anchor_id, id, score): of every meeting an anchor's best rows of its label."""
     schema = StructType([StructField("anchor_id", LongType()), StructField("id", LongType()), StructField("score", LongType())])
@@ -204,23 +217,15 @@ def mine_hard_negatives(
     blocks = materialize(in_blocks(part, BLOCK_ROWS), "negatives-rows")
     chosen = part.filter(F.col("id") % 100 == 0 if anchors is None else anchors).groupBy("id").agg(F.min(F.struct("label", "v")).alias("a")).select("id", "a.label", "a.v")
     asked = materialize(in_blocks(chosen, ANCHOR_ROWS), "negatives-anchors")
-    # blocks of rows meet those of anchors by shard, so that neither side is sent whole to anyone
-    shards = max(1, min(blocks.count(), 1_024))
-    dealt = blocks.withColumn("shard", F.pmod(F.xxhash64("block"), F.lit(shards)))
-
-    def meetings(blocks_of_anchors: DataFrame) -> DataFrame:
-        named = blocks_of_anchors.select(*(F.col(c).alias(c if c == "dims" else f"a_{c}") for c in blocks_of_anchors.columns))
-        copies = named.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-        return dealt.join(copies, ["shard", "dims"]).drop("shard", "block", "a_block")
-
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(1, min(blocks.count(), SHARDS_A_PARTITION * n))
     first = Window.partitionBy("anchor_id").orderBy(F.desc("score"), "id")
-    best = near_positives(meetings(asked), positives).withColumn("place", F.row_number().over(first)).filter(F.col("place") <= positives)
+    best = near_positives(meetings(blocks, asked, shards), positives).withColumn("place", F.row_number().over(first)).filter(F.col("place") <= positives)
     best = materialize(best.select("anchor_id", "id", "score"), "negatives-positives")
     windows = best.groupBy(F.col("anchor_id").alias("id")).agg(F.collect_list("score").alias("scores"))  # at most ``positives`` each
-    opened = materialize(in_blocks(chosen.join(windows, "id"), ANCHOR_ROWS), "negatives-windows")
-    keys = near_negatives(meetings(opened), negatives, low, high)
+    opened = materialize(in_blocks(chosen.join(windows.hint("merge"), "id"), ANCHOR_ROWS), "negatives-windows")
+    keys = near_negatives(meetings(blocks, opened, shards), negatives, low, high)
     opening = map_arrow(best, lambda batches: ({"key": [packed(*k) for k in zip(*(b[c].to_pylist() for c in ("anchor_id", "score", "id")))], "positive": [True] * len(b["id"])} for b in batches), keys.schema)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a negative that lies in several windows leaves its task once, so that no key comes twice from one block
     ordered = keys.union(opening).rdd.map(lambda r: (bytes(r[0]), r[1])).repartitionAndSortWithinPartitions(n, place_of)
     found = ordered.mapPartitions(lambda it: mine(it, positives, negatives, low, high))

@@ -74,3 +74,14 @@ def test_empty_table_and_own_anchors(spark):
     wanted = [r for r in brute_force([(r[0] * 100 if r[0] == 33 else r[0] + 10_000 * (r[0] == 0), *r[1:]) for r in rows])]
     renamed = [(3300 if r[0] == 33 else 10_000 if r[0] == 0 else r[0], *r[1:]) for r in rows]
     assert [r for r in found(spark, renamed, anchors=F.col("id") == 3300)] == [r for r in wanted if r[0] == 3300]
+
+
+def test_copies_of_anchors_are_not_broadcast(spark, tmp_path):
+    """A block of anchors is copied to every shard; the planner sees it before that and would send all copies through the driver."""
+    part = hard_negatives.sound_rows(spark.createDataFrame(invented(3, 600), SCHEMA), "embedding", F.col("label"))
+    for name, most in (("rows", 4), ("anchors", 2)):
+        hard_negatives.in_blocks(part, most).write.parquet(str(tmp_path / name))
+    met = hard_negatives.meetings(spark.read.parquet(str(tmp_path / "rows")), spark.read.parquet(str(tmp_path / "anchors")), 50)
+    assert met.count() > 50
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
