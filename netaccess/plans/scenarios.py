@@ -154,9 +154,9 @@ def manifest(country: DataFrame) -> DataFrame:
 
 @query("sm20_case_table", "roads", sql="WITH c AS (SELECT country_id, avg((v_normal - v_extreme) / v_normal * 100) AS d FROM roads GROUP BY country_id) SELECT country_id, round((rank() OVER (ORDER BY d) + (count(*) OVER (PARTITION BY d) - 1) / 2.0::DOUBLE) / count(*) OVER () * 100, 5) AS percentile FROM c")
 def case_table(roads: DataFrame) -> DataFrame:
-    from netaccess.operators.ranking import value_ranks
+    from netaccess.operators.ranking import value_ranks, written
 
-    c = roads.groupBy("country_id").agg(F.avg(R.speed_drop_pct(F.col("v_normal"), F.col("v_extreme"))).alias("d"))
+    c = written(roads.groupBy("country_id").agg(F.avg(R.speed_drop_pct(F.col("v_normal"), F.col("v_extreme"))).alias("d")))
     n = F.broadcast(c.agg(F.count("*").alias("n")))
     return value_ranks(c, "d").crossJoin(n).select("country_id", F.round(F.col("avg_rank") / F.col("n") * 100, 5).alias("percentile"))
 
