@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netaccess.operators.ranking import grouped_upto
 from netaccess.operators.spatial import k_nearest, nearest
-from netaccess.runtime import broadcast_if_small, materialize
+from netaccess.runtime import broadcast_if_small, materialize, with_conf
 
 # fixed values: the words that put a facility in a set, the speeds of the way to another anchor, the choice that others are held against
 _CLINIC = ("hospital", "clinic", "health centre", "health center", "health_centre", "healthcare")
@@ -45,6 +45,15 @@ def member_of(text: Column) -> Column:
 
 
 def health_variants(nodes: DataFrame, sites: DataFrame, people: DataFrame, km_per_unit: float, thresholds: tuple[float, ...] = SNAP_KM) -> DataFrame:
+    """``variant_rows``, without broadcasts that the planner chooses by the size of files.
+
+    Variants repeat in every row, so that their files are many times smaller than their rows, which would all pass through the driver.
+    """
+    with with_conf(nodes.sparkSession, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        return materialize(variant_rows(nodes, sites, people, km_per_unit, thresholds), "variants")
+
+
+def variant_rows(nodes: DataFrame, sites: DataFrame, people: DataFrame, km_per_unit: float, thresholds: tuple[float, ...] = SNAP_KM) -> DataFrame:
     """A row for each country, facility set, snap threshold and mapping: anchors, exclusions, one-hour coverage, delays, tail gap.
 
     ``nodes``: node_id, country_id, x, y, t_normal, t_extreme (those without both times take no part). ``sites``: site_id, country_id, x, y,

@@ -63,3 +63,20 @@ def test_variants_without_sites_or_people(spark):
     assert V.health_variants(nodes, far.limit(0), none, 1.0).count() == 0
     rows = V.health_variants(nodes, far, none, 1.0).collect()
     assert len(rows) == 18 and {r.status for r in rows} == {"no_anchors_or_population"} and {r.pwmtt_delta for r in rows} == {None}
+
+
+def test_variants_broadcast_countries_only(spark, monkeypatch):
+    """Their files are small and their rows are not: no table of variants may pass through the driver."""
+    plans, plain = [], V.materialize
+
+    def noted(df, tag, **options):
+        plans.append((tag, df._jdf.queryExecution().executedPlan().toString()))
+        return plain(df, tag, **options)
+
+    monkeypatch.setattr(V, "materialize", noted)
+    from netaccess.plans import registry
+
+    assert registry.QUERIES["ac8_health_variants"](spark, "/root/testdata/sf0.001").count() > 0
+    # countries, counted before they are broadcast, are the right side of a semi-join
+    assert [tag for tag, plan in plans if plan.count("BroadcastHashJoin") > plan.count("LeftSemi, BuildRight")] == []
+    assert any(tag == "variants" and "SortMergeJoin" in plan for tag, plan in plans)
